@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import materialise
+from counterpoise.operators.lineage import write_down
 from counterpoise.operators.lookup import BROADCAST_ROWS, lookup_join
 
 
@@ -40,32 +40,35 @@ def components(edges: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         .select(*scope, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    pairs, mark = _settle(pairs, scope)
     while True:
+        written = write_down(pairs)
+        pairs, edges_now = written.df, written.rows
+        if _are_stars(pairs, scope):
+            break
         both = pairs.unionByName(pairs.select(*scope, F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, scope, mark[0]).filter(F.col("v") > F.col("u"))
+        large = _with_least(both, scope, edges_now).filter(F.col("v") > F.col("u"))
         large = large.select(*scope, F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        small = _with_least(large, scope, mark[0])
+        small = _with_least(large, scope, edges_now)
         link = F.array(F.struct(F.col("u").alias("a")), F.struct(F.col("v").alias("a")))
-        small = (
+        pairs = (
             small.select(*scope, "least", F.explode(link).alias("l"))
             .filter(F.col("l.a") != F.col("least"))
             .select(*scope, F.col("l.a").alias("u"), F.col("least").alias("v"))
             .distinct()
         )
-        pairs, now = _settle(small, scope)
-        if now == mark:
-            break
-        mark = now
     roots = pairs.select(*scope, F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(*scope, F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _settle(pairs: DataFrame, scope: list[str]) -> tuple[DataFrame, tuple]:
-    """Write the edges out and fingerprint them."""
-    pairs = materialise(pairs)
-    row = pairs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64(*scope, "u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return pairs, (row["n"], row["h"])
+def _are_stars(pairs: DataFrame, scope: list[str]) -> bool:
+    """Every node either points to one centre or is one."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"))
+    )
+    degree = (
+        pairs.select(*scope, F.explode(ends).alias("e"))
+        .groupBy(*scope, "e.node")
+        .agg(F.sum("e.out").alias("out"), F.count(F.lit(1)).alias("n"))
+    )
+    # a centre has no way out; any other node has one way out and none in
+    return degree.filter((F.col("out") > 0) & (F.col("n") > 1)).isEmpty()

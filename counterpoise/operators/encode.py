@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import materialise
+from counterpoise.operators.lineage import write_down
 from counterpoise.operators.lookup import fits_broadcast, lookup_join
 from counterpoise.operators.ranking import running_sum
 
@@ -52,9 +52,10 @@ class LabelEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str]) -> LabelEncoder:
-        domain = materialise(label_domain(df, cols))
+        written = write_down(label_domain(df, cols))
+        domain = written.df
         sizes = {r["attr"]: r["n"] for r in domain.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return cls(list(cols), domain, sizes, fits_broadcast(domain))
+        return cls(list(cols), domain, sizes, fits_broadcast(written))
 
     def _codes(self, col: str) -> DataFrame:
         return self.domain.filter(F.col("attr") == col)

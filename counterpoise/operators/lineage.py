@@ -1,10 +1,13 @@
-"""Where long jobs cut their lineage."""
+"""Where long jobs cut their lineage, and how large what they wrote is."""
 
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,3 +32,58 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@dataclass(frozen=True)
+class Written:
+    """A materialised table whose size was taken while it was written."""
+
+    df: DataFrame
+    rows: int
+    bytes: int
+
+
+def _cell_bytes(name: str, kind: T.DataType) -> Column:
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col)
+    elif isinstance(kind, T.ArrayType):
+        wide = isinstance(kind.elementType, (T.StringType, T.StructType, T.ArrayType))
+        size = F.size(col) * (40 if wide else 8)
+    elif isinstance(kind, T.MapType):
+        size = F.size(col) * 40
+    elif isinstance(kind, T.StructType):
+        size = F.lit(8 * len(kind))
+    else:
+        size = F.lit(8)
+    return F.coalesce(F.greatest(size, F.lit(0)), F.lit(0)).cast("bigint") + 8
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Rough width of a row."""
+    total = F.lit(16).cast("bigint")
+    for f in df.schema.fields:
+        total = total + _cell_bytes(f.name, f.dataType)
+    return total
+
+
+def write_down(df: DataFrame) -> Written:
+    """:func:`materialise`, measuring rows and bytes in the same job."""
+    seen = Observation()
+    n = F.count(F.lit(1)).alias("rows")
+    size = F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")
+    out = materialise(df.observe(seen, n, size))
+    return Written(out, seen.get["rows"], seen.get["bytes"])
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fan_out(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a scan of few splits over all cores before expensive row-wise work.
+
+    A table with more splits than cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df

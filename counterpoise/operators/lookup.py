@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from counterpoise.operators.lineage import Written, row_bytes
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
 
 
-def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
-    """Measure the table, reading no more than ``rows + 1`` of its rows."""
+def fits_broadcast(table: DataFrame | Written, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
+    """Whether the table is small: as measured when written, or by reading at most ``rows + 1`` rows."""
+    if isinstance(table, Written):
+        return table.rows <= rows and table.bytes <= bytes_
     seen = (
         table.limit(rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0)).alias("size"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(table)), F.lit(0)).alias("size"))
         .first()
     )
     return seen["n"] <= rows and seen["size"] <= bytes_
@@ -27,7 +28,7 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = B
 
 def lookup_join(
     df: DataFrame,
-    table: DataFrame,
+    table: DataFrame | Written,
     on: Sequence[str],
     how: str = "inner",
     small: bool | None = None,
@@ -48,6 +49,8 @@ def lookup_join(
         raise ValueError("lookup_join keeps the left side: 'inner' or 'left'")
     if small is None:
         small = fits_broadcast(table)
+    if isinstance(table, Written):
+        table = table.df
     if small:
         return df.join(F.broadcast(table), on, how)
     if rows_per_key is None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import BITS
-from counterpoise.operators.lineage import materialise
+from counterpoise.operators.lineage import materialise, write_down
 from counterpoise.operators.lookup import lookup_join
 
 WINDOW_ROWS = 200_000
@@ -128,8 +128,8 @@ def running_sum(
     still spreads over all tasks.
     """
     group, order = list(group), list(order)
-    df = materialise(df)
-    total = df.count()
+    written = write_down(df)
+    df, total = written.df, written.rows
     upto = (Window.unboundedPreceding, Window.currentRow)
     if total <= window_rows:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto)
