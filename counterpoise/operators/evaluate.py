@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import hash_bits, uniform
 from counterpoise.operators.encode import NUMERIC, LabelEncoder, StandardScaler, numeric_columns, string_columns
-from counterpoise.operators.lineage import ensure_checkpoint_dir, write_down
+from counterpoise.operators.lineage import ensure_checkpoint_dir, side_by_side, write_down
 from counterpoise.operators.ranking import hashed_rank, running_sum, with_row_key
 from counterpoise.operators.sampling import complete_cases, require_column
 
@@ -219,20 +217,15 @@ def train_models(
         model = classifiers(max(1, n - n // k), seed, **sizes)[name].fit(inside)
         return scored(model, outside, *tags)
 
-    def attempt(fn, task):
+    def attempt(task):
         try:
-            return fn(task), None
+            return (fit_all(task) if isinstance(task, str) else fit_fold(task)), None
         except Exception as e:  # noqa: BLE001 - recorded in the result
             return None, f"{type(e).__name__}: {e}"
 
-    pool = ThreadPoolExecutor(parallelism)
-    try:
-        jobs = [(name, f) for name in models for f in range(k)]
-        run = inheritable_thread_target(spark)(attempt)
-        fold_results = list(pool.map(lambda t: run(fit_fold, t), jobs))
-        full_results = list(pool.map(lambda m: run(fit_all, m), models))
-    finally:
-        pool.shutdown()
+    jobs = [(name, f) for name in models for f in range(k)]
+    results = side_by_side(spark, attempt, [*jobs, *models], parallelism)
+    fold_results, full_results = results[: len(jobs)], results[len(jobs) :]
     fitted, errors = {}, {}
     for name, (model, error) in zip(models, full_results):
         if error:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,3 +90,10 @@ def fan_out(df: DataFrame, *by: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
+def side_by_side(spark: SparkSession, fn: Callable, tasks: Iterable, parallelism: int) -> list:
+    """``fn`` of each task, with the Spark jobs of several tasks submitted at a time."""
+    run = inheritable_thread_target(spark)(fn)
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(run, tasks))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.operators.evaluate import SCORES, score_summary, train_and_score
+from counterpoise.operators.lineage import side_by_side
 
 # The datasets evaluated when none are named, with their target columns.
 TARGETS = {"penguins": "sex", "fitness": "is_fit"}
@@ -47,7 +48,7 @@ def repeat_runs(
 
 
 def evaluate_variants(
-    variants: DataFrame, test: DataFrame, target: str, dataset: str, runs: int = 1, seed: int = 42, **options
+    variants: DataFrame, test: DataFrame, target: str, dataset: str, runs: int = 1, seed: int = 42, at_once: int = 2, **options
 ) -> DataFrame:
     """Each (method, pct) variant trained, and scored on the untouched test rows.
 
@@ -56,14 +57,15 @@ def evaluate_variants(
     """
     extra = [c for c in ("dataset", "method", "pct", "p", "is_synthetic") if c in variants.columns]
     todo = sorted((r["method"], r["pct"]) for r in variants.select("method", "pct").distinct().collect())
-    rows = []
-    for method, pct in todo:
+
+    def score(task: tuple[str, int, int]) -> list[tuple]:
+        method, pct, run = task
         train = variants.filter((F.col("method") == method) & (F.col("pct") == pct)).drop(*extra)
-        for run in range(runs):
-            rows += train_and_score(
-                train, test, target, dataset, method, pct, run=run, seed=seed + run, **options
-            )
-    return _frame(variants.sparkSession, rows)
+        return train_and_score(train, test, target, dataset, method, pct, run=run, seed=seed + run, **options)
+
+    tasks = [(method, pct, run) for method, pct in todo for run in range(runs)]
+    scored = side_by_side(variants.sparkSession, score, tasks, at_once)
+    return _frame(variants.sparkSession, [row for rows in scored for row in rows])
 
 
 def tabulate(scores: DataFrame, by: Sequence[str] = ("model", "method", "pct")) -> DataFrame:

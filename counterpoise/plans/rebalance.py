@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators.generate import MODES, synthesize
-from counterpoise.operators.lineage import materialise
+from counterpoise.operators.lineage import materialise, side_by_side
 from counterpoise.operators.sampling import (
     class_profile,
     complete_cases,
@@ -33,6 +33,7 @@ def rebalance_sweep(
     categorical_cols: Sequence[str] = (),
     k: int = 5,
     drop_null_target: bool = False,
+    parallelism: int = 4,
     **options,
 ) -> DataFrame:
     """Balanced variants for all proportions in one table.
@@ -55,7 +56,8 @@ def rebalance_sweep(
     features = [c for c in columns if c != key]
     variants = [real.withColumn("is_synthetic", F.lit(False))]
     kept = {r["pct"]: r["n"] for r in real.filter(rare).groupBy("pct").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for p in proportions:
+
+    def synthetic(p: float) -> DataFrame:
         pct = percent(p)
         mine = real.filter(F.col("pct") == pct).select(*columns)
         needed = majority - kept.get(pct, 0)
@@ -65,7 +67,9 @@ def rebalance_sweep(
             source = mine.filter(rare).select(*features)
             made = synthesize(source, needed, method, seed, categorical_cols=categorical_cols, **options)
         tags = {"pct": F.lit(pct), "p": F.lit(float(p)), "is_synthetic": F.lit(True)}
-        variants.append(made.select(*features).withColumns(tags))
+        return made.select(*features).withColumns(tags)
+
+    variants += side_by_side(df.sparkSession, synthetic, proportions, parallelism)
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), variants)
     return out.withColumn("method", F.lit(method)).select(*columns, "method", "pct", "p", "is_synthetic")
 
