@@ -88,8 +88,9 @@ class LabelEncoder:
 
 
 def nearest_code(x: Column, classes: int) -> Column:
-    """Round half to even, then clip into [0, classes - 1]."""
-    return F.greatest(F.lit(0), F.least(F.lit(classes - 1), F.bround(x.cast("double"), 0))).cast("bigint")
+    """Round half to even, then clip into [0, classes - 1]; null stays null."""
+    clipped = F.greatest(F.lit(0), F.least(F.lit(classes - 1), F.bround(x.cast("double"), 0))).cast("bigint")
+    return F.when(x.isNotNull(), clipped)
 
 
 @dataclass

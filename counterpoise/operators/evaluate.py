@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import hash_bits, uniform
@@ -134,6 +135,19 @@ def classifiers(n: int, seed: int, trees: int = 100, rounds: int = 100, max_dept
     }
 
 
+def stored(model: Model, spark: SparkSession) -> Model:
+    """The model as saved and read back: durable, and free of its training summary.
+
+    A summary refers to the session, which cannot travel to the executors with
+    the model. Models without one are returned as they are.
+    """
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = f"{spark.sparkContext.getCheckpointDir()}/models/{uuid.uuid4().hex}"
+    model.save(path)
+    return type(model).load(path)
+
+
 def scored(model: Model, rows: DataFrame, *tags: Column) -> DataFrame:
     probability = F.element_at(vector_to_array("probability"), 2)
     return model.transform(rows).select(*tags, "label", probability.alias("score"))
@@ -203,7 +217,7 @@ def train_models(
     n = prepared.rows
 
     def fit_all(name: str):
-        return classifiers(n, seed, **sizes)[name].fit(prepared.df)
+        return stored(classifiers(n, seed, **sizes)[name].fit(prepared.df), spark)
 
     def fit_fold(task: tuple[str, int]) -> DataFrame:
         name, f = task
@@ -215,7 +229,7 @@ def train_models(
         else:
             inside, outside = prepared.df.filter(F.col("fold") != f), prepared.df.filter(F.col("fold") == f)
         model = classifiers(max(1, n - n // k), seed, **sizes)[name].fit(inside)
-        return scored(model, outside, *tags)
+        return scored(stored(model, spark), outside, *tags)
 
     def attempt(task):
         try:

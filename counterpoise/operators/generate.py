@@ -160,6 +160,7 @@ def _correlated(desc: Description, rows: DataFrame, seed: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("parent_key").alias("combos"))
         .collect()
     }
+    holes = {a.name for a in table.attributes if a.missing}
     for child, parents in desc.network.edges:
         bins = table.cards[child]
         slots = slot_count(bins)
@@ -173,8 +174,8 @@ def _correlated(desc: Description, rows: DataFrame, seed: int) -> DataFrame:
         ).withColumn("_slot", slot_of(F.col("_u"), slots))
         joined = lookup_join(drawn, mine, ["_pk", "_slot"], "left", small=bound <= BROADCAST_ROWS)
         joined = joined.filter(F.col("cum_lo").isNull() | holds(F.col("_u")))
-        # parents never seen together: every bin is as likely as any other
-        anything = F.floor(F.col("_u") * F.lit(bins))
+        # parents never seen together: every value is as likely as any other, null only if the column has any
+        anything = F.floor(F.col("_u") * F.lit(bins if child in holes else max(1, bins - 1)))
         rows = joined.withColumn(child, F.coalesce("_bin", anything)).select(*rows.columns, child)
     values = {}
     for a in table.attributes:

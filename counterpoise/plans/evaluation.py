@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.operators.evaluate import SCORES, score_summary, train_and_score
 from counterpoise.operators.lineage import side_by_side
+from counterpoise.sources.tables import ORIGINAL
 
 # The datasets evaluated when none are named, with their target columns.
 TARGETS = {"penguins": "sex", "fitness": "is_fit"}
@@ -25,7 +26,7 @@ def evaluate_datasets(
     """Scores on the stored original splits of each dataset; one that is not stored is skipped."""
     rows = []
     for dataset, target in targets.items():
-        base = f"{path}/dataset={dataset}/method=original"
+        base = f"{path}/{ORIGINAL}/dataset={dataset}"
         try:
             reader = spark.read.option("header", True).option("inferSchema", True).format(fmt)
             parts = [reader.load(f"{base}/split={s}") for s in ("train", "test")]

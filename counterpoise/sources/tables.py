@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MISSING = "."  # fixed value: the cell that stands for "no value"
-ORIGINAL = "original"
+ORIGINAL, VARIANTS = "original", "variants"
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, missing: str | None = None) -> DataFrame:
@@ -37,25 +37,33 @@ def read_folder(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def write_split(df: DataFrame, path: str, dataset: str, fmt: str = "parquet") -> None:
-    """``split`` ('train' / 'test') of one dataset, under ``path/dataset=../method=original``."""
-    _write(df.withColumns({"dataset": F.lit(dataset), "method": F.lit(ORIGINAL)}), path, ["dataset", "method", "split"], fmt)
+    """``split`` ('train' / 'test') of one dataset, under ``path/original/dataset=../split=..``."""
+    _write(df.withColumn("dataset", F.lit(dataset)), f"{path}/{ORIGINAL}", ["dataset", "split"], fmt)
 
 
 def write_variants(df: DataFrame, path: str, dataset: str, method: str, fmt: str = "parquet") -> None:
-    """All proportions of one (dataset, method) in one job, under ``dataset=/method=/pct=``."""
+    """All proportions of one (dataset, method) in one job, under ``path/variants/dataset=/method=/pct=``."""
     tagged = df.withColumns({"dataset": F.lit(dataset), "method": F.lit(method)})
-    _write(tagged, path, ["dataset", "method", "pct"], fmt)
+    _write(tagged, f"{path}/{VARIANTS}", ["dataset", "method", "pct"], fmt)
 
 
 def _write(df: DataFrame, path: str, by: list[str], fmt: str) -> None:
+    # only the partitions at hand are replaced, so datasets and methods are stored one after another
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     writer.option("header", True).format(fmt).save(path)
 
 
+def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", True).format(fmt).load(path)
+
+
+def read_split(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return _stored(spark, f"{path}/{ORIGINAL}", fmt)
+
+
 def read_variants(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Every stored variant except the originals; ``method`` and ``pct`` filters prune folders."""
-    reader = spark.read.option("header", True).option("inferSchema", True)
-    return reader.format(fmt).load(path).filter((F.col("method") != ORIGINAL) & F.col("pct").isNotNull())
+    """Every stored variant, the originals apart; filters on dataset, method and pct prune folders."""
+    return _stored(spark, f"{path}/{VARIANTS}", fmt)
 
 
 def variant_parts(file: Column, dataset: str) -> tuple[Column, Column]:
