@@ -199,7 +199,9 @@ def train_models(
     if key is None:
         rows, key = with_row_key(rows, "_key"), "_key"
     rows = write_down(rows).df
-    counts = {r[target]: r["n"] for r in rows.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[target]: r["n"] for r in rows.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
+    if len(counts) > 2:
+        raise ValueError("target must have 2 classes")
     folded = stratified_folds(rows, target, key, max_splits, seed) if len(counts) > 1 else None
     k = fold_count(min(counts.values()), max_splits) if folded is not None else 0
     prep = Preprocessor.fit(rows, target, skip=[key])

@@ -14,6 +14,7 @@ from counterpoise.operators.sampling import (
     class_profile,
     complete_cases,
     is_class,
+    kept_rows,
     percent,
     sweep_samples,
 )
@@ -50,21 +51,22 @@ def rebalance_sweep(
         df = complete_cases(df)
     columns = df.columns
     profile = class_profile(df, target)
-    real = materialise(sweep_samples(df, target, proportions, key, seed, drop_null_target, profile))
+    # cut-offs are scalars by now, so the kept rows are a filter on the scan; only the rare ones are written
+    real = sweep_samples(df, target, proportions, key, seed, drop_null_target, profile)
     majority = profile.majority_rows(drop_null_target)
     rare = is_class(target, profile.minority)
     features = [c for c in columns if c != key]
     variants = [real.withColumn("is_synthetic", F.lit(False))]
-    kept = {r["pct"]: r["n"] for r in real.filter(rare).groupBy("pct").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept = None if method == "smote" else materialise(real.filter(rare).select("pct", *features))
 
     def synthetic(p: float) -> DataFrame:
         pct = percent(p)
-        mine = real.filter(F.col("pct") == pct).select(*columns)
-        needed = majority - kept.get(pct, 0)
+        needed = majority - kept_rows(majority, p)
         if method == "smote":
+            mine = real.filter(F.col("pct") == pct).select(*columns)
             made = smote(mine, target, needed, k, seed, categorical_cols, key).filter("is_synthetic")
         else:
-            source = mine.filter(rare).select(*features)
+            source = kept.filter(F.col("pct") == pct).select(*features)
             made = synthesize(source, needed, method, seed, categorical_cols=categorical_cols, **options)
         tags = {"pct": F.lit(pct), "p": F.lit(float(p)), "is_synthetic": F.lit(True)}
         return made.select(*features).withColumns(tags)
