@@ -118,17 +118,27 @@ def entropy(name: str, cols: str) -> str:
     )
 
 
-MUTUAL = f"""
+ENTROPIES = f"""
 WITH r AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders),
 binned AS (SELECT o_orderpriority AS p, o_orderstatus AS s, least(floor((o_totalprice - lo) / w), 9) AS t FROM orders, r),
 ent AS ({entropy('p', 'p')} UNION ALL {entropy('s', 's')} UNION ALL {entropy('t', 't')}
   UNION ALL {entropy('ps', 'p, s')} UNION ALL {entropy('pt', 'p, t')} UNION ALL {entropy('st', 's, t')}),
 h AS (SELECT max(h) FILTER (s = 'p') AS p, max(h) FILTER (s = 's') AS s, max(h) FILTER (s = 't') AS t,
-  max(h) FILTER (s = 'ps') AS ps, max(h) FILTER (s = 'pt') AS pt, max(h) FILTER (s = 'st') AS st FROM ent)
+  max(h) FILTER (s = 'ps') AS ps, max(h) FILTER (s = 'pt') AS pt, max(h) FILTER (s = 'st') AS st FROM ent)"""
+
+MUTUAL = f"""{ENTROPIES}
 SELECT 'o_orderpriority' AS child, 'o_orderstatus' AS parent, round(p + s - ps, 6) AS mi FROM h
 UNION ALL SELECT 'o_orderpriority', 'o_totalprice', round(p + t - pt, 6) FROM h
 UNION ALL SELECT 'o_orderstatus', 'o_totalprice', round(s + t - st, 6) FROM h"""
 
+# root is the first name; then the better of the other two, then the last with both as parents
+NETWORK = f"""{ENTROPIES},
+pick AS (SELECT round(p + s - ps, 9) >= round(p + t - pt, 9) AS status_first FROM h)
+SELECT 0::INTEGER AS step, 'o_orderpriority' AS child, '' AS parents
+UNION ALL SELECT 1, CASE WHEN status_first THEN 'o_orderstatus' ELSE 'o_totalprice' END, 'o_orderpriority' FROM pick
+UNION ALL SELECT 2, CASE WHEN status_first THEN 'o_totalprice' ELSE 'o_orderstatus' END,
+  CASE WHEN status_first THEN 'o_orderpriority,o_orderstatus' ELSE 'o_orderpriority,o_totalprice' END FROM pick"""
+
 PART_CPT = f"""
 brand AS {codes('p_brand', 'part')}, type AS {codes('p_type', 'part')},
 r AS (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 10 AS w FROM part),
@@ -344,6 +354,7 @@ JOIN {codes('p_type', 'part')} t
     "laplace_noise": NOISE,
     "independent_sample": INDEPENDENT,
     "mutual_information": MUTUAL,
+    "bayes_network": NETWORK,
     "conditional_table": CPT,
     "correlated_sample": CORRELATED,
     "smote_neighbors": NEIGHBOURS.format(rows="embeddings"),

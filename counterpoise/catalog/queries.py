@@ -13,6 +13,7 @@ from counterpoise.operators import neardup as N
 from counterpoise.operators import ranking as R
 from counterpoise.operators import sampling as S
 from counterpoise.operators import smote as K
+from counterpoise.operators.lineage import fan_out
 from counterpoise.plans.evaluation import evaluate_variants, tabulate
 from counterpoise.plans.rebalance import PROPORTIONS, rebalance_sweep
 from counterpoise.plans.sweep import threshold_sweep
@@ -178,7 +179,8 @@ def mutual_information(spark, folder):
 
 
 def bayes_network(spark, folder):
-    return D.learn_network(_orders_binned(spark, folder)).frame(spark)
+    edges = D.learn_network(_orders_binned(spark, folder)).frame(spark)
+    return edges.withColumn("parents", F.concat_ws(",", "parents"))
 
 
 PART_NETWORK = D.Network([("p_brand", ()), ("p_type", ("p_brand",)), ("p_retailprice", ("p_brand", "p_type"))])
@@ -264,16 +266,20 @@ def rebalance_rows(spark, folder):
 # --- near-duplicate lines -------------------------------------------------------
 
 
+def _texts(spark, folder, name, key):
+    return fan_out(table(spark, folder, name).select(key, "text"), key)
+
+
 def _by_document(spark, folder):
-    return text_column_lines(table(spark, folder, "documents"), "text", "doc_id")
+    return text_column_lines(_texts(spark, folder, "documents", "doc_id"), "text", "doc_id")
 
 
 def _benchmark(spark, folder):
-    return corpus_lines(table(spark, folder, "benchmark"), "text", "item_id", "benchmark")
+    return corpus_lines(_texts(spark, folder, "benchmark", "item_id"), "text", "item_id", "benchmark")
 
 
 def _corpus(spark, folder):
-    return corpus_lines(table(spark, folder, "documents"), "text", "doc_id", "documents")
+    return corpus_lines(_texts(spark, folder, "documents", "doc_id"), "text", "doc_id", "documents")
 
 
 def line_clean(spark, folder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import laplace, uniform
 from counterpoise.operators.encode import NUMERIC, LabelEncoder
+from counterpoise.operators.lineage import materialise, side_by_side
 from counterpoise.operators.ranking import running_sum
 
 
 NOISE_UNIT = float(1 << 36)
+SUBSETS_PER_JOB = 200
 
 
 @dataclass(frozen=True)
@@ -216,11 +218,20 @@ def subset_entropies(table: BinnedTable, subsets: Sequence[tuple[str, ...]]) ->
     )
 
 
+def entropies(table: BinnedTable, subsets: Sequence[tuple[str, ...]]) -> dict[str, float]:
+    """:func:`subset_entropies` as numbers, so many subsets per job that its plan stays small."""
+    if len(subsets) > SUBSETS_PER_JOB:
+        table = replace(table, rows=materialise(table.rows))
+    chunks = [subsets[i : i + SUBSETS_PER_JOB] for i in range(0, len(subsets), SUBSETS_PER_JOB)]
+    rows = side_by_side(table.rows.sparkSession, lambda c: subset_entropies(table, c).collect(), chunks, 4)
+    return {r["subset"]: r["entropy"] for chunk in rows for r in chunk}
+
+
 def mutual_information(table: BinnedTable) -> DataFrame:
     """(child, parent, mi) for each pair of columns, child < parent by name."""
     names = sorted(table.cards)
     pairs = list(combinations(names, 2))
-    ent = {r["subset"]: r["entropy"] for r in subset_entropies(table, [(c,) for c in names] + pairs).collect()}
+    ent = entropies(table, [(c,) for c in names] + pairs)
     rows = [(a, b, ent[a] + ent[b] - ent[f"{a},{b}"]) for a, b in pairs]
     return table.rows.sparkSession.createDataFrame(rows, "child string, parent string, mi double")
 
@@ -239,16 +250,16 @@ class Network:
 def learn_network(table: BinnedTable, max_parents: int = 2) -> Network:
     """Greedy network: repeatedly add the (child, parents) of highest mutual information.
 
-    I(c; P) = H(c) + H(P) - H(c, P), so one job over the entropies of all column
-    sets of up to ``max_parents + 1`` columns feeds every step, and only one
-    number per set reaches the driver. The root and ties go by name.
+    I(c; P) = H(c) + H(P) - H(c, P), so the entropies of all column sets of up to
+    ``max_parents + 1`` columns feed every step, and only one number per set
+    reaches the driver. The root and ties go by name.
     """
     names = sorted(table.cards)
     if not names:
         return Network()
     width = min(max_parents + 1, len(names))
     subsets = [s for k in range(1, width + 1) for s in combinations(names, k)]
-    ent = {r["subset"]: r["entropy"] for r in subset_entropies(table, subsets).collect()}
+    ent = entropies(table, subsets)
 
     def h(cols) -> float:
         return ent.get(",".join(sorted(cols)), 0.0)

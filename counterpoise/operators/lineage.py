@@ -86,7 +86,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def fan_out(df: DataFrame, *by: str) -> DataFrame:
     """Spread a scan of few splits over all cores before expensive row-wise work.
 
-    A table with more splits than cores is left as it is.
+    A table with more splits than cores is left as it is. For plain scans: it
+    asks for the partitions, which would run the shuffles of a larger plan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df

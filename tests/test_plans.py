@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.operators import evaluate as V
 from counterpoise.operators.lineage import ensure_checkpoint_dir
-from counterpoise.plans import evaluation, rebalance, sweep
+from counterpoise.plans import evaluation, rebalance, split, sweep
 from counterpoise.sources import tables
 
 
@@ -135,3 +135,15 @@ def test_threshold_sweep_over_inputs(spark):
 def test_checkpoint_folder_is_named_by_the_session(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_split_folder(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one.csv").write_text("a,b\n" + "".join(f"{i % 3},x\n" for i in range(33)))
+    (source / "two.csv").write_text("c\n" + "".join(f"{i}\n" for i in range(10)))
+    (source / "note.txt").write_text("no\n")
+    got = {r["dataset"]: (r["n_train"], r["n_test"], r["error"]) for r in split.split_folder(spark, str(source), str(tmp_path / "out")).collect()}
+    assert got == {"one": (26, 7, None), "two": (8, 2, None)}
+    two = spark.read.parquet(f"{tmp_path}/out/original/dataset=two")
+    assert sorted(r["c"] for r in two.collect()) == list(range(10)) and two.filter("split = 'test'").count() == 2
