@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from counterpoise.llm import isolation
+from counterpoise.llm import hilbert, isolation, mixture, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    cut = hilbert.shard(table(spark, folder, "documents"), ["lang", "source", "n_chars"])
+    return cut.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixture.mix(docs, mixture.source_rates(docs)).drop("row")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = isolation.fit(docs, table(spark, folder, "labels"))
@@ -18,8 +29,48 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return isolation.judge(docs, model).select(*columns)
 
 
+def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
 LLM_QUERIES = {
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op6_mix_sources": op6_mix_sources,
     "op9_quality_rules": op9_quality_rules,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op6_mix_sources": """
+WITH s AS (
+  SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source
+), r AS (
+  SELECT source, sum(bytes) OVER () * (sqrt(bytes) / sum(sqrt(bytes)) OVER ()) / nullif(bytes, 0) AS rate FROM s
+), c AS (
+  SELECT r.source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY r.source ORDER BY k) AS cdf
+  FROM r, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) g(k) WHERE rate > 0
+), d AS (
+  SELECT doc_id, source, ('0x' || substr(md5('29:copies:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u
+  FROM documents
+), n AS (
+  SELECT d.doc_id, d.source, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf <= d.u)::INT AS copies
+  FROM d WHERE EXISTS (SELECT 1 FROM r WHERE r.source IS NOT DISTINCT FROM d.source AND rate > 0)
+)
+SELECT doc_id, source, copies, k::INT AS copy,
+       row_number() OVER (ORDER BY ('0x' || substr(md5('29:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || k), 1, 13))::BIGINT, doc_id, k) - 1 AS position
+FROM n, unnest(generate_series(1, copies)) g(k)
+""",
+    "op10_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), t AS (
+  SELECT vec_id, unnest(w) AS w, generate_subscripts(w, 1) AS term FROM v
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score
+  FROM t q JOIN t c ON q.term = c.term AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+""",
+}
