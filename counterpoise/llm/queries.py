@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, isolation, mixture, topk
+from counterpoise.llm import hilbert, isolation, mixture, pieces, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.verify(table(spark, folder, "documents"), pieces.model_bytes())
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     cut = hilbert.shard(table(spark, folder, "documents"), ["lang", "source", "n_chars"])
     return cut.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -34,6 +38,7 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_mix_sources": op6_mix_sources,
     "op9_quality_rules": op9_quality_rules,
