@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, isolation, mixture, pieces, topk
+from counterpoise.llm import hilbert, isolation, langid, mixture, pieces, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,25 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(docs, mixture.source_rates(docs)).drop("row")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents: the text, the declared language and the source as host."""
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.fit_text(docs), declared="lang", host="source", carry=["doc_id"])
+    return found.select("row.*", "language", "posterior", "text_language", "declared_language", "kept")
+
+
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages: letters of the markup's text, its lang attribute, the address's host and suffix."""
+    pages = table(spark, folder, "pages")
+    bare = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#A-Za-z0-9]+;", " ")
+    host = langid.host_of(F.col("url"))
+    rows = pages.select("page_id", bare.alias("text"), langid.markup_language(F.col("html")).alias("declared"), host.alias("host"))
+    rows = rows.withColumn("suffix", langid.suffix_of(F.col("host")))
+    model = langid.fit_text(table(spark, folder, "documents"))
+    found = langid.identify(rows, model, declared="declared", host="host", suffix="suffix", carry=["page_id", "host"])
+    return found.select("row.*", "language", "posterior", "text_language", "declared_language", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = isolation.fit(docs, table(spark, folder, "labels"))
@@ -41,6 +60,8 @@ LLM_QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op7_language_id": op7_language_id,
+    "language_of_pages": language_of_pages,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
 }
