@@ -42,7 +42,8 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+CHUNK = 4_096
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -206,15 +207,25 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
-    def _parts(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of parts that begin with a blank, and whether the original agrees and the text comes back."""
-        ids = [e.ids for e in self.part.encode_batch_fast(texts, add_special_tokens=False)]
-        # the original puts the blank in front itself; alone it would get none for an empty text
-        theirs = self.original.encode([t[1:] for t in texts], num_threads=self.threads)
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all parts, their numbers, whether the original agrees and the text comes back).
+
+        Parts begin with a blank. A chunk at a time, as the library's results
+        are far larger than the ids.
+        """
+        ids, sizes, good = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros((0, 2), bool)]
         blank = [self.model.pieces.index(MARKER)] if MARKER in self.model.pieces else None
-        back = self.part.decode_batch(ids, skip_special_tokens=False)
-        good = [(a == b or (t == " " and a == blank), d == t) for a, b, d, t in zip(ids, theirs, back, texts)]
-        return ids, np.array(good, bool).reshape(-1, 2)
+        for start in range(0, len(parts), CHUNK):
+            texts = [b.decode() for b in parts.slice(start, CHUNK).to_pylist()]
+            ours = [e.ids for e in self.part.encode_batch_fast(texts, add_special_tokens=False)]
+            # the original puts the blank in front itself; alone it would get none for an empty text
+            theirs = self.original.encode([t[1:] for t in texts], num_threads=self.threads)
+            back = self.part.decode_batch(ours, skip_special_tokens=False)
+            agree = [(a == b or (t == " " and a == blank), d == t) for a, b, d, t in zip(ours, theirs, back, texts)]
+            sizes.append(np.fromiter(map(len, ours), np.int64, len(ours)))
+            ids.append(np.fromiter((i for x in ours for i in x), np.int32, int(sizes[-1].sum())))
+            good.append(np.array(agree, bool))
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(good)
 
     def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin, (parity, round trip) of each text)."""
@@ -247,15 +258,14 @@ class Codec:
         parts = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        ids, good = self._parts([b.decode() for b in parts.dictionary.to_pylist()])
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int32)
+        flat, sizes, good = self._parts(parts.dictionary)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         index = parts.indices.to_numpy()
         length = sizes[index]
         first_id = np.concatenate([[0], np.cumsum(length)])
         # position of every id of every part in the table of distinct parts
-        source = np.repeat(begin[index] - first_id[:-1], length) + np.arange(first_id[-1])
+        source = np.repeat(begin[index] - first_id[:-1], length)
+        source += np.arange(first_id[-1])
         part_of = np.searchsorted(cut[:-1], at)
         agree = np.ones((len(texts), 2), bool)
         wrong = np.flatnonzero(~good.all(axis=1)[index])
