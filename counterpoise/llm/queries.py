@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, isolation, langid, mixture, pieces, topk
+from counterpoise.llm import hilbert, isolation, langid, mixture, pieces, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.verify(table(spark, folder, "documents"), pieces.model_bytes())
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages")).withColumnRenamed("key", "page_id")
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     cut = hilbert.shard(table(spark, folder, "documents"), ["lang", "source", "n_chars"])
     return cut.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -58,6 +62,7 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_warc": op3_warc,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
