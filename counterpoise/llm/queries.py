@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, isolation, langid, mixture, pieces, topk, warc
+from counterpoise.llm import hilbert, html_content, isolation, langid, mixture, pieces, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.*", "language", "posterior", "text_language", "declared_language", "kept")
 
 
+def op8_html_content(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_content.extract(pages, html_content.fit(pages))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = isolation.fit(docs, table(spark, folder, "labels"))
@@ -67,6 +72,7 @@ LLM_QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
     "language_of_pages": language_of_pages,
+    "op8_html_content": op8_html_content,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
 }
