@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, html_content, isolation, langid, mixture, pieces, topk, warc
+from counterpoise.llm import hilbert, html_content, isolation, jaccard, langid, mixture, pieces, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(table(spark, folder, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixture.mix(docs, mixture.source_rates(docs)).drop("row")
@@ -69,6 +73,7 @@ LLM_QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
     "language_of_pages": language_of_pages,
