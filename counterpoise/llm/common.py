@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterpoise.operators.lineage import ensure_checkpoint_dir, materialise, write_down
@@ -23,8 +23,8 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank", row
     """``df`` with every row's 0-based place in the order, and the number of rows.
 
     Rows are range partitioned and sorted inside the partitions; a row's place
-    is its place in its partition plus the rows of the partitions before. Only
-    one count for each partition reaches the driver, and no window is used.
+    is its place in its partition plus the rows of the partitions before. The only
+    window is over one count for each partition.
     """
     spark = df.sparkSession
     written = write_down(df)
@@ -34,12 +34,9 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank", row
     # the id is (partition, place in it); it is written down before it is used twice
     placed = materialise(in_order.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33)
-    counts = sorted((r["p"], r["count"]) for r in placed.groupBy(part.alias("p")).count().collect())
-    before, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, before))
-        before += n
-    table = spark.createDataFrame(offsets, "_part bigint, _before bigint")
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     joined = placed.withColumn("_part", part).join(F.broadcast(table), "_part")  # a row for each partition
     return joined.withColumn(name, place).drop("_place", "_part", "_before"), written.rows

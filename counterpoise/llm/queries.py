@@ -5,13 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, html_content, isolation, jaccard, langid, mixture, pieces, topk, warc
+from counterpoise.llm import hilbert, html_content, isolation, jaccard, langid, mixture, pieces, tool_calls, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TOOLS = {
+    "open": {
+        "type": "object",
+        "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 2000}, "turn": {"type": "integer", "maximum": 1}, "lines": {"type": "integer", "minimum": 1}},
+        "required": ["lines", "text", "turn"],
+        "additionalProperties": False,
+    },
+    "follow": {
+        "type": "object",
+        "properties": {"text": {"type": "string", "maxLength": 1000}, "turn": {"type": "integer", "minimum": 2}, "lines": {"type": "integer", "maximum": 8}},
+        "required": ["text", "turn"],
+    },
+}
+
+
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Chats as calls and results: a user's turn asks, the next turn of the assistant answers it.
+
+    Each turn's call depends on the chat's previous request.
+    """
+    turns = table(spark, folder, "conversations")
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"))
+    lines = F.size(F.split("text", "\n"))
+    asked = turns.filter("role = 'user'").select(
+        F.col("conv_id").alias("conversation"),
+        F.concat(name, F.col("turn").cast("string")).alias("call_id"),
+        F.col("turn").alias("position"),
+        F.when(F.col("turn") < 2, "open").otherwise("follow").alias("name"),
+        F.to_json(F.struct("turn", "text", lines.alias("lines"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.concat(name, (F.col("turn") - 2).cast("string")))).alias("depends_on"),
+    )
+    answered = turns.filter("role = 'assistant'").select(
+        F.col("conv_id").alias("conversation"),
+        F.concat(name, (F.col("turn") - 1).cast("string")).alias("call_id"),
+        F.col("turn").alias("position"),
+        F.col("text").alias("content"),
+    )
+    found = tool_calls.link(asked, answered, TOOLS)
+    return found.withColumnRenamed("conversation", "conv_id").withColumn("errors", F.concat_ws("; ", "errors"))
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.verify(table(spark, folder, "documents"), pieces.model_bytes())
 
@@ -70,6 +111,7 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_hilbert_shards": op4_hilbert_shards,
@@ -83,6 +125,46 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op1_tool_calls": r"""
+WITH a AS (
+  SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn AS position, CASE WHEN turn < 2 THEN 'open' ELSE 'follow' END AS name,
+         text, turn, len(string_split(text, chr(10))) AS lines, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS dep
+  FROM conversations WHERE role = 'user'
+), b AS (
+  SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, turn AS position, text AS content FROM conversations WHERE role = 'assistant'
+), ca AS (
+  SELECT conv_id, call_id, arg_min(struct_pack(position, name, text, turn, lines, dep), struct_pack(position, name, text)) AS c, count(*) AS n_calls FROM a GROUP BY ALL
+), rb AS (
+  SELECT conv_id, call_id, min(struct_pack(position, content)) AS r, count(*) AS n_results FROM b GROUP BY ALL
+), j AS (
+  SELECT coalesce(ca.conv_id, rb.conv_id) AS conv_id, coalesce(ca.call_id, rb.call_id) AS call_id, c, r, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results
+  FROM ca FULL JOIN rb ON ca.conv_id = rb.conv_id AND ca.call_id = rb.call_id
+), k AS (
+  SELECT j.*, t.call_id IS NULL AND j.c.dep IS NOT NULL AS lost FROM j LEFT JOIN ca t ON t.conv_id = j.conv_id AND t.call_id = j.c.dep
+), e AS (
+  SELECT *, CASE WHEN c IS NULL THEN []
+    WHEN c.name = 'open' THEN list_filter([
+      CASE WHEN c.text IS NULL THEN 'text: missing' END,
+      CASE WHEN length(c.text) > 2000 THEN 'text: longer than 2000' END,
+      CASE WHEN length(c.text) < 1 THEN 'text: shorter than 1' END,
+      CASE WHEN c.turn > 1 THEN 'turn: above 1' END], lambda x: x IS NOT NULL)
+    ELSE list_filter([
+      CASE WHEN c.lines > 8 THEN 'lines: above 8' END,
+      CASE WHEN length(c.text) > 1000 THEN 'text: longer than 1000' END,
+      CASE WHEN c.text IS NULL THEN 'text: missing' END,
+      CASE WHEN lost THEN 'depends_on: no call ' || c.dep END], lambda x: x IS NOT NULL) END AS errors
+  FROM k
+)
+SELECT conv_id, call_id,
+       CASE WHEN c IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY c IS NULL, coalesce(c.position, r.position), call_id) END AS step,
+       CASE WHEN c IS NULL THEN 'orphan_result' WHEN r IS NULL THEN 'no_result' WHEN r.position < c.position THEN 'early_result' ELSE 'linked' END AS status,
+       n_calls, n_results, false AS in_cycle, array_to_string(errors, '; ') AS errors, c IS NOT NULL AND len(errors) = 0 AS valid,
+       '{"arguments":' || CASE WHEN c IS NULL THEN 'null' ELSE '{"lines":' || c.lines || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || '}' END
+         || ',"call_id":"' || call_id || '","content":' || CASE WHEN r.content IS NULL THEN 'null' ELSE to_json(r.content) END
+         || ',"depends_on":[' || coalesce('"' || c.dep || '"', '') || '],"name":' || coalesce('"' || c.name || '"', 'null')
+         || ',"position":' || coalesce(c.position, r.position) || '}' AS canonical
+FROM e
+""",
     "op6_mix_sources": """
 WITH s AS (
   SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source
