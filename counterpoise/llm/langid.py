@@ -220,8 +220,7 @@ def identify(
 
     # counts by the text's own posterior, over all rows with letters
     facts = scored(packed.select("text", "declared", "host", "suffix"), ["declared", "host", "suffix"]).filter("runs > 0")
-    soft = [F.expr(p) for p in _softmax("logs", n)]
-    by_host = facts.select("declared", "host", "suffix", *[s.alias(f"p{i}") for i, s in enumerate(soft)])
+    by_host = facts.withColumn("soft", _softmax(F.col("logs"))).select("declared", "host", "suffix", *[F.col("soft")[i].alias(f"p{i}") for i in range(n)])
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]
     cells = write_down(by_host.groupBy("declared", "host", "suffix").agg(*sums, F.count(F.lit(1)).alias("_rows"))).df
     known = F.col("declared").isin(names)
@@ -261,17 +260,17 @@ def identify(
     else:
         declared_log = F.lit(None).cast("array<double>")
     prior = F.coalesce(F.col("prior"), F.array(*level))
-    parts = joined.select("row", "declared", "logs", "runs", prior.alias("prior"), declared_log.alias("told"))
-    fused = F.array(*[F.col("logs")[i] + F.log(F.col("prior")[i]) + F.coalesce(F.col("told")[i], F.lit(0.0)) for i in range(n)])
-    ready = parts.withColumn("fused", fused)
-    chances = F.array(*[F.expr(p) for p in _softmax("fused", n)])
-    top = F.array_max("chances")
+    no_news = F.array(*[F.lit(0.0)] * n)
+    with_prior = F.zip_with("logs", prior, lambda x, p: x + F.log(p))
+    fused = F.zip_with(with_prior, F.coalesce(declared_log, no_news), lambda x, t: x + t)
+    ready = joined.select("row", "declared", "logs", "runs", fused.alias("fused"))
+    top = F.array_max(_softmax(F.col("fused")))
     lang_names = F.array(*[F.lit(x) for x in names])
-    best = F.element_at(lang_names, F.array_position("chances", top).cast("int"))
+    best = F.element_at(lang_names, F.array_position("fused", F.array_max("fused")).cast("int"))
     by_text = F.element_at(lang_names, F.array_position("logs", F.array_max("logs")).cast("int"))
     allowed = best.isin(list(accepted)) if accepted is not None else F.lit(True)
     letters = F.col("runs") > 0
-    return ready.withColumn("chances", chances).select(
+    return ready.select(
         "row",
         F.when(letters, best).otherwise(UNKNOWN).alias("language"),
         F.when(letters, top).otherwise(0.0).alias("posterior"),
@@ -281,7 +280,7 @@ def identify(
     )
 
 
-def _softmax(column: str, n: int) -> list[str]:
+def _softmax(logs: Column) -> Column:
     """Each entry's share, shifted by the greatest so that nothing overflows."""
-    total = " + ".join(f"exp({column}[{i}] - array_max({column}))" for i in range(n))
-    return [f"exp({column}[{i}] - array_max({column})) / ({total})" for i in range(n)]
+    shares = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda total, y: total + y))
