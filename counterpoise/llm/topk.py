@@ -101,7 +101,9 @@ def _cell(k: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
-        right = right.combine_chunks().sort_by("id")
+        # a side without rows in this cell comes without its columns
+        met = left.num_rows > 0 and right.num_rows > 0
+        right = right.combine_chunks().sort_by("id") if met else right.slice(0, 0)
         for start in range(0, right.num_rows, _TILE * 4):
             part = right.slice(start, _TILE * 4).combine_chunks()
             ids = part.column("id").to_numpy()
