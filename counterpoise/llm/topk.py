@@ -101,9 +101,9 @@ def _cell(k: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
-        # a side without rows in this cell comes without its columns
-        met = left.num_rows > 0 and right.num_rows > 0
-        right = right.combine_chunks().sort_by("id") if met else right.slice(0, 0)
+        if left.num_rows == 0 or right.num_rows == 0:  # a side without rows may come without its columns
+            return pa.table({n: pa.array([], pa.int64()) for n in out})
+        right = right.combine_chunks().sort_by("id")
         for start in range(0, right.num_rows, _TILE * 4):
             part = right.slice(start, _TILE * 4).combine_chunks()
             ids = part.column("id").to_numpy()
@@ -140,6 +140,9 @@ def search(
     """
     rows = write_down(integer_weights(vectors, key, vector, scale).withColumn("row", F.monotonically_increasing_id()))
     queries = write_down(rows.df.filter(is_query))
+    if queries.rows == 0:
+        nothing = vectors.sparkSession.range(0)
+        return nothing.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     across = max(1, -(-queries.rows // query_block))
     down = max(1, -(-rows.rows // candidate_block))
     spread = F.pmod(F.xxhash64("row"), F.lit(across)).cast("int")
