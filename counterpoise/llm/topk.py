@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import write_down
+from counterpoise.operators.lineage import materialise, write_down
 
 K = 5
 SCALE = 256
@@ -151,6 +151,8 @@ def search(
     right = rows.df.withColumn("c", place).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     cells = left.select("q", "c", "row", "id", "w").groupBy("q", "c").cogroup(right.select("q", "c", "id", "w").groupBy("q", "c"))
     found = cells.applyInArrow(_cell(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    # written down, as pruning columns through a cogroup (for a count) would take its inputs away
+    found = materialise(found)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")
