@@ -7,7 +7,6 @@ WS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 PROPORTIONS = "(VALUES (2, 0.02::DOUBLE), (5, 0.05), (10, 0.1), (20, 0.2), (25, 0.25), (30, 0.3)) w(pct, p)"
-RARE = "(VALUES (5, 0.05::DOUBLE), (10, 0.1)) w(pct, p)"
 
 
 def bits(salt: str, key: str, part: int = 0, seed: int = 42) -> str:
@@ -200,12 +199,26 @@ FROM (SELECT *, unnest(range(1, len(x) + 1)) AS pos FROM placed)"""
 
 
 def balance(method: str) -> str:
+    """Sizes by arithmetic, and the real rows by the same hash order as the sample."""
     return f"""
-WITH c AS (SELECT sum(toxic) AS few, sum(1 - toxic) AS many FROM labels JOIN documents USING (doc_id)),
-k AS (SELECT pct, many, floor(p * many / (1 - p))::BIGINT AS keep FROM c, {RARE})
-SELECT '{method}' AS method, pct, 0 AS toxic, false AS is_synthetic, many::BIGINT AS n FROM k WHERE many > 0
-UNION ALL SELECT '{method}', pct, 1, false, keep FROM k WHERE keep > 0
-UNION ALL SELECT '{method}', pct, 1, true, (many - keep)::BIGINT FROM k WHERE many > keep"""
+WITH {RANKED},
+c AS (SELECT count(*) FILTER (lang = 'en') AS many FROM documents),
+k AS (SELECT pct, many, floor(p * many / (1 - p))::BIGINT AS keep FROM c, {PROPORTIONS}),
+real AS (
+  SELECT pct, true AS is_en, doc_id, n_chars FROM documents, k WHERE lang = 'en'
+  UNION ALL SELECT pct, false, r.doc_id, d.n_chars FROM ranked r JOIN documents d ON d.doc_id = r.doc_id, k WHERE r.r <= keep)
+SELECT '{method}' AS method, pct, is_en, false AS is_synthetic, count(*) AS n, sum(doc_id * n_chars)::BIGINT AS checksum, true AS in_range
+FROM real GROUP BY ALL
+UNION ALL SELECT '{method}', pct, false, true, (many - keep)::BIGINT, NULL, true FROM k WHERE many > keep"""
+
+
+def missing_bins(attr: str, rows: str, bins: int = 10) -> str:
+    """Equal-width counts of one numeric column; NaN and null are missing."""
+    return f"""
+SELECT '{attr}' AS attr, b.bin, count(v.x) AS n, (SELECT count(*) - count(x) FROM ({rows})) AS missing
+FROM (SELECT unnest(range({bins})) AS bin) b
+LEFT JOIN (SELECT x, least(floor((x - lo) / w), {bins - 1})::BIGINT AS bin
+  FROM ({rows}), (SELECT min(x) AS lo, (max(x) - min(x)) / {bins} AS w FROM ({rows}))) v USING (bin) GROUP BY b.bin"""
 
 
 STRIP = f"regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')"
@@ -323,6 +336,31 @@ WHERE r <= floor(p * (SELECT count(*) FROM documents WHERE lang = 'en') / (1 - p
     "train_test_split": f"""
 SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {bits("'split'", 'o_orderkey')}, o_orderkey)
   <= ceil((SELECT count(*) FROM orders) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM orders""",
+    "sample_repeated_key": f"""
+SELECT l_orderkey, count(*) AS n
+FROM (SELECT l_orderkey, row_number() OVER (ORDER BY {bits("'sample'", 'l_orderkey')}, l_orderkey) AS r FROM lineitem)
+WHERE r <= (SELECT count(*) // 3 FROM lineitem) GROUP BY 1""",
+    "split_stored": f"""
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {bits("'split'", 'o_orderkey')}, o_orderkey)
+  <= ceil((SELECT count(*) FROM orders) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM orders""",
+    "variants_stored": f"""
+WITH {RANKED}
+SELECT 'documents' AS dataset, 'kept' AS method, pct, doc_id, true AS is_en FROM documents, {PROPORTIONS} WHERE lang = 'en'
+UNION ALL
+SELECT 'documents', 'kept', pct, doc_id, false FROM ranked, {PROPORTIONS}
+WHERE r <= floor(p * (SELECT count(*) FROM documents WHERE lang = 'en') / (1 - p))""",
+    "survivors_stored": neardup(
+        DOC_LINES,
+        [0.99],
+        """SELECT l.file || '_deduplicated' AS file, count(*) FILTER (g.group_id = l.line_no) AS n_lines
+FROM lines l LEFT JOIN groups g ON g.file = l.file AND g.group_id = l.line_no
+GROUP BY l.file HAVING count(*) > count(*) FILTER (g.group_id = l.line_no)""",
+    ),
+    "histogram_missing": missing_bins("value", "SELECT CASE WHEN value >= 0.05 THEN value END AS x FROM events")
+    + " UNION ALL "
+    + missing_bins("price", "SELECT l_extendedprice::DECIMAL(15, 2)::DOUBLE AS x FROM lineitem")
+    + " UNION ALL "
+    + missing_bins("quantity", "SELECT trunc(l_quantity)::DOUBLE AS x FROM lineitem"),
     "null_safe_split": """
 SELECT doc_id, toxic, CASE WHEN toxic IS NOT DISTINCT FROM 1 THEN 'minority' ELSE 'majority' END AS side
 FROM documents LEFT JOIN labels USING (doc_id)""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +16,25 @@ from counterpoise.operators import neardup as N
 from counterpoise.operators import ranking as R
 from counterpoise.operators import sampling as S
 from counterpoise.operators import smote as K
-from counterpoise.operators.lineage import fan_out
+from counterpoise.operators.lineage import ensure_checkpoint_dir, fan_out
 from counterpoise.plans.evaluation import evaluate_variants, tabulate
-from counterpoise.plans.rebalance import PROPORTIONS, rebalance_sweep
+from counterpoise.plans.rebalance import METHODS, PROPORTIONS, rebalance_sweep
 from counterpoise.plans.sweep import threshold_sweep
-from counterpoise.sources.tables import variant_parts
-from counterpoise.sources.text import corpus_lines, text_column_lines
+from counterpoise.sources.tables import read_split, read_variants, variant_parts, write_split, write_variants
+from counterpoise.sources.text import corpus_lines, text_column_lines, write_survivors
 
-RARE = (0.05, 0.1)  # toxic rows are too rare for larger proportions, and SMOTE needs two of them
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark, folder) -> DataFrame:
     """documents without their text, with the binary target is_en."""
     docs = table(spark, folder, "documents")
@@ -81,6 +89,34 @@ def train_test_split(spark, folder):
     return S.train_test_split(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
+def sample_repeated_key(spark, folder):
+    """A third of lineitem by a key that repeats: exactly so many rows, counted by key."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    sample = S.exact_sample(items, items.count() // 3, "l_orderkey")
+    return sample.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_stored(spark, folder):
+    """The split of orders, written as partitions and read back."""
+    out = scratch(spark, "split")
+    write_split(train_test_split(spark, folder), out, "orders")
+    return read_split(spark, out).select("o_orderkey", "split")
+
+
+def variants_stored(spark, folder):
+    """The kept rows of all variants, written by dataset, method and proportion, and read back."""
+    out = scratch(spark, "variants")
+    write_variants(sweep_sample(spark, folder), out, "documents", "kept")
+    return read_variants(spark, out).select("dataset", "method", "pct", "doc_id", "is_en")
+
+
+def survivors_stored(spark, folder):
+    """Deduplicated files as they are on disk: lines of each file that lost some."""
+    out = scratch(spark, "survivors")
+    write_survivors(N.NearDuplicates(_by_document(spark, folder), [0.99]).lines(0.99), out)
+    return spark.read.text(out).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def null_safe_split(spark, folder):
     joined = documents(spark, folder).select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left")
     rare, rest = S.split_by_class(joined.select("doc_id", "toxic"), "toxic", 1)
@@ -157,6 +193,21 @@ def attribute_histogram(spark, folder):
     return dist.select("attr", "bin", "value", "n", *[F.round(c, 6).alias(c) for c in ("prob", "lo", "hi")])
 
 
+def histogram_missing(spark, folder):
+    """NaN counts as missing, and decimals and short integers are numbers."""
+    value = F.when(F.col("value") < 0.05, F.lit(float("nan"))).otherwise(F.col("value"))
+    events = table(spark, folder, "events").select(value.alias("value"))
+    items = table(spark, folder, "lineitem")
+    items = items.select(F.col("l_extendedprice").cast("decimal(15,2)").alias("price"), F.col("l_quantity").cast("smallint").alias("quantity"))
+    parts = []
+    for df in (events, items):
+        kinds = D.column_kinds(df)
+        missing = F.create_map(*[x for a in kinds for x in (F.lit(a.name), F.lit(a.missing))])
+        counts = D.attribute_counts(df, kinds)
+        parts.append(counts.select("attr", "bin", "n", missing[F.col("attr")].alias("missing")))
+    return parts[0].unionByName(parts[1])
+
+
 def laplace_noise(spark, folder):
     df = _customer(spark, folder).drop("c_custkey")
     dist = D.attribute_distribution(df, D.column_kinds(df), epsilon=0.5)
@@ -240,10 +291,17 @@ def smote_table(spark, folder):
 
 
 def _balance(spark, folder, method):
-    out = rebalance_sweep(
-        labelled(spark, folder), "toxic", RARE, method, "doc_id", categorical_cols=["lang", "source"]
+    """All six proportions of is_en: rows of each class, and a sum over the real ones that tells which they are."""
+    df = documents(spark, folder).drop("lang")
+    out = rebalance_sweep(df, "is_en", PROPORTIONS, method, "doc_id", categorical_cols=["source"])
+    real = F.when(~F.col("is_synthetic"), F.col("doc_id") * F.col("n_chars"))
+    low, high = F.min("n_chars"), F.max("n_chars")
+    bounds = df.groupBy("is_en").agg(low.alias("low"), high.alias("high"))
+    inside = F.col("n_chars").between(F.col("low"), F.col("high"))
+    out = out.join(F.broadcast(bounds), "is_en")  # two rows
+    return out.groupBy("method", "pct", "is_en", "is_synthetic").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(real).cast("bigint").alias("checksum"), F.min(inside).alias("in_range")
     )
-    return out.groupBy("method", "pct", "toxic", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rebalance_independent(spark, folder):
@@ -375,17 +433,21 @@ def variant_paths(spark, folder):
 def train_and_score(spark, folder):
     rows = S.train_test_split(labelled(spark, folder), "doc_id")
     train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    scores = V.train_and_score(train, test, "toxic", "documents", key="doc_id", trees=20, rounds=10, max_depth=10, parallelism=8)
+    scores = V.train_and_score(train, test, "toxic", "documents", key="doc_id", parallelism=8)
     return spark.createDataFrame(scores, V.SCORES)
 
 
 def score_variants(spark, folder):
-    rows = S.train_test_split(labelled(spark, folder), "doc_id")
+    """Every method and proportion of is_en, scored by logistic regression.
+
+    The forest and boosting run at full size in ``train_and_score``; over all
+    18 variants they would train for hours on one machine.
+    """
+    rows = S.train_test_split(documents(spark, folder).drop("lang"), "doc_id")
     train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    variants = rebalance_sweep(train, "toxic", RARE, "independent", "doc_id", categorical_cols=["lang", "source"])
-    scores = evaluate_variants(
-        variants.drop("doc_id"), test.drop("doc_id"), "toxic", "documents", models=["logistic"], parallelism=8
-    )
+    variants = [rebalance_sweep(train, "is_en", PROPORTIONS, m, "doc_id", categorical_cols=["source"]) for m in METHODS]
+    variants = reduce(lambda a, b: a.unionByName(b), variants)
+    scores = evaluate_variants(variants.drop("doc_id"), test.drop("doc_id"), "is_en", "documents", models=["logistic"], parallelism=8)
     return tabulate(scores)
 
 
@@ -397,6 +459,10 @@ QUERIES = {
         minority_sample,
         sweep_sample,
         train_test_split,
+        sample_repeated_key,
+        split_stored,
+        variants_stored,
+        survivors_stored,
         null_safe_split,
         complete_cases,
         missing_marker,
@@ -407,6 +473,7 @@ QUERIES = {
         round_clip_decode,
         column_typing,
         attribute_histogram,
+        histogram_missing,
         laplace_noise,
         independent_sample,
         mutual_information,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import laplace, uniform
-from counterpoise.operators.encode import NUMERIC, LabelEncoder
+from counterpoise.operators.encode import LabelEncoder, is_numeric, nan_as_null
 from counterpoise.operators.lineage import materialise, side_by_side
 from counterpoise.operators.ranking import running_sum
 
@@ -48,7 +48,8 @@ class Attribute:
         if self.bins == 1:
             return F.when(F.col(self.name).isNotNull(), F.lit(0).cast("bigint"))
         raw = F.floor((self.number() - F.lit(self.lo)) / F.lit(self.width))
-        return F.least(raw, F.lit(self.bins - 1).cast("bigint"))
+        # least() alone would put missing values into the last bin
+        return F.when(raw.isNotNull(), F.least(raw, F.lit(self.bins - 1).cast("bigint")))
 
 
 def column_kinds(
@@ -63,12 +64,13 @@ def column_kinds(
     The first pass uses sketches for all columns; the exact distinct count is
     taken only where the sketch is near the threshold, so its sets stay small.
     """
+    df = nan_as_null(df)
     cols = [c for c in df.columns if c not in skip]
     types = dict(df.dtypes)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in cols:
         aggs += [F.approx_count_distinct(c).alias(f"d_{c}"), F.count(c).alias(f"n_{c}")]
-        if types[c] in NUMERIC or types[c] == "string":
+        if is_numeric(types[c]) or types[c] == "string":
             x = F.length(c) if types[c] == "string" else F.col(c)
             aggs += [F.min(x).cast("double").alias(f"lo_{c}"), F.max(x).cast("double").alias(f"hi_{c}")]
     seen = df.agg(*aggs).first()
@@ -77,7 +79,7 @@ def column_kinds(
     out = []
     for c in cols:
         distinct = exact.get(c, seen[f"d_{c}"])
-        usable = types[c] in NUMERIC or types[c] == "string"
+        usable = is_numeric(types[c]) or types[c] == "string"
         common = dict(name=c, dtype=types[c], distinct=distinct, missing=seen["rows"] - seen[f"n_{c}"], rows=seen["rows"])
         if c in categorical_cols or distinct <= category_threshold or not usable:
             out.append(Attribute(kind="categorical", **common))
@@ -93,6 +95,7 @@ def attribute_counts(df: DataFrame, attributes: Sequence[Attribute]) -> DataFram
 
     Empty bins of a histogram are listed with n = 0.
     """
+    df = nan_as_null(df)
     cells = []
     for a in attributes:
         categorical = a.kind == "categorical"
@@ -188,6 +191,7 @@ class BinnedTable:
 
 
 def bin_table(df: DataFrame, attributes: Sequence[Attribute]) -> BinnedTable:
+    df = nan_as_null(df)
     attributes = list(attributes)
     names = [a.name for a in attributes]
     labelled = [a.name for a in attributes if a.kind == "categorical"]

@@ -12,11 +12,20 @@ from counterpoise.operators.lineage import write_down
 from counterpoise.operators.lookup import fits_broadcast, lookup_join
 from counterpoise.operators.ranking import running_sum
 
-NUMERIC = ("int", "bigint", "float", "double")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def is_numeric(dtype: str) -> bool:
+    return dtype in NUMERIC or dtype.startswith("decimal")
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value, as in a table read with pandas."""
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in df.dtypes if t in ("float", "double")})
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
-    return [c for c, t in df.dtypes if t in NUMERIC and c not in skip]
+    return [c for c, t in df.dtypes if is_numeric(t) and c not in skip]
 
 
 def string_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:

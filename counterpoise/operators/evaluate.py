@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import hash_bits, uniform
-from counterpoise.operators.encode import NUMERIC, LabelEncoder, StandardScaler, numeric_columns, string_columns
+from counterpoise.operators.encode import LabelEncoder, StandardScaler, numeric_columns, string_columns
 from counterpoise.operators.lineage import ensure_checkpoint_dir, side_by_side, write_down
 from counterpoise.operators.ranking import hashed_rank, running_sum, with_row_key
 from counterpoise.operators.sampling import complete_cases, require_column

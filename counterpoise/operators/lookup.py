@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from counterpoise.operators.lineage import Written, row_bytes
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
+NULL_SALTS = 4_096
 
 
 def fits_broadcast(table: DataFrame | Written, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
@@ -60,8 +63,13 @@ def lookup_join(
     )
     # at most (rows of df) / hot_rows keys, so this side is small by construction
     hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_salts")).cast("int")
-    left = df.join(hot, on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+    row = F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")])
+    spread = F.pmod(row, F.col("_salts")).cast("int")
+    # a null key finds nothing, so its rows may go anywhere: they are spread over negative salts
+    lost = functools.reduce(operator.or_, [F.col(c).isNull() for c in on])
+    nowhere = -1 - F.pmod(row, F.lit(NULL_SALTS)).cast("int")
+    salt = F.when(lost, nowhere).otherwise(F.coalesce(spread, F.lit(0)))
+    left = df.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
     right = (
         table.join(hot, on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))

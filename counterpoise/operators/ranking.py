@@ -19,15 +19,34 @@ _FETCH = 1_000
 
 @dataclass(frozen=True)
 class Cutoff:
-    """The last (bits, key) still inside; ``None`` bits means every row is in."""
+    """The last (bits, key) still inside; ``None`` bits means every row is in.
+
+    Rows that repeat a key are equal in this order: ``ties`` rows stand at the
+    cut-off, of which ``inside`` are in. Null keys come last among equal bits.
+    """
 
     bits: int | None
     key: object = None
+    ties: int = 1
+    inside: int = 1
+
+    @property
+    def exact(self) -> bool:
+        """Whether :meth:`admits` takes the wanted number of rows."""
+        return self.ties == self.inside
 
     def admits(self, bits: Column, key: Column) -> Column:
+        """Rows up to and with the cut-off, all its ties included."""
         if self.bits is None:
             return F.lit(True)
-        return (bits < F.lit(self.bits)) | ((bits == F.lit(self.bits)) & (key <= F.lit(self.key)))
+        within = F.lit(True) if self.key is None else F.coalesce(key <= F.lit(self.key), F.lit(False))
+        return (bits < F.lit(self.bits)) | ((bits == F.lit(self.bits)) & within)
+
+    def tied(self, bits: Column, key: Column) -> Column:
+        """The rows at the cut-off itself."""
+        if self.bits is None:
+            return F.lit(False)
+        return (bits == F.lit(self.bits)) & key.eqNullSafe(F.lit(self.key))
 
 
 def rank_cutoffs(df: DataFrame, bits: Column, key: Column, ranks: Sequence[int]) -> dict[int, Cutoff]:
@@ -70,19 +89,22 @@ def rank_cutoffs(df: DataFrame, bits: Column, key: Column, ranks: Sequence[int])
             else:
                 open_[r] = hit
         if widest <= _FETCH or shift == 0:
-            if widest > _FETCH:
-                raise ValueError("the key does not tell the rows apart")
             break
     if open_:
         prefixes = sorted({p for p, _ in open_.values()})
-        tail = rows.filter(F.shiftright("_h", shift).isin(prefixes)).collect()
+        # rows of one key are counted here, so that a key of very many rows is one line
+        tail = rows.filter(F.shiftright("_h", shift).isin(prefixes)).groupBy("_h", "_k").count().collect()
         by_prefix: dict[int, list] = {}
         for row in tail:
-            by_prefix.setdefault(row["_h"] >> shift, []).append((row["_h"], row["_k"]))
-        for p in by_prefix:
-            by_prefix[p].sort()
+            by_prefix.setdefault(row["_h"] >> shift, []).append((row["_h"], row["_k"], row["count"]))
+        for lines in by_prefix.values():
+            lines.sort(key=lambda x: (x[0], x[1] is None, x[1]))
         for r, (p, before) in open_.items():
-            found[r] = Cutoff(*by_prefix[p][r - before - 1])
+            for h, k, n in by_prefix[p]:
+                if before + n >= r:
+                    found[r] = Cutoff(h, k, n, r - before)
+                    break
+                before += n
     return found
 
 

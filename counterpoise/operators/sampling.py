@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.functions.hashing import hash_bits
-from counterpoise.operators.ranking import rank_cutoffs
+from counterpoise.operators.ranking import Cutoff, rank_cutoffs, running_sum
 
 
 def require_column(df: DataFrame, name: str) -> None:
@@ -109,8 +109,32 @@ def split_by_class(df: DataFrame, target: str, minority: object, drop_null_targe
     return df.filter(is_class(target, minority)), df.filter(~is_class(target, minority))
 
 
+def _marked(df: DataFrame, cut: Cutoff, bits: Column, key: Column, name: str) -> DataFrame:
+    """Adds the boolean ``name``: true for exactly the rows up to the cut-off.
+
+    Where rows repeat the key at the cut-off, those rows (and only they) are
+    ordered by their content; equal rows are interchangeable, so they are
+    counted, and their counts divided, without gathering them.
+    """
+    if cut.exact:
+        return df.withColumn(name, cut.admits(bits, key))
+    tied = cut.tied(bits, key)
+    plain = df.filter(~tied).withColumn(name, cut.admits(bits, key))
+    digest = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    counted = df.filter(tied).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", digest)
+    summed = running_sum(counted, [], ["_d"], {"_upto": "_n"})
+    within = F.greatest(F.lit(0), F.least(F.col("_n"), cut.inside - (F.col("_upto") - F.col("_n"))))
+    parts = F.array(F.struct(F.lit(True).alias("in"), within.alias("n")), F.struct(F.lit(False).alias("in"), (F.col("_n") - within).alias("n")))
+    split = summed.select(*df.columns, F.explode(parts).alias("_p")).filter("_p.n > 0")
+    copies = split.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_p.n"))))
+    return plain.unionByName(copies.select(*df.columns, F.col("_p.in").alias(name)))
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42, salt: str = "sample") -> DataFrame:
-    """Exactly n rows without replacement; smaller n gives a subset of larger n."""
+    """Exactly n rows without replacement, also where keys repeat or are null.
+
+    Smaller n gives a subset of larger n.
+    """
     bits = hash_bits(seed, salt, F.col(key))
     available = df.count()
     if n > available:
@@ -118,7 +142,9 @@ def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42, salt: str = "s
     if n == available:
         return df
     cut = rank_cutoffs(df, bits, F.col(key), [n])[n]
-    return df.filter(cut.admits(bits, F.col(key)))
+    if cut.exact:
+        return df.filter(cut.admits(bits, F.col(key)))
+    return _marked(df, cut, bits, F.col(key), "_in").filter("_in").drop("_in")
 
 
 def train_test_split(
@@ -134,9 +160,9 @@ def train_test_split(
     if exact:
         n = math.ceil(df.count() * test_size)
         cut = rank_cutoffs(df, bits, F.col(key), [n])[n]
-        chosen = cut.admits(bits, F.col(key))
-    else:
-        chosen = bits < F.lit(int(test_size * (1 << 52)))
+        marked = _marked(df, cut, bits, F.col(key), "_in")
+        return marked.select(*df.columns, F.when(F.col("_in"), "test").otherwise("train").alias("split"))
+    chosen = bits < F.lit(int(test_size * (1 << 52)))
     return df.withColumn("split", F.when(chosen, "test").otherwise("train"))
 
 
@@ -168,6 +194,8 @@ def sweep_samples(
     bits, k = hash_bits(seed, "sample", F.col(key)), F.col(key)
     rare = is_class(target, profile.minority)
     cuts = rank_cutoffs(df.filter(rare), bits, k, list(keep.values()))
+    if not all(c.exact for c in cuts.values()):
+        raise ValueError("the key has to tell the minority rows apart")
     row = df.withColumn("_h", bits)
     variants = F.array(
         *[

@@ -10,13 +10,18 @@ MISSING = "."  # fixed value: the cell that stands for "no value"
 ORIGINAL, VARIANTS = "original", "variants"
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, missing: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, missing: str | None = None, fmt: str | None = None) -> DataFrame:
     """A Parquet folder/file, or CSV with a header.
 
+    ``fmt`` is 'parquet' or 'csv'; without it a path ending in ``.parquet`` is
+    Parquet and any other CSV.
     ``missing`` is read as null at the scan, so a numeric column holding it
     stays numeric.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"no such format: {fmt}")
+    if fmt == "parquet":
         return spark.read.parquet(path)
     reader = spark.read.option("header", True)
     if missing is not None:

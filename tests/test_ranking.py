@@ -25,10 +25,11 @@ def test_cutoffs_take_exactly_n(spark):
     assert taken == {0: 0, 1: 1, 17: 17, 4_000: 4_000, 49_999: 49_999, 50_000: 50_000, 60_000: 50_000}
 
 
-def test_cutoffs_reject_a_useless_key(spark):
-    df = spark.range(3_000).select(F.lit(1).alias("k"))
-    with pytest.raises(ValueError, match="does not tell"):
-        ranking.rank_cutoffs(df, hash_bits(1, "s", F.col("k")), F.col("k"), [5])
+@pytest.mark.parametrize("rows", [30, 3_000])
+def test_cutoffs_count_the_rows_of_a_repeated_key(spark, rows):
+    df = spark.range(rows).select(F.lit(1).alias("k"))
+    cut = ranking.rank_cutoffs(df, hash_bits(1, "s", F.col("k")), F.col("k"), [5])[5]
+    assert (cut.ties, cut.inside, cut.exact) == (rows, 5, False)
 
 
 @pytest.mark.parametrize("window_rows", [10**6, 64])

@@ -88,3 +88,23 @@ def test_complete_cases(spark):
     assert S.complete_cases(df).count() == 2
     assert [r["x"] for r in S.complete_cases(df, missing=".").collect()] == [1]
     assert S.complete_cases(spark.createDataFrame([], "x int, y string"), missing=".").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 10, 777, 5_001, 99_999])
+def test_exact_sample_on_repeated_and_null_keys(spark, n):
+    """2,000 keys of 50 rows each, among them equal rows and a null key."""
+    key = F.when(F.col("id") % 2_000 != 0, F.col("id") % 2_000)
+    df = spark.range(100_000).select(key.alias("k"), (F.col("id") % 3).alias("v"))
+    part = S.exact_sample(df, n, "k")
+    assert part.count() == n
+    left = df.exceptAll(part)
+    assert left.count() == 100_000 - n  # nothing that was not there
+
+
+def test_exact_split_on_one_key(spark):
+    df = spark.range(1_000).select(F.lit("same").alias("k"), (F.col("id") % 4).alias("v"))
+    sizes = {r["split"]: r["count"] for r in S.train_test_split(df, "k", 0.2).groupBy("split").count().collect()}
+    assert sizes == {"test": 200, "train": 800}
+    none = df.withColumn("k", F.lit(None).cast("string"))
+    sizes = {r["split"]: r["count"] for r in S.train_test_split(none, "k", 0.333).groupBy("split").count().collect()}
+    assert sizes == {"test": 333, "train": 667}

@@ -201,3 +201,20 @@ def test_tiny_minorities(spark):
     made = [r["x"] for r in K.smote(rows(2), "y", key="id").filter("is_synthetic").collect()]
     assert len(made) == 26 and all(0 <= v <= 1 for v in made)
     assert K.neighbour_count(5, 2) == 1 and K.neighbour_count(5, 100) == 5
+
+
+def test_nan_null_decimal_and_short_columns(spark):
+    """NaN counts as missing, missing values fall into no bin, and all numeric types are binned."""
+    df = spark.range(100).select(
+        F.when(F.col("id") == 3, float("nan")).when(F.col("id") == 4, None).otherwise(F.col("id") * 1.5).alias("x"),
+        F.col("id").cast("decimal(12,2)").alias("d"),
+        F.col("id").cast("smallint").alias("s"),
+    )
+    kinds = {a.name: a for a in D.column_kinds(df)}
+    assert {a.kind for a in kinds.values()} == {"histogram"}
+    assert (kinds["x"].missing, kinds["x"].lo, kinds["x"].hi) == (2, 0.0, 148.5)
+    counts = {(r.attr, r.bin): r.n for r in D.attribute_counts(df, list(kinds.values())).collect()}
+    assert sum(n for (a, _), n in counts.items() if a == "x") == 98
+    assert [counts["d", b] for b in range(10)] == [10] * 10 == [counts["s", b] for b in range(10)]
+    made = G.synthesize(df, 200, "independent")
+    assert made.filter("isnan(x)").count() == 0
