@@ -20,8 +20,8 @@ from counterpoise.operators.lineage import ensure_checkpoint_dir, side_by_side,
 from counterpoise.operators.ranking import hashed_rank, running_sum, with_row_key
 from counterpoise.operators.sampling import complete_cases, require_column
 
+# Names of the models in result tables.
 MODELS = ("logistic", "random_forest", "hist_gradient")
-EARLY_STOP_ROWS = 10_000
 
 
 def fold_count(smallest_class: int, max_splits: int = 5) -> int | None:
@@ -117,12 +117,18 @@ class Preprocessor:
         return out.select(*keep, F.col(self.target).cast("double").alias("label"), F.col("_x").alias("features"))
 
 
-def classifiers(n: int, seed: int, trees: int = 100, rounds: int = 100, max_depth: int = 30) -> dict[str, object]:
-    """The three estimators. ``n`` is the number of training rows, which sets the ridge."""
+def classifiers(
+    n: int, seed: int, trees: int = 100, rounds: int = 100, max_depth: int = 30, early_stopping: bool = False
+) -> dict[str, object]:
+    """The three estimators. ``n`` is the number of training rows, which sets the ridge.
+
+    ``early_stopping`` lets boosting hold out a tenth of the rows and stop when
+    they improve no more; without it all rounds run, at any size.
+    """
     boosting = GBTClassifier(
         maxIter=rounds, stepSize=0.1, maxDepth=5, maxBins=255, minInstancesPerNode=20, seed=seed, validationTol=1e-7
     )
-    if n > EARLY_STOP_ROWS:
+    if early_stopping:
         boosting = boosting.setValidationIndicatorCol("held_out")
     return {
         "logistic": LogisticRegression(
@@ -175,6 +181,15 @@ class TrainedModels:
         return roc_auc(union, "score", "label", ["model"])
 
 
+def _balancing(per_class: dict[float, int]) -> Column:
+    """Row weights that give each class the same mass."""
+    n = sum(per_class.values())
+    weight = F.lit(1.0)
+    for value, size in per_class.items():
+        weight = F.when(F.col("label") == value, F.lit(n / (2.0 * size))).otherwise(weight)
+    return weight
+
+
 def train_models(
     train: DataFrame,
     target: str,
@@ -209,15 +224,21 @@ def train_models(
     def ready(p: Preprocessor, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         out = p.transform(df, keep)
         per_class = {r["label"]: r["n"] for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = sum(per_class.values())
-        weight = F.lit(1.0)
-        for value, size in per_class.items():
-            weight = F.when(F.col("label") == value, F.lit(n / (2.0 * size))).otherwise(weight)
-        return out.withColumn("weight", weight).withColumn("held_out", uniform(seed, "held out", F.col(keep[0])) < 0.1)
+        return out.withColumn("weight", _balancing(per_class)).withColumn("held_out", uniform(seed, "held out", F.col(keep[0])) < 0.1)
 
     prepared = write_down(ready(prep, folded if folded is not None else rows, [key, "fold"] if k else [key]))
     n = prepared.rows
 
+    cells = prepared.df.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect() if k and not fit_per_fold else []
+
+    def weight_without(f: int) -> Column:
+        """Classes balanced inside a fit: the fold left out does not count."""
+        per_class: dict[float, int] = {}
+        for r in cells:
+            if r["fold"] != f:
+                per_class[r["label"]] = per_class.get(r["label"], 0) + r["n"]
+        return _balancing(per_class)
+
     def fit_all(name: str):
         return stored(classifiers(n, seed, **sizes)[name].fit(prepared.df), spark)
 
@@ -230,6 +251,7 @@ def train_models(
             inside, outside = ready(p, inside, [key]), p.transform(outside)
         else:
             inside, outside = prepared.df.filter(F.col("fold") != f), prepared.df.filter(F.col("fold") == f)
+            inside = inside.withColumn("weight", weight_without(f))
         model = classifiers(max(1, n - n // k), seed, **sizes)[name].fit(inside)
         return scored(stored(model, spark), outside, *tags)
 

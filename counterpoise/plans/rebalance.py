@@ -21,6 +21,7 @@ from counterpoise.operators.sampling import (
 from counterpoise.operators.smote import smote
 
 METHODS = (*MODES, "smote")
+# The proportions of the minority class that are tried.
 PROPORTIONS = (0.02, 0.05, 0.1, 0.2, 0.25, 0.3)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.operators.neardup import NearDuplicates
 
+# Similarities that are tried.
 THRESHOLDS = (0.9, 0.95, 0.97, 0.99, 1.0)
 
 
