@@ -16,7 +16,7 @@ from counterpoise.operators import neardup as N
 from counterpoise.operators import ranking as R
 from counterpoise.operators import sampling as S
 from counterpoise.operators import smote as K
-from counterpoise.operators.lineage import ensure_checkpoint_dir, fan_out
+from counterpoise.operators.lineage import ensure_checkpoint_dir, fan_out, materialise
 from counterpoise.plans.evaluation import evaluate_variants, tabulate
 from counterpoise.plans.rebalance import METHODS, PROPORTIONS, rebalance_sweep
 from counterpoise.plans.sweep import threshold_sweep
@@ -446,7 +446,7 @@ def score_variants(spark, folder):
     rows = S.train_test_split(documents(spark, folder).drop("lang"), "doc_id")
     train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     variants = [rebalance_sweep(train, "is_en", PROPORTIONS, m, "doc_id", categorical_cols=["source"]) for m in METHODS]
-    variants = reduce(lambda a, b: a.unionByName(b), variants)
+    variants = materialise(reduce(lambda a, b: a.unionByName(b), variants))  # read once for each variant
     scores = evaluate_variants(variants.drop("doc_id"), test.drop("doc_id"), "is_en", "documents", models=["logistic"], parallelism=8)
     return tabulate(scores)
 
