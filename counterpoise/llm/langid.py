@@ -200,6 +200,9 @@ def identify(
     def score(keep: Sequence[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
+                if "text" not in whole.schema.names:  # the text came inside the row, once
+                    inside = whole.column("row").field(text)
+                    whole = pa.RecordBatch.from_arrays([*whole.columns, inside], [*whole.schema.names, "text"])
                 for batch in slices(whole, "text"):
                     logs, count = sent.value.likelihoods(batch.column("text"), evidence_runs)
                     flat = pa.array(logs.reshape(-1))
@@ -213,7 +216,8 @@ def identify(
         schema = T.StructType([df.schema[c] for c in keep]).add("logs", T.ArrayType(T.DoubleType())).add("runs", T.LongType())
         return df.mapInArrow(score(keep), schema)
 
-    out = scored(packed, ["row", "declared", "place"])
+    once = packed.drop("text") if text in carry else packed
+    out = scored(once.drop("host", "suffix"), ["row", "declared", "place"])
     if n == 0:
         none = F.lit(None).cast("string")
         return out.select("row", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), F.col("declared").alias("declared_language"), F.lit(False).alias("kept"))

@@ -25,7 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -193,11 +193,17 @@ class Codec:
 
         self.model = parse_model(data)
         self.threads = threads
-        self.whole = build_tokenizer(self.model)
-        self.part = build_tokenizer(self.model, whole_texts=False)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.byte_piece = np.array([k == BYTE for k in self.model.kinds])
 
+    @cached_property
+    def whole(self):
+        return build_tokenizer(self.model)
+
+    @cached_property
+    def part(self):
+        return build_tokenizer(self.model, whole_texts=False)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
         held = self.whole.encode_batch_fast([t for t in texts if t], add_special_tokens=False)
