@@ -47,6 +47,7 @@ NO_TEXT = RAW | frozenset("head select option datalist object canvas audio video
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FRAME_TAGS = frozenset("nav header footer aside form button fieldset menu dialog address".split())
 MAIN_TAGS = frozenset("article main".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
@@ -152,11 +153,23 @@ def parse(page: str) -> Tree:
                 return None
         return None
 
+    def leave_head() -> None:
+        """Without its closing tag a head ends before the first text or element that may not stand in it."""
+        if stack[-1][1] == "head":
+            flush()
+            pop(len(stack) - 1)
+
+    def say(text: str) -> None:
+        if hidden and text.strip(" \t\n\f\r"):
+            leave_head()
+        if not hidden:
+            pending.append(text)
+
     for match in _TOKEN.finditer(page):
         if match.start() < at:
             continue
-        if match.start() > at and not hidden:
-            pending.append(page[at : match.start()])
+        if match.start() > at:
+            say(page[at : match.start()])
         at = match.end()
         closing, name, attributes = match.groups()
         if name is None:
@@ -172,6 +185,8 @@ def parse(page: str) -> Tree:
                 flush()
                 pop(place)
             continue
+        if name not in IN_HEAD:
+            leave_head()
         if name == "br":
             pending.append(" ")
             continue
@@ -199,8 +214,8 @@ def parse(page: str) -> Tree:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             pop(len(stack) - 1)
-    if at < len(page) and not hidden:
-        pending.append(page[at:])
+    if at < len(page):
+        say(page[at:])
     flush()
     return tree
 

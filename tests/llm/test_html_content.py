@@ -82,3 +82,22 @@ def test_frames(spark, model):
     rows = H.extract(pages, model).collect()
     assert sorted(r.text for r in rows) == ["", SHORT, SHORT] and [r.n_chars for r in rows] == [len(r.text) for r in rows]
     assert H.extract(pages.limit(0), H.fit(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><body><article><p>{PROSE}</p></article></body></html>",
+        f"<head><meta charset=utf-8><title>x</title><article><p>{PROSE}</p></article>",
+        f"<head><style>p</style><link rel=x><script>y</script>\n<p>{PROSE}</p></html>",
+        f"<head><title>x</title>\n{PROSE}",
+        f"<head><head><title>x</title><body>{PROSE}</body>",
+        f"<head><title>x</title></head><body><p>{PROSE}</p>",
+    ],
+)
+def test_heads_may_be_left_open(page):
+    assert [" ".join(t.split()) for t in H.parse(page).text if t.strip()] == [SHORT]
+
+
+def test_article_behind_an_open_head(model):
+    assert H.main_text(model, f"<html><head><title>x</title><body><article><p>{PROSE}</p></article>") == SHORT
