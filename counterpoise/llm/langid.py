@@ -28,8 +28,10 @@ one struct, so other column names do not matter.
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ from counterpoise.operators.lookup import lookup_join
 
 BUCKET_BITS = 16
 SAMPLE_ROWS = 4_000
+MIN_LABEL_ROWS = 2
 EVIDENCE_RUNS = 200
 MIN_POSTERIOR = 0.5
 HOST_STRENGTH = 20.0
@@ -81,6 +84,7 @@ def letter_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     languages: tuple[str, ...]
     logs: np.ndarray  # buckets x languages
+    left_out: dict[str, int] = field(default_factory=dict)  # rows of labels, or asked-for languages, that are no class
 
     def likelihoods(self, texts: pa.Array, evidence_runs: int) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages log-likelihoods, number of runs of each text)."""
@@ -95,26 +99,41 @@ class TextModel:
         return out, count
 
 
-def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, languages: Sequence[str] | None = None) -> TextModel:
+def fit_text(
+    docs: DataFrame,
+    text: str = "text",
+    label: str = "lang",
+    key: str = "doc_id",
+    sample_rows: int = SAMPLE_ROWS,
+    languages: Sequence[str] | None = None,
+    min_rows: int = MIN_LABEL_ROWS,
+) -> TextModel:
     """Counts of letter runs by language in at most ``sample_rows`` whole documents of each.
 
     The sample is the rows of smallest hash, so it does not depend on
     partitioning. Labels are folded to their primary subtag. The languages are
-    those given, or the labels found (at most 64 with the most rows).
+    all those given that have rows, or all labels of at least ``min_rows`` rows.
+    The others are in ``left_out`` with their rows, and logged.
     """
     tagged = docs.select(F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)).alias("h"), primary_tag(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text"))
     tagged = tagged.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = tagged.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    found = {r["lang"]: r["count"] for r in counts if languages is None or r["lang"] in languages}
+    if languages is not None:
+        tagged = tagged.filter(F.col("lang").isin(list(languages)))
+    rows = {lang: 0 for lang in languages or ()} | {r["lang"]: r["count"] for r in tagged.groupBy("lang").count().collect()}
+    found = {lang: n for lang, n in rows.items() if n >= (min_rows if languages is None else 1)}
+    left_out = {lang: n for lang, n in sorted(rows.items()) if lang not in found}
+    if left_out:
+        logging.getLogger(__name__).warning("labels with too few rows for a language of their own: %s", left_out)
     if not found:
-        return TextModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32))
+        return TextModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32), left_out)
     # a bar on the hash that lets about sample_rows rows of each language through
     bars = {lang: 2**64 * min(sample_rows, n) // n - 2**63 - 1 for lang, n in found.items()}
-    bar = F.create_map(*[F.lit(x) for item in sorted(bars.items()) for x in item])
-    sample = tagged.filter(F.col("h") <= bar[F.col("lang")]).select("lang", "text")
+    names = tuple(sorted(found))
+    known = F.from_json(F.lit(json.dumps({x: {"at": i, "bar": bars[x]} for i, x in enumerate(names)})), "map<string,struct<at:int,bar:bigint>>")[F.col("lang")]
+    sample = tagged.withColumn("known", known).filter(F.col("h") <= F.col("known.bar")).select(F.col("known.at").alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
+        tables: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 runs, first = letter_runs(batch.column("text"))
@@ -123,17 +142,16 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str
                     table += np.bincount(runs[first[i] : first[i + 1]], minlength=1 << BUCKET_BITS)
         for lang, table in tables.items():
             used = np.flatnonzero(table)
-            arrays = [pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(table[used])]
+            arrays = [pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(table[used])]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, bucket bigint, n bigint")
+    counted = sample.mapInArrow(count, "lang int, bucket int, n bigint")
     # at most languages x buckets rows, whatever the corpus
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = tuple(sorted(found))
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     totals = np.full((1 << BUCKET_BITS, len(names)), 0.5)
-    where = {lang: i for i, lang in enumerate(names)}
-    np.add.at(totals, (table["bucket"].to_numpy(np.int64), table["lang"].map(where).to_numpy(np.int64)), table["n"].to_numpy(float))
-    return TextModel(names, np.log(totals / totals.sum(axis=0)).astype(np.float32))
+    lang, bucket, n = (table.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+    totals[bucket, lang] += n
+    return TextModel(names, np.log(totals / totals.sum(axis=0)).astype(np.float32), left_out)
 
 
 def primary_tag(declared: Column) -> Column:
@@ -238,15 +256,15 @@ def identify(
             declared_logs[r["d"]] = np.log((t + 1.0) / (spoken.sum(axis=0) + n + 1.0)).tolist()
 
     def smooth(counts: Sequence[Column], prior: Sequence[Column], strength: float) -> list[Column]:
-        whole = sum(counts[1:], counts[0])
-        return [(c + strength * p) / (whole + strength) for c, p in zip(counts, prior)]
+        return [(c + strength * p) / (F.col("_all") + strength) for c, p in zip(counts, prior)]
 
+    counted = F.aggregate(F.array(*[F.col(f"p{i}") for i in range(n)]), F.lit(0.0), lambda total, x: total + x)
     level = [F.lit(float(b)) for b in base]
-    suffixes = cells.filter("suffix IS NOT NULL").groupBy("suffix").agg(*sums)
+    suffixes = cells.filter("suffix IS NOT NULL").groupBy("suffix").agg(*sums).withColumn("_all", counted)
     suffix_prior = smooth([F.col(f"p{i}") for i in range(n)], level, SUFFIX_STRENGTH)
     suffixes = write_down(suffixes.select("suffix", *[p.alias(f"s{i}") for i, p in enumerate(suffix_prior)]))
     hosts = cells.filter("host IS NOT NULL").groupBy("host").agg(*sums, F.max("suffix").alias("suffix"), F.sum("_rows").alias("_rows"))
-    hosts = lookup_join(hosts, suffixes, ["suffix"], "left")
+    hosts = lookup_join(hosts, suffixes, ["suffix"], "left").withColumn("_all", counted)
     above = [F.coalesce(F.col(f"s{i}"), level[i]) for i in range(n)]
     host_prior = smooth([F.col(f"p{i}") for i in range(n)], above, HOST_STRENGTH)
     hosts = hosts.select(at_host.alias("place"), F.array(*host_prior).alias("prior"), "_rows")
@@ -257,12 +275,8 @@ def identify(
     priors = write_down(places.select("place", "prior"))
     joined = lookup_join(out, priors, ["place"], "left", rows_per_key=places.select("place", "_rows"))
 
-    told_map = [x for d, logs in sorted(declared_logs.items()) for x in (F.lit(d), F.array(*[F.lit(v) for v in logs]))]
-    if told_map:
-        told_key = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNotNull(), "*")
-        declared_log = F.create_map(*told_map)[told_key]
-    else:
-        declared_log = F.lit(None).cast("array<double>")
+    told_key = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNotNull(), "*")
+    declared_log = F.from_json(F.lit(json.dumps(declared_logs)), "map<string,array<double>>")[told_key]
     prior = F.coalesce(F.col("prior"), F.array(*level))
     no_news = F.array(*[F.lit(0.0)] * n)
     with_prior = F.zip_with("logs", prior, lambda x, p: x + F.log(p))

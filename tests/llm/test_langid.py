@@ -105,3 +105,29 @@ def test_addresses(spark):
     assert [tuple(r) for r in rows] == [("site.example.de", "de"), (None, None), (None, None)]
     tag = spark.createDataFrame([("<!doctype html><HTML class=a LANG='pt-BR'>",), ("<p lang=x>",)], "html string")
     assert [r[0] for r in tag.select(langid.primary_tag(langid.markup_language(F.col("html")))).collect()] == ["pt", None]
+
+
+def many_languages(spark, count, each):
+    rng = random.Random(9)
+    rows = []
+    for k in range(count):
+        tag = "q" + chr(97 + k // 26) + chr(97 + k % 26)
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) + rng.choice(own) for _ in range(60)), tag, "h") for i in range(each)]
+    rows += [(-1, "a single row of its own", "junk", "h")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+
+
+def test_all_labels_are_languages(spark):
+    docs = many_languages(spark, 80, 4)
+    model = langid.fit_text(docs)
+    assert len(model.languages) == 80 and model.left_out == {"junk": 1}
+    rows = langid.identify(docs.filter("doc_id >= 0"), model, declared="lang", host="source", carry=["lang"]).collect()
+    assert len(rows) == 320 and all(r.language == r.text_language == r.row.lang for r in rows)
+    assert "junk" in langid.fit_text(docs, min_rows=1).languages
+
+
+def test_asked_for_languages_do_not_vanish(spark):
+    docs = many_languages(spark, 80, 4)
+    model = langid.fit_text(docs, languages=["qdb", "junk", "zz"])
+    assert model.languages == ("junk", "qdb") and model.left_out == {"zz": 0}
