@@ -17,7 +17,10 @@ prior comes back by ``lookup_join`` (broadcast if measured small, else hot hosts
 are salted). The driver sees only tables of (languages x declarations).
 
 A row is kept if its text holds two letters in a row, its best language reaches
-``min_posterior``, and that language is among ``accepted``.
+``min_posterior`` and is among ``accepted``, and the text's runs are about as
+likely in it as those of held-out labelled texts (``floors_of``). The posterior
+compares the known languages with each other; the floor is what tells gibberish,
+code and unknown languages. Such a row shows the nearest language but is not kept.
 
 Defined results: a null, empty or (so) letterless text gets language ``und`` and is
 not kept; missing columns or nulls are no evidence (a null host or suffix is
@@ -35,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +50,10 @@ from counterpoise.operators.lookup import lookup_join
 BUCKET_BITS = 16
 SAMPLE_ROWS = 4_000
 MIN_LABEL_ROWS = 2
+#: Of held-out labelled rows this share may lie below the floor before it is moved on; a floor needs so many rows.
+BELOW_FLOOR, BEYOND, FLOOR_ROWS = 0.001, 1.5, 20
+#: Texts of at least so many runs have a floor of their own: the longer, the narrower.
+LENGTHS = (1, 50, 200, 1_000)
 EVIDENCE_RUNS = 200
 MIN_POSTERIOR = 0.5
 HOST_STRENGTH = 20.0
@@ -85,6 +93,7 @@ class TextModel:
     languages: tuple[str, ...]
     logs: np.ndarray  # buckets x languages
     left_out: dict[str, int] = field(default_factory=dict)  # rows of labels, or asked-for languages, that are no class
+    floors: np.ndarray | None = None  # LENGTHS x languages: least mean log-likelihood of a run
 
     def likelihoods(self, texts: pa.Array, evidence_runs: int) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages log-likelihoods, number of runs of each text)."""
@@ -130,28 +139,71 @@ def fit_text(
     bars = {lang: 2**64 * min(sample_rows, n) // n - 2**63 - 1 for lang, n in found.items()}
     names = tuple(sorted(found))
     known = F.from_json(F.lit(json.dumps({x: {"at": i, "bar": bars[x]} for i, x in enumerate(names)})), "map<string,struct<at:int,bar:bigint>>")[F.col("lang")]
-    sample = tagged.withColumn("known", known).filter(F.col("h") <= F.col("known.bar")).select(F.col("known.at").alias("lang"), "text")
+    half = F.pmod(F.xxhash64("h"), F.lit(2)).cast("int")
+    sample = tagged.withColumn("known", known).filter(F.col("h") <= F.col("known.bar")).select(F.col("known.at").alias("lang"), half.alias("half"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
+        tables: dict[tuple[int, int], np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 runs, first = letter_runs(batch.column("text"))
-                for i, lang in enumerate(batch.column("lang").to_pylist()):
-                    table = tables.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
+                for i, part in enumerate(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist())):
+                    table = tables.setdefault(part, np.zeros(1 << BUCKET_BITS, np.int64))
                     table += np.bincount(runs[first[i] : first[i + 1]], minlength=1 << BUCKET_BITS)
-        for lang, table in tables.items():
+        for (lang, half), table in tables.items():
             used = np.flatnonzero(table)
-            arrays = [pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(table[used])]
-            yield pa.RecordBatch.from_arrays(arrays, ["lang", "bucket", "n"])
+            arrays = [pa.array(np.full(len(used), x, np.int32)) for x in (lang, half)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(used.astype(np.int32)), pa.array(table[used])], ["lang", "half", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang int, bucket int, n bigint")
-    # at most languages x buckets rows, whatever the corpus
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.full((1 << BUCKET_BITS, len(names)), 0.5)
-    lang, bucket, n = (table.column(c).to_numpy() for c in ("lang", "bucket", "n"))
-    totals[bucket, lang] += n
-    return TextModel(names, np.log(totals / totals.sum(axis=0)).astype(np.float32), left_out)
+    counted = sample.mapInArrow(count, "lang int, half int, bucket int, n bigint")
+    # at most 2 x languages x buckets rows, whatever the corpus
+    table = counted.groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    halves = np.zeros((2, 1 << BUCKET_BITS, len(names)))
+    lang, part, bucket, n = (table.column(c).to_numpy() for c in ("lang", "half", "bucket", "n"))
+    halves[part, bucket, lang] = n
+
+    def logs_of(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (counts + 0.5).sum(axis=0)).astype(np.float32)
+
+    # the counts of one half judge the other
+    sent = docs.sparkSession.sparkContext.broadcast([TextModel(names, logs_of(halves[1 - k])) for k in (0, 1)])
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mean log-likelihood of a run, of the sampled texts that are likeliest in the language of their label."""
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for k, model in enumerate(sent.value):
+                    part = batch.filter(pc.equal(batch.column("half"), k))
+                    lang = part.column("lang").to_numpy()
+                    logs, size = model.likelihoods(part.column("text"), 1 << 62)
+                    told = np.flatnonzero((size > 0) & (logs.argmax(axis=1) == lang))
+                    mean = logs[told, lang[told]] / size[told]
+                    yield pa.RecordBatch.from_arrays([pa.array(lang[told]), pa.array(size[told].astype(np.int64)), pa.array(mean)], ["lang", "runs", "mean"])
+
+    # at most a row for each sampled document
+    tried = sample.mapInArrow(held_out, "lang int, runs bigint, mean double").toArrow()
+    floors = floors_of(*(tried.column(c).to_numpy() for c in ("lang", "runs", "mean")), len(names))
+    return TextModel(names, logs_of(halves[0] + halves[1]), left_out, floors)
+
+
+def floors_of(lang: np.ndarray, runs: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
+    """LENGTHS x languages: how unlikely the runs of a text may be on the mean.
+
+    From held-out rows at least as long: the floor lies BEYOND times as far below
+    their median as the lowest of them, BELOW_FLOOR of the rows left aside. With
+    few such rows the floor of shorter texts holds, at first that of a model that
+    knows nothing.
+    """
+    out = np.full((len(LENGTHS), n), -np.log(1 << BUCKET_BITS))
+    for i in range(n):
+        for k, least in enumerate(LENGTHS):
+            of = mean[(lang == i) & (runs >= least)]
+            if len(of) >= FLOOR_ROWS:
+                low, middle = np.quantile(of, [BELOW_FLOOR, 0.5], method="lower")
+                out[k, i] = middle + BEYOND * (low - middle)
+            elif k:
+                out[k, i] = out[k - 1, i]
+    return out
 
 
 def primary_tag(declared: Column) -> Column:
@@ -284,17 +336,25 @@ def identify(
     ready = joined.select("row", "declared", "logs", "runs", fused.alias("fused"))
     top = F.array_max(_softmax(F.col("fused")))
     lang_names = F.array(*[F.lit(x) for x in names])
-    best = F.element_at(lang_names, F.array_position("fused", F.array_max("fused")).cast("int"))
+    place = F.array_position("fused", F.array_max("fused")).cast("int")
+    best = F.element_at(lang_names, place)
     by_text = F.element_at(lang_names, F.array_position("logs", F.array_max("logs")).cast("int"))
     allowed = best.isin(list(accepted)) if accepted is not None else F.lit(True)
     letters = F.col("runs") > 0
+    spoken_so = F.lit(True)
+    if model.floors is not None:
+        floor = None
+        for least, row in reversed(list(zip(LENGTHS, model.floors))):
+            at = F.element_at(F.array(*[F.lit(float(x)) for x in row]), place)
+            floor = F.when(F.col("runs") >= least, at) if floor is None else floor.when(F.col("runs") >= least, at)
+        spoken_so = F.coalesce(F.element_at("logs", place) / F.least("runs", F.lit(evidence_runs)) >= floor, F.lit(False))
     return ready.select(
         "row",
         F.when(letters, best).otherwise(UNKNOWN).alias("language"),
         F.when(letters, top).otherwise(0.0).alias("posterior"),
         F.when(letters, by_text).alias("text_language"),
         F.col("declared").alias("declared_language"),
-        (letters & (top >= min_posterior) & allowed).alias("kept"),
+        (letters & (top >= min_posterior) & spoken_so & allowed).alias("kept"),
     )
 
 

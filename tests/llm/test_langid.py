@@ -131,3 +131,22 @@ def test_asked_for_languages_do_not_vanish(spark):
     docs = many_languages(spark, 80, 4)
     model = langid.fit_text(docs, languages=["qdb", "junk", "zz"])
     assert model.languages == ("junk", "qdb") and model.left_out == {"zz": 0}
+
+
+def test_gibberish_and_unknown_languages_are_not_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    planted = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (8, 60, 900)]
+    planted += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "for (int i = 0; i < n; ++i) { if (buf[i] != NULL && strncmp(buf[i], key, len) == 0) return idx; } void *ptr = malloc(sizeof(struct node));",
+    ]
+    odd = spark.createDataFrame([(-1 - i, t, lang, "web") for i, t in enumerate(planted) for lang in ("en", None)], "doc_id bigint, text string, lang string, source string")
+    model = langid.fit_text(docs)
+    rows = langid.identify(docs.select(odd.columns).unionByName(odd), model, declared="lang", host="source", carry=["doc_id", "text"]).collect()
+    assert not [r.row.text for r in rows if r.row.doc_id < 0 and r.kept]
+    clean = [r for r in rows if r.row.doc_id >= 0 and langid.letter_runs(pa.array([r.row.text], pa.string()))[0].size]
+    assert len(clean) > 100 and all(r.kept for r in clean)
