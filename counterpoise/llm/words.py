@@ -40,18 +40,27 @@ _LOWER_BYTE = _BYTE[_LOWER]
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64 for i < n (r is odd, so it has an inverse)."""
-    if not _powers or len(_powers[0]) < n:
-        out = []
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """r^i and r^-i modulo 2^64 for i <= _SLICE (r is odd, so it has an inverse)."""
+    if not _powers:
         for r in (_RATIO, pow(_RATIO, -1, 1 << 64)):
-            steps = np.full(max(n, _SLICE + 1), r & _MASK, np.uint64)
+            steps = np.full(_SLICE + 1, r & _MASK, np.uint64)
             steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _powers[:] = out
+            _powers.append(np.multiply.accumulate(steps))
     return _powers[0], _powers[1]
 
 
+def _long_word(data: np.ndarray, table: np.ndarray) -> np.uint64:
+    """The polynomial of a word longer than the tables, a block at a time."""
+    power, _ = _power_tables()
+    total = np.zeros(1, np.uint64)
+    for at in range(0, len(data), _SLICE):
+        block = table[data[at : at + _SLICE]]
+        block *= power[: len(block)]
+        total += block.sum(dtype=np.uint64) * np.uint64(pow(_RATIO, at, 1 << 64))
+    return total[0]
+
+
 class Words(NamedTuple):
     """``hashes[first[i]:first[i + 1]]`` are the words of text i, which is ``data[at[i]:at[i + 1]]``."""
 
@@ -94,7 +103,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
         while i < len(begin):
             j = max(i + 1, int(np.searchsorted(end, begin[i] + _SLICE, "right")))
             low, high = int(begin[i]), int(end[j - 1])
-            power, inverse = _power_tables(high - low + 1)
+            if high - low > _SLICE:  # one word
+                hashes[i] = mix(_long_word(data[low:high], table) + np.uint64(high - low))
+                i = j
+                continue
+            power, inverse = _power_tables()
             sums = np.zeros(high - low + 1, np.uint64)
             np.cumsum(table[data[low:high]] * power[: high - low], out=sums[1:])
             b, e = begin[i:j] - low, end[i:j] - low
