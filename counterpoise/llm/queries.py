@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import hilbert, html_content, isolation, jaccard, langid, mixture, pieces, tool_calls, topk, warc
+from counterpoise.llm import bpe, hilbert, html_content, isolation, jaccard, langid, mixture, negatives, periods, pieces, tool_calls, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,6 +110,48 @@ def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.verify(table(spark, folder, "documents"), bpe.model_bytes())
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by a hash of the id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("planted"))
+    rows = rows.withColumn("words", F.when(F.col("planted"), words)).withColumn("n", F.size("words"))
+    a = F.col("g") % F.col("n")
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)
+    repeated = F.array_join(F.transform(numbers, lambda i: F.get("words", place(i).cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("planted") & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_period(table(spark, folder, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", periods.most_repeated(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 LLM_QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_sentencepiece": op2_sentencepiece,
@@ -122,6 +164,9 @@ LLM_QUERIES = {
     "op8_html_content": op8_html_content,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_topk": op10_exact_topk,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -196,5 +241,24 @@ WITH v AS (
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), t AS (
+  SELECT vec_id, label, unnest(w) AS w, generate_subscripts(w, 1) AS term FROM v
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, sum(a.w * c.w)::BIGINT AS score
+  FROM t a JOIN t c ON a.term = c.term AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
 """,
 }
