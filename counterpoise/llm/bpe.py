@@ -54,7 +54,7 @@ from pyspark.sql import types as T
 
 from counterpoise.llm.words import slices
 
-LEAF = 4_096
+LEAF = 8_192
 WINDOW = 24
 MARGIN = 16
 THREADS = 2
@@ -192,6 +192,7 @@ class Codec:
             plain = token not in added and all(c in signs for c in token)
             self.pieces[number] = bytes(signs[c] for c in token) if plain else token.encode()
         self.width = np.array([len(p) for p in self.pieces], np.int64)
+        self.numbers = [str(i) for i in range(len(self.pieces))]
 
     @staticmethod
     def _require(spec: dict) -> None:
@@ -237,19 +238,21 @@ class Codec:
             level = [[done.get((k, i), nodes[i]) for i in range(0, len(nodes), 2)] for k, nodes in enumerate(level)]
         return [nodes[0].ids for nodes in level]
 
+    def _fits(self, text: str) -> bool:
+        """Whether a text is a leaf; most characters have one byte, none more than four."""
+        return 4 * len(text) <= self.leaf or (len(text) <= self.leaf and len(text.encode()) <= self.leaf)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, short ones as they are and long ones by trees."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         plain, slots, long, long_slots = [], [], [], []
         for k, text in enumerate(texts):
-            # a character has 4 bytes at most
-            parts = [text] if 4 * len(text) <= self.leaf or self.added is None else self.added.split(text)
-            for part in parts:
-                if part:
-                    isshort = 4 * len(part) <= self.leaf
-                    (plain if isshort else long).append(part)
-                    (slots if isshort else long_slots).append((k, len(out[k])))
-                    out[k].append(np.zeros(0, np.int32))
+            parts = [text] if self._fits(text) or self.added is None else self.added.split(text)
+            for part in filter(None, parts):
+                fits = self._fits(part)
+                (plain if fits else long).append(part)
+                (slots if fits else long_slots).append((k, len(out[k])))
+                out[k].append(np.zeros(0, np.int32))
         for start in range(0, len(plain), CHUNK):
             for (k, i), e in zip(slots[start:], self.library.encode_batch_fast(plain[start : start + CHUNK], add_special_tokens=False)):
                 out[k][i] = np.array(e.ids, np.int32)
@@ -259,8 +262,12 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        pieces, top = self.pieces, len(self.pieces)
-        return b"".join([pieces[i] for i in ids.tolist() if 0 <= i < top]).decode("utf-8", "replace")
+        known = ids[(ids >= 0) & (ids < len(self.pieces))]
+        return b"".join(map(self.pieces.__getitem__, known.tolist())).decode("utf-8", "replace")
+
+    def listed(self, ids: np.ndarray) -> str:
+        """The ids as decimal numbers joined by commas."""
+        return ",".join(map(self.numbers.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -330,7 +337,7 @@ def verify(docs: DataFrame, data: bytes, key: str = "doc_id", text: str = "text"
                 for t, ids in zip(texts, codec.encode(texts)):
                     text_again = codec.decode(ids)
                     n.append(len(ids))
-                    numbers.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                    numbers.append(hashlib.sha256(codec.listed(ids).encode()).hexdigest())
                     back.append(hashlib.sha256(text_again.encode()).hexdigest())
                     same.append(text_again == t)
                 columns = [pa.array(n, pa.int64()), pa.array(numbers, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
