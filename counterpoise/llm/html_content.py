@@ -2,29 +2,40 @@
 
 A page becomes a tree: elements and, as leaves, runs of text. Every node has a
 hidden label, content or boilerplate. A node's potential is a logistic score of
-its features (kind of tag, words of its class and id, size and links of the text
-below it); an edge's potential says how often a child has its parent's label.
-Sum-product messages upward and downward give every node's exact marginal, in
-time linear in the tree. Text whose marginal is above one half is the main text.
-
-Both kinds of potentials are fitted (``fit``) on labelled pages: a bounded
-sample of pages that mark their article in their markup, and a small set of
-labelled page patterns for parts that such pages may lack (sidebars, notices,
-forms, comments). The labels come from the marks; the features see words of
-class and id only through general groups of words.
+its own features (kind of tag, groups of words in its class, id and role, size,
+links and sentences of the text below it, place on the page); an edge's potential
+says how well the labels of parent and child go together. Sum-product messages
+upward and downward give every node's exact marginal, in time linear in the tree.
+Text whose marginal is above one half is the main text.
+
+No feature says what stands above a node, except that it is beside a marked
+article, or a header or links in one; so what a sidebar in an article holds is known to be a
+sidebar's by the messages alone.
+
+Words of a class count by group and by place in their compound: what the compound
+is (``comment-list``, ``ad-slot``) or what it is about (``related-work``). Each group
+has a fitted weight for either, so no word decides; a class that says what an
+element has (``with-sidebar``) says nothing of what it is.
+
+Both kinds of potentials are fitted together (``fit``) on labelled pages: pages
+composed for the purpose, whose parts are labelled as they are put in, with
+telling, misleading and meaningless classes; and a bounded sample of the corpus's
+own pages, labelled by the mark of their article alone.
 
 Defined results: a null or empty page gives an empty text; a page with no text
 above one half gives an empty text; unclosed, misnested and unknown tags are
 read as browsers read the common cases; repeated rows get equal results; nothing
-is cut from long pages.
+is cut from long pages, and time grows in proportion to a page, however deep.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +45,7 @@ from pyspark.sql import functions as F
 from counterpoise.llm.words import slices
 
 SAMPLE_PAGES = 200
+COMPOSED_PAGES = 500
 ROUNDS = 400
 RATE = 0.5
 RIDGE = 1e-4
@@ -48,10 +60,20 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-FRAME_TAGS = frozenset("nav header footer aside form button fieldset menu dialog address".split())
 MAIN_TAGS = frozenset("article main".split())
-PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
-LIST_TAGS = frozenset("ul ol li dl dt dd table tr td th tbody thead tfoot".split())
+TAG_GROUPS = (
+    frozenset("nav menu".split()),
+    frozenset(["aside"]),
+    frozenset(["header"]),
+    frozenset(["footer"]),
+    frozenset("form button fieldset dialog label input".split()),
+    frozenset("h1 h2 h3 h4 h5 h6".split()),
+    frozenset("p blockquote pre figure figcaption address".split()),
+    frozenset("ul ol li dl dt dd".split()),
+    frozenset("table caption tr td th tbody thead tfoot".split()),
+    frozenset("div section span html center".split()),
+)
+PLAIN = TAG_GROUPS[-1]
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -66,18 +88,27 @@ SELF_CLOSING = {  # an opening tag ends an open element of these names, up to th
 }
 SCOPE = frozenset("td th table caption button html body".split())
 
-# Words of class, id and role by what they commonly mean.
-FRAME_WORDS = frozenset(
-    (
-        "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner topbar footer foot bottom colophon copyright "
-        "sidebar side aside widget rail related recommended recommendations more popular trending teaser promo promotion promoted "
-        "ad ads advert adverts advertisement advertising sponsor sponsored sponsors commercial "
-        "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-        "form search share sharing social toolbar pagination pager skip tags comment comments commentlist reply replies respond disqus discussion "
-        "complementary contentinfo"
-    ).split()
+# Words of class, id and role by what they commonly mean, a group a line.
+WORD_GROUPS = tuple(
+    frozenset(line.split())
+    for line in (
+        "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toc tabs",
+        "header masthead banner topbar branding logo",
+        "footer foot bottom colophon copyright contentinfo legal imprint",
+        "sidebar aside widget widgets rail related recommended recommendations popular trending teaser teasers complementary",
+        "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promoted commercial",
+        "cookie cookies consent gdpr notice notices alert alerts popup modal overlay disclaimer",
+        "form search newsletter subscribe subscription signup login register",
+        "share sharing social toolbar tools",
+        "comment comments commentlist commenters reply replies respond disqus discussion",
+        "article main content post entry story body text articlebody maincontent",
+    )
 )
-MAIN_WORDS = frozenset("article main content post entry story body text articlebody maincontent".split())
+# Words that name no kind of thing, so the word before them does; words behind which something is had, not been.
+GENERIC = frozenset("list item items box block wrap wrapper container area section inner outer bar row col column link links panel holder slot unit zone group set".split())
+HAVING = frozenset("with has have no without is in on not js".split())
+LEGAL = re.compile(r"\xa9|\bcopyright\b|\ball rights reserved\b", re.I)
+MARK = re.compile(r"\bdata-y=[\"']?([01])")
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
@@ -94,37 +125,56 @@ class Tree:
 
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)  # "" for text
-    words: list[frozenset] = field(default_factory=list)
+    words: list[tuple] = field(default_factory=list)  # word groups: 2g if the element is such a thing, 2g + 1 if about one
+    mark: list[int] = field(default_factory=list)  # 0 or 1 where a training page says so, else -1
     text: list[str] = field(default_factory=list)
     block: list[int] = field(default_factory=list)  # texts of one block are joined without a break
 
-    def add(self, parent: int, tag: str, words: frozenset, text: str, block: int) -> int:
+    def add(self, parent: int, tag: str, words: tuple, text: str, block: int, mark: int = -1) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.words.append(words)
+        self.mark.append(mark)
         self.text.append(text)
         self.block.append(block)
         return len(self.parent) - 1
 
 
-def _words(attributes: str) -> frozenset:
+@lru_cache(maxsize=4_096)
+def _groups(value: str) -> tuple:
+    """Word groups of the value of a class, id or role."""
+    found = set()
+    for name in value.split():
+        words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if HAVING.intersection(words[:-1]):
+            continue
+        while len(words) > 1 and words[-1] in GENERIC:
+            words.pop()
+        for i, word in enumerate(words):
+            for g, group in enumerate(WORD_GROUPS):
+                if word in group:
+                    found.add(2 * g + (i < len(words) - 1))
+    return tuple(sorted(found))
+
+
+def _words(attributes: str) -> tuple:
     if "class" not in attributes and "id" not in attributes and "role" not in attributes:
         lowered = attributes.lower()
         if "class" not in lowered and "id" not in lowered and "role" not in lowered:
-            return frozenset()
-    found: set[str] = set()
+            return ()
+    found: tuple = ()
     for name, value in _ATTRIBUTE.findall(attributes):
         if name.lower() in _NAMED and value:
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", entities.unescape(value))
-            found.update(_WORD.findall(spaced.lower()))
-    return frozenset(found)
+            found += _groups(entities.unescape(value.strip("\"'")))
+    return found
 
 
 def parse(page: str) -> Tree:
     """The page's tree; text below elements that show none is left out."""
     tree = Tree()
-    tree.add(-1, "html", frozenset(), "", 0)
+    tree.add(-1, "html", (), "", 0)
     stack = [(0, "html")]
+    places: dict[str, list[int]] = {}  # of each open element's name, in the stack
     block, at, hidden = 1, 0, 0
     pending: list[str] = []
 
@@ -133,25 +183,27 @@ def parse(page: str) -> Tree:
             text = entities.unescape("".join(pending))
             pending.clear()
             if text.strip():
-                tree.add(stack[-1][0], "", frozenset(), text, block)
+                tree.add(stack[-1][0], "", (), text, block)
             elif text and (tree.tag[-1] == "" or tree.tag[-1] in INLINE):
-                tree.add(stack[-1][0], "", frozenset(), " ", block)
+                tree.add(stack[-1][0], "", (), " ", block)
 
     def pop(to: int) -> None:
         nonlocal hidden, block
         while len(stack) > to:
             _, name = stack.pop()
+            places[name].pop()
             hidden -= name in NO_TEXT
             if name not in INLINE:
                 block += 1
 
     def nearest(names: frozenset | set, barrier: frozenset) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][1] in names:
-                return i
-            if stack[i][1] in barrier:
-                return None
-        return None
+        """Place of the innermost open element of these names, unless a barrier stands further in."""
+
+        def innermost(of: frozenset | set) -> int:
+            return max((places[n][-1] for n in of if places.get(n)), default=0)
+
+        place = innermost(names)
+        return place if place and place >= innermost(barrier) else None
 
     def leave_head() -> None:
         """Without its closing tag a head ends before the first text or element that may not stand in it."""
@@ -205,9 +257,11 @@ def parse(page: str) -> Tree:
             block += 1
         if name in ("html", "body"):
             continue
-        node = tree.add(stack[-1][0], name, _words(attributes), "", block)
+        told = MARK.search(attributes) if "data-y" in attributes else None
+        node = tree.add(stack[-1][0], name, _words(attributes), "", block, int(told[1]) if told else -1)
         if attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
+        places.setdefault(name, []).append(len(stack))
         stack.append((node, name))
         hidden += name in NO_TEXT
         if name in RAW:
@@ -221,75 +275,90 @@ def parse(page: str) -> Tree:
 
 
 FEATURES = (
-    "bias", "frame", "main_tag", "prose_tag", "list_tag", "main_word", "leaf", "links", "length", "in_link", "short", "plain",
-    "in_frame", "in_main", "main_below",
+    "bias", "leaf", "inline", "main_tag", "heading_below", "main_below", "beside_main", "header_in_main",
+    "nav_tag", "aside_tag", "header_tag", "footer_tag", "form_tag", "heading_tag", "prose_tag", "list_tag", "table_tag", "plain_tag",
+    "length", "short", "long", "links", "short_links", "in_link", "sentences", "legal", "at_start", "at_end",
+    "share", "unmarked_share", "unmarked_sentences", "links_in_main",
+    *(f"{kind}_{g}" for g in ("nav", "header", "footer", "side", "ad", "notice", "form", "share", "comment", "main") for kind in ("is", "about")),
 )
-
-
-def framed(tree: Tree) -> np.ndarray:
-    """Whether an element is by its kind or its words a part around the article.
-
-    A header inside an article is the article's own, and an element that holds
-    an article is not named after what stands beside it.
-    """
-    n = len(tree.parent)
-    inside, below = [False] * n, [False] * n
-    for i in range(1, n):
-        inside[i] = inside[tree.parent[i]] or tree.tag[i] in MAIN_TAGS
-    for i in range(n - 1, 0, -1):
-        if below[i] or tree.tag[i] in MAIN_TAGS:
-            below[tree.parent[i]] = True
-    out = np.zeros(n, bool)
-    for i, (tag, words) in enumerate(zip(tree.tag, tree.words)):
-        by_tag = tag in FRAME_TAGS and not (tag == "header" and inside[i])
-        out[i] = (by_tag or not words.isdisjoint(FRAME_WORDS)) and not below[i] and tag not in MAIN_TAGS
-    return out
+_FIRST_TAG, _FIRST_WORD = 8, 32
+_TAG_FEATURE = {tag: _FIRST_TAG + i for i, group in enumerate(TAG_GROUPS) for tag in group}
 
 
 def features(tree: Tree) -> np.ndarray:
-    """One row for each node; the counts are of the text below it."""
+    """One row for each node; sizes are of the text below it."""
     n = len(tree.parent)
     parent, tags = tree.parent, tree.tag
-    frame = framed(tree)
-    chars = [float(len(t.strip())) for t in tree.text]
-    linked, below = [0.0] * n, [0.0] * n
-    in_link, in_frame, in_main = [0.0] * n, [0.0] * n, [0.0] * n
+    size, linked, told, before = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    in_link, in_main, below, legal, heading = ([False] * n for _ in range(5))
+    total = 0.0
     for i in range(1, n):
-        up = parent[i]
-        in_link[i] = 1.0 if tags[i] == "a" else in_link[up]
-        in_frame[i] = 1.0 if frame[i] else in_frame[up]
-        in_main[i] = 1.0 if tags[i] in MAIN_TAGS else in_main[up]
-        linked[i] = chars[i] * in_link[i]
+        up, tag = parent[i], tags[i]
+        before[i] = total
+        in_link[i] = in_link[up] or tag == "a"
+        in_main[i] = in_main[up] or tag in MAIN_TAGS
+        if tag == "":
+            text = tree.text[i].strip()
+            length = float(len(text))
+            size[i] = length
+            total += length
+            linked[i] = length if in_link[i] else 0.0
+            told[i] = length if length >= 60 and not in_link[i] else 0.0
+            legal[i] = length < 400 and LEGAL.search(text) is not None
     for i in range(n - 1, 0, -1):
         up = parent[i]
-        chars[up] += chars[i]
+        size[up] += size[i]
         linked[up] += linked[i]
-        if below[i] or tags[i] in MAIN_TAGS:
-            below[up] = 1.0
+        told[up] += told[i]
+        below[up] = below[up] or below[i] or tags[i] in MAIN_TAGS
+        legal[up] = legal[up] or legal[i]
+        heading[up] = heading[up] or heading[i] or tags[i] == "h1"
     out = np.zeros((n, len(FEATURES)))
-    size = np.array(chars)
+    size_, before_ = np.array(size), np.array(before)
+    leaf = np.array([t == "" for t in tags])
+    share = 1.0 / max(total, 1.0)
     out[:, 0] = 1
-    out[:, 1] = frame
-    out[:, 2] = [t in MAIN_TAGS for t in tags]
-    out[:, 3] = [t in PROSE_TAGS for t in tags]
-    out[:, 4] = [t in LIST_TAGS for t in tags]
-    out[:, 5] = [not w.isdisjoint(MAIN_WORDS) for w in tree.words] & ~frame
-    out[:, 6] = [t == "" for t in tags]
-    out[:, 7] = np.array(linked) / np.maximum(size, 1)
-    out[:, 8] = np.log1p(np.minimum(size, 1_000)) / 8
-    out[:, 9] = in_link
-    out[:, 10] = (size < 40) & (out[:, 6] == 0)
-    out[:, 11] = [t in ("div", "section", "html", "span") for t in tags]
-    out[:, 12] = in_frame
-    out[:, 13] = in_main
-    out[:, 14] = below
+    out[:, 1] = leaf
+    out[:, 2] = [t in INLINE for t in tags]
+    out[:, 3] = [t in MAIN_TAGS for t in tags]
+    out[:, 4] = heading
+    out[:, 5] = below
+    out[:, 6] = [below[0] and not (m or b) for m, b in zip(in_main, below)]
+    out[:, 7] = [t == "header" and m for t, m in zip(tags, in_main)]
+    for i, t in enumerate(tags):
+        if (at := _TAG_FEATURE.get(t)) is not None:
+            out[i, at] = 1
+    link_share = np.array(linked) / np.maximum(size_, 1)
+    out[:, 18] = np.log1p(np.minimum(size_, 1_000)) / 8
+    out[:, 19] = (size_ < 40) & ~leaf
+    out[:, 20] = size_ >= 200
+    out[:, 21] = link_share
+    out[:, 22] = link_share * (size_ < 400)
+    out[:, 23] = in_link
+    out[:, 24] = np.array(told) / np.maximum(size_, 1)
+    out[:, 25] = np.array(legal) & (size_ < 400)
+    out[:, 26] = np.maximum(0.0, 1 - 20 * before_ * share) * (size_ * share < 0.3)
+    out[:, 27] = np.maximum(0.0, 1 - 20 * (total - before_ - size_) * share) * (size_ * share < 0.3)
+    unmarked = 0.0 if below[0] else 1.0
+    out[:, 28] = size_ * share
+    out[:, 29] = out[:, 28] * unmarked
+    out[:, 30] = out[:, 24] * unmarked
+    out[:, 31] = link_share * np.array(in_main)
+    for i, words in enumerate(tree.words):
+        for w in words:
+            out[i, _FIRST_WORD + w] = 1
     return out
 
 
+def edge_kinds(tree: Tree) -> list[int]:
+    """1 for text and formatting, which are parts of what their parent says; 0 for other elements."""
+    return [int(t == "" or t in INLINE) for t in tree.tag]
+
+
 @dataclass(frozen=True)
 class TreeModel:
     weights: np.ndarray
-    edge: np.ndarray  # log potential of (parent label, child label)
+    edge: np.ndarray  # log potential of (kind of child, parent label, child label): elements of their own, and text and its formatting
 
     def marginals(self, tree: Tree) -> np.ndarray:
         """P(content) of every node, by sum-product on the tree.
@@ -298,18 +367,21 @@ class TreeModel:
         downward, each edge once in each direction.
         """
         own = features(tree) @ self.weights
-        (bb, bc), (cb, cc) = self.edge
+        edges = [tuple(float(x) for x in e.ravel()) for e in self.edge]
         n, parent = len(own), tree.parent
+        edge_of = [edges[k] for k in edge_kinds(tree)]
         total = own.tolist()  # own potential and the messages of all children
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
             r = total[i]
+            bb, bc, cb, cc = edge_of[i]
             # sum over the child's label, for a parent of content and of boilerplate
             up[i] = _soft(cb, cc + r) - _soft(bb, bc + r)
             total[parent[i]] += up[i]
         belief = total[:]
         for i in range(1, n):
             r = belief[parent[i]] - up[i]  # what the parent knows without this child
+            bb, bc, cb, cc = edge_of[i]
             belief[i] = total[i] + _soft(bc, cc + r) - _soft(bb, cb + r)
         return 1 / (1 + np.exp(-np.clip(belief, -500, 500)))
 
@@ -338,65 +410,163 @@ def main_text(model: TreeModel, page: str | None) -> str:
     return " ".join(t for t in (" ".join(b.split()) for b in blocks) if t)
 
 
-def labels_of_marks(tree: Tree, marks: frozenset = MAIN_TAGS) -> np.ndarray | None:
-    """Content is what stands in a marked element and in no frame inside it; None without one."""
-    n = len(tree.parent)
-    frame = framed(tree)
-    inside, out = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(1, n):
-        above = tree.parent[i]
-        inside[i] = tree.tag[i] in marks or inside[above]
-        out[i] = inside[i] and (out[above] or not inside[above]) and not frame[i]
-    if not out.any():
-        return None
-    # plain elements that hold content lead to it
-    for i in range(n - 1, 0, -1):
-        if out[i] and tree.tag[tree.parent[i]] in ("html", "div", "section") and not frame[tree.parent[i]]:
-            out[tree.parent[i]] = True
+def _led(tree: Tree, out: np.ndarray) -> np.ndarray:
+    """Plain elements that hold content lead to it and count as content."""
+    for i in range(len(out) - 1, 0, -1):
+        up = tree.parent[i]
+        if out[i] and tree.tag[up] in PLAIN and tree.mark[up] != 0:
+            out[up] = True
     return out
 
 
-def _patterns() -> list[str]:
-    """Labelled page patterns: the parts a page may have, in articles marked and unmarked.
+def labels_of_marks(tree: Tree) -> np.ndarray | None:
+    """Content is what stands in an article or main element; None without one.
 
-    Unmarked articles carry ``data-main`` for the label only.
+    Navigation, asides, footers and forms in it are none, by their tags. Classes
+    are not looked at.
     """
-    prose = "Some words of a longer paragraph, with a few commas, that goes on and tells what happened. " * 3
-    story = f"<h1>A title of the story</h1><p>{prose}</p><p>Short one.</p><h2>Part</h2><p>{prose}<a href=x>a link</a> {prose}</p><ul><li>first point made</li><li>second point made</li></ul>"
-    frames = [
-        "<div class=sidebar><h3>Related</h3><ul><li><a href=a>other story</a></li><li><a href=b>third story</a></li></ul></div>",
-        f"<aside><p>About the author and more. {prose[:90]}</p></aside>",
-        f"<div id=cookie-notice><p>We use cookies. {prose[:120]}</p><button>Accept</button></div>",
-        f"<div class=ad><p>{prose[:95]}</p></div>",
-        "<form action=s><label>Mail</label><input name=m><button>Send</button></form>",
-        f"<div class=comments><h3>Comments</h3><div class=comment><p>{prose}</p></div><div class=comment><p>I agree.</p></div></div>",
-        f"<section id=comments><p>{prose}</p></section>",
-        "<div class=share><a href=x>Share</a></div>",
-        "<header><div>The Site</div><a href=/>Home</a></header>",
-        "<nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav>",
-        f"<footer><p>All rights reserved. {prose[:60]}</p></footer>",
-        "<div class=breadcrumb><a href=a>Home</a> / <a href=b>Here</a></div>",
-    ]
-    pages = []
-    for k, frame in enumerate(frames):
-        other = frames[(k + 5) % len(frames)]
-        pages.append(f"<body>{frame}<article>{story}</article>{other}</body>")
-        pages.append(f"<body>{other}<article>{story}{frame}</article></body>")
-        pages.append(f"<body>{frames[9]}<div class=content data-main>{story}</div>{frame}{frames[10]}</body>")
-        pages.append(f"<body>{frame}<div data-main>{story}</div>{other}</body>")
-        pages.append(f"<body>{frames[8]}<main>{story}</main>{frame}</body>")
-    return pages
+    n = len(tree.parent)
+    if not any(t in MAIN_TAGS for t in tree.tag):
+        return None
+    apart = TAG_GROUPS[0] | TAG_GROUPS[1] | TAG_GROUPS[3] | TAG_GROUPS[4]
+    out = np.zeros(n, bool)
+    for i in range(1, n):
+        tag = tree.tag[i]
+        out[i] = tag not in apart and (out[tree.parent[i]] or tag in MAIN_TAGS)
+    return _led(tree, out)
+
+
+def labels_of_parts(tree: Tree) -> np.ndarray:
+    """Labels of a composed page: of each node, that of the innermost marked element around it."""
+    out = np.zeros(len(tree.parent), bool)
+    for i in range(1, len(out)):
+        out[i] = tree.mark[i] == 1 or (tree.mark[i] < 0 and out[tree.parent[i]])
+    return _led(tree, out)
+
+
+class _Composer:
+    """Training pages put together from parts, each labelled as it is put in."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def words(self, low: int, high: int) -> str:
+        rng = self.rng
+        out = ["".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(low, high))]
+        return " ".join(w + (rng.choice(",..;") if rng.random() < 0.12 else "") for w in out).capitalize()
+
+    def opaque(self) -> str:
+        return f"{self.rng.choice('abcxyzqw')}{self.rng.randint(1, 99)}"
+
+    def links(self, low: int, high: int) -> str:
+        return "".join(f"<li><a href=x>{self.words(1, 5)}</a></li>" for _ in range(self.rng.randint(low, high)))
+
+    def one_of(self, *options: str) -> str:
+        return self.rng.choice(options)
+
+    def frame(self, inside: bool = False) -> str:
+        """A part around the article, or dropped into it."""
+        rng, o = self.rng, self.opaque()
+        short, prose, links = self.words(1, 5), self.words(8, 60), self.links(3, 8)
+        kind = rng.randint(3 if inside else 0, 8)
+        if kind == 0:
+            return self.one_of(f"<nav data-y=0><ul>{links}</ul></nav>", f"<div class='{self.one_of('menu', 'top-nav', 'nav-bar', 'breadcrumbs', 'menu-list', 'pagination')}' data-y=0><ul>{links}</ul></div>", f"<div class={o} data-y=0><ul>{links}</ul></div>", f"<ul id=nav data-y=0>{links}</ul>")
+        if kind == 1:
+            inner = self.one_of(f"<div>{short}</div><a href=/>{short}</a>", f"<h1>{short}</h1><p>{self.words(3, 14)}</p>", f"<h1><a href=/>{short}</a></h1>")
+            return self.one_of(f"<header data-y=0>{inner}</header>", f"<div id={self.one_of('header', 'masthead', 'site-header', 'top-banner')} data-y=0>{inner}<p>{self.words(2, 9)}</p></div>")
+        if kind == 2:
+            text = f"{self.one_of('&copy; 2024', 'Copyright', '(c)')} {short} {self.one_of('All rights reserved.', '', self.words(3, 20))}"
+            return self.one_of(f"<footer data-y=0>{text}</footer>", f"<footer data-y=0><p>{text}</p><ul>{links}</ul></footer>", f"<div class={self.one_of('footer', 'site-footer', 'bottom', 'colophon')} data-y=0><p>{text}</p></div>", f"<div class={o} data-y=0>&copy; {text}</div>")
+        if kind == 3:
+            inner = f"<h3>{short}</h3>{self.one_of(f'<ul>{links}</ul>', f'<p>{prose}</p>', f'<p>{prose}</p><ul>{links}</ul>')}"
+            named = self.one_of("sidebar", "widget", "right-rail", "related", "related-links", "widget-area", "popular", "teaser-box", "recommended")
+            return self.one_of(f"<aside data-y=0>{inner}</aside>", f"<div class='{named}' data-y=0>{inner}</div>", f"<section id='{named}' data-y=0>{inner}</section>", f"<div class={o} data-y=0><h4>{short}</h4><ul>{links}</ul></div>")
+        if kind == 4:
+            named = self.one_of("ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo-box", "ad-container", "promoted")
+            return self.one_of(f"<div class='{named}' data-y=0>{prose}</div>", f"<div class='{named}' data-y=0><p>{prose}</p></div>", f"<div id='{named}' data-y=0><a href=x>{short}</a></div>", f"<p class={named} data-y=0>{prose}</p>")
+        if kind == 5:
+            named = self.one_of("cookie-notice", "cookies", "consent", "alert", "notice", "gdpr-banner", "popup", "modal-overlay", "cookie-consent")
+            return f"<div {self.one_of('class', 'id')}='{named}' data-y=0><p>{prose}</p>{self.one_of('', '<button>' + short + '</button>')}</div>"
+        if kind == 6:
+            form = f"<form action=s data-y=0>{self.one_of('', f'<p>{prose}</p>')}<label>{short}</label><input name=m><button>{short}</button></form>"
+            named = self.one_of("newsletter", "subscribe-box", "search-form", "login", "signup")
+            return self.one_of(form, f"<div class='{named}' data-y=0><p>{self.words(3, 25)}</p>{form}</div>", f"<div class='{named}' data-y=0><p>{prose}</p></div>")
+        if kind == 7:
+            return f"<div class='{self.one_of('share', 'social-links', 'share-bar', 'toolbar')}' data-y=0>{self.one_of(f'<a href=x>{short}</a> <a href=y>{short}</a>', f'<ul>{links}</ul>', short)}</div>"
+        said = "".join(f"<{t} class={self.one_of('comment', 'comment-body', 'reply', self.opaque())}><p>{self.words(2, 110)}</p></{t}>" for t in [self.one_of("div", "li")] for _ in range(rng.randint(1, 5)))
+        named = self.one_of("comments", "comment-list", "comments-area", "commentlist", "post-comments", "discussion", "replies", "article-comments")
+        tag = self.one_of("div", "section")
+        return f"<{tag} {self.one_of('class', 'id')}='{named}' data-y=0>{self.one_of('', f'<h3>{short}</h3>')}{said}</{tag}>"
+
+    def part(self) -> str:
+        """A part of an article, sometimes in an element whose class is about something else."""
+        rng = self.rng
+        prose = self.words(20, 110)
+        kind = rng.randrange(14)
+        if kind == 13:
+            return f"<p>{prose} {self.one_of('Copyright', '&copy; ' + self.words(1, 2))} {self.words(3, 20)}</p>"
+        if kind < 5:
+            inner = prose if rng.random() < 0.6 else f"{prose} <a href=x>{self.words(1, 4)}</a> <b>{self.words(1, 3)}</b> {self.words(5, 30)}"
+            return f"<p{self.one_of('', '', '', ' class=lead', ' class=more', f' class={self.opaque()}')}>{inner}</p>"
+        if kind == 5:
+            return f"<p>{self.words(1, 4)}</p>"
+        if kind == 6:
+            return f"<h2>{self.words(1, 6)}</h2>"
+        if kind == 7:
+            return f"<ul>{''.join(f'<li>{self.words(2, 14)}</li>' for _ in range(rng.randint(2, 6)))}</ul>"
+        if kind == 8:
+            return self.one_of(f"<blockquote><p>{prose}</p></blockquote>", f"<pre>{self.words(4, 30)}</pre>", f"<figure><img src=x><figcaption>{self.words(3, 14)}</figcaption></figure>", f"<address>{self.words(2, 9)}</address>")
+        if kind == 9:
+            return f"<table><tr><th>{self.words(1, 3)}</th><th>{self.words(1, 3)}</th></tr><tr><td>{self.words(1, 8)}</td><td>{self.words(1, 8)}</td></tr></table>"
+        if kind == 10:
+            named = self.one_of("related-work", "rail-history", "footer-notes", "share-prices", "menu-planning", "comment-culture", "advert-history", "form-letters", "search-results-explained", "notice-periods", "header-files", "sidebar-design", "login-problems")
+            tag = self.one_of("section", "div")
+            return f"<{tag} class='{named}'><h3>{self.words(1, 5)}</h3><p>{prose}</p><p>{self.words(5, 40)}</p></{tag}>"
+        if kind == 11:
+            return f"<div class={self.one_of('text', 'entry-content', 'body', self.opaque(), self.opaque())}><p>{prose}</p><p>{self.words(10, 60)}</p></div>"
+        return f"<div>{prose}</div>"
+
+    def page(self) -> str:
+        rng = self.rng
+        parts = [self.part() for _ in range(rng.randint(2, 9))]
+        style = rng.randrange(8)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            parts.insert(rng.randint(1, len(parts)), self.frame(inside=True))
+        if style <= 2 and rng.random() < 0.2:
+            parts.insert(rng.randint(1, len(parts)), f"<ul>{self.links(2, 5)}</ul>")
+        if rng.random() < 0.1:
+            parts = [f"<p>{self.words(1, 6)}</p>"]  # a very short article
+        title = f"<h1>{self.words(1, 9)}</h1>"
+        head = self.one_of(title, title, "", f"<header>{title}<p>{self.words(2, 8)}</p></header>")
+        if style <= 1:
+            story = f"<article{self.one_of('', ' class=post', f' class={self.opaque()}')} data-y=1>{head}{''.join(parts)}</article>"
+        elif style == 2:
+            story = f"<main data-y=1>{head}{''.join(parts)}</main>"
+        elif style <= 5:
+            named = self.one_of("content", "content", "post", "post", "story", "entry", "entry-content", "article-body", "post-body", "main-content", "story alert", "post more-news", "page with-sidebar", "has-comments", self.opaque(), self.opaque(), "")
+            story = f"<div class='{named}' data-y=1>{title if head.startswith('<header') else head}{''.join(parts)}</div>"
+        else:
+            story = "".join(re.sub(r"<([a-z0-9]+)(?=[ >])", r"<\1 data-y=1", p, count=1) if "data-y" not in p[:60] else p for p in [title, *parts])
+        around = [self.frame() for _ in range(rng.randint(1, 5))]
+        cut = rng.randint(0, len(around))
+        wrap = rng.random()
+        before, after = "".join(around[:cut]), "".join(around[cut:])
+        if wrap < 0.3:
+            return f"<body><div class='{self.one_of('page', 'wrapper', self.opaque(), 'page with-sidebar', 'site no-ads')}'>{before}{story}{after}</div></body>"
+        if wrap < 0.5:
+            return f"<body>{before}<div id={self.opaque()}>{story}</div>{after}</body>"
+        return f"<body>{before}{story}{after}</body>"
+
+
+def composed_pages(n: int = COMPOSED_PAGES, seed: int = SEED) -> list[str]:
+    composer = _Composer(seed)
+    return [composer.page() for _ in range(n)]
 
 
 def _labelled(page: str) -> tuple[Tree, np.ndarray] | None:
-    marked = "data-main" in page
-    # the mark becomes an element of its own name for labelling, and a plain one for the features
-    tree = parse(re.sub(r"<div([^>]*) data-main>(.*?</ul>)</div>", r"<x-main\1>\2</x-main>", page, flags=re.S) if marked else page)
-    labels = labels_of_marks(tree, MAIN_TAGS | {"x-main"})
-    if labels is None:
-        return None
-    tree.tag = ["div" if t == "x-main" else t for t in tree.tag]
-    return tree, labels
+    tree = parse(page)
+    labels = labels_of_parts(tree) if any(m >= 0 for m in tree.mark) else labels_of_marks(tree)
+    return None if labels is None else (tree, labels)
 
 
 class _Grove:
@@ -408,6 +578,7 @@ class _Grove:
         self.x = np.concatenate([features(tree) for tree, _ in trees])
         self.y = np.concatenate([labels for _, labels in trees]).astype(int)
         self.w = np.concatenate([np.full(n, 1 / n / len(trees)) for n in sizes])
+        self.kind = np.concatenate([edge_kinds(tree) for tree, _ in trees])
         self.parent = np.concatenate([np.where(np.array(t.parent) < 0, -1, np.array(t.parent) + f) for (t, _), f in zip(trees, first)])
         depth = np.zeros(len(self.y), int)
         for i, up in enumerate(self.parent):
@@ -418,38 +589,38 @@ class _Grove:
         """Of the trees' mean log-likelihood (by node), from exact marginals of nodes and edges."""
         total = self.x @ theta
         up = np.zeros(len(total))
-        (bb, bc), (cb, cc) = edge
+        bb, bc, cb, cc = edge[self.kind].reshape(-1, 4).T
         for level in self.levels[:0:-1]:
             r = total[level]
-            up[level] = np.logaddexp(cb, cc + r) - np.logaddexp(bb, bc + r)
+            up[level] = np.logaddexp(cb[level], cc[level] + r) - np.logaddexp(bb[level], bc[level] + r)
             np.add.at(total, self.parent[level], up[level])
         belief = total.copy()
-        d_edge = np.zeros((2, 2))
+        d_edge = np.zeros((2, 4))
         for level in self.levels[1:]:
             above = self.parent[level]
             r = belief[above] - up[level]
-            belief[level] = total[level] + np.logaddexp(bc, cc + r) - np.logaddexp(bb, cb + r)
-            logs = np.stack([np.full(len(r), bb), bc + total[level], cb + r, cc + r + total[level]])
-            pair = np.exp(logs - np.logaddexp.reduce(logs, axis=0)) @ self.w[level]
-            seen = np.zeros(4)
-            np.add.at(seen, 2 * self.y[above] + self.y[level], self.w[level])
-            d_edge += (seen - pair).reshape(2, 2)
+            belief[level] = total[level] + np.logaddexp(bc[level], cc[level] + r) - np.logaddexp(bb[level], cb[level] + r)
+            logs = np.stack([bb[level], bc[level] + total[level], cb[level] + r, cc[level] + r + total[level]])
+            pair = np.exp(logs - np.logaddexp.reduce(logs, axis=0)) * self.w[level]
+            np.add.at(d_edge, (self.kind[level], 2 * self.y[above] + self.y[level]), self.w[level])
+            for kind in (0, 1):
+                d_edge[kind] -= pair[:, self.kind[level] == kind].sum(axis=1)
         p = 1 / (1 + np.exp(-np.clip(belief, -500, 500)))
-        return self.x.T @ (self.w * (self.y - p)), d_edge
+        return self.x.T @ (self.w * (self.y - p)), d_edge.reshape(2, 2, 2)
 
 
 def fit_trees(pages: Sequence[str], rounds: int = ROUNDS) -> TreeModel:
     """Both potentials by conditional maximum likelihood, by gradient steps of adapted size."""
-    grove = _Grove([t for t in map(_labelled, [*_patterns(), *pages]) if t is not None])
+    grove = _Grove([t for t in map(_labelled, [*composed_pages(), *pages]) if t is not None])
     n = grove.x.shape[1]
-    point, mean, square = np.zeros(n + 4), np.zeros(n + 4), np.zeros(n + 4)
+    point, mean, square = np.zeros(n + 8), np.zeros(n + 8), np.zeros(n + 8)
     for k in range(1, rounds + 1):
-        node, edge = grove.gradient(point[:n], point[n:].reshape(2, 2))
+        node, edge = grove.gradient(point[:n], point[n:].reshape(2, 2, 2))
         slope = np.concatenate([node, edge.ravel()]) - RIDGE * point
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         point = point + RATE * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-9) / np.sqrt(k)
-    return TreeModel(point[:n], point[n:].reshape(2, 2))
+    return TreeModel(point[:n], point[n:].reshape(2, 2, 2))
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> TreeModel:
