@@ -141,7 +141,7 @@ def sequence_hash(h: np.ndarray) -> np.uint64:
     return total[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of text, cut between rows."""
     i = batch.schema.get_field_index(column)
     _, at = text_bytes(batch.column(i))
