@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from counterpoise.llm.common import lean
 from counterpoise.llm.words import slices, text_bytes
 from counterpoise.operators.lineage import write_down
 from counterpoise.operators.lookup import lookup_join
@@ -155,7 +156,7 @@ def fit_text(
             arrays = [pa.array(np.full(len(used), x, np.int32)) for x in (lang, half)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(used.astype(np.int32)), pa.array(table[used])], ["lang", "half", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang int, half int, bucket int, n bigint")
+    counted = sample.mapInArrow(lean(count), "lang int, half int, bucket int, n bigint")
     # at most 2 x languages x buckets rows, whatever the corpus
     table = counted.groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).toArrow()
     halves = np.zeros((2, 1 << BUCKET_BITS, len(names)))
@@ -181,7 +182,7 @@ def fit_text(
                     yield pa.RecordBatch.from_arrays([pa.array(lang[told]), pa.array(size[told].astype(np.int64)), pa.array(mean)], ["lang", "runs", "mean"])
 
     # at most a row for each sampled document
-    tried = sample.mapInArrow(held_out, "lang int, runs bigint, mean double").toArrow()
+    tried = sample.mapInArrow(lean(held_out), "lang int, runs bigint, mean double").toArrow()
     floors = floors_of(*(tried.column(c).to_numpy() for c in ("lang", "runs", "mean")), len(names))
     return TextModel(names, logs_of(halves[0] + halves[1]), left_out, floors)
 
@@ -284,7 +285,7 @@ def identify(
 
     def scored(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         schema = T.StructType([df.schema[c] for c in keep]).add("logs", T.ArrayType(T.DoubleType())).add("runs", T.LongType())
-        return df.mapInArrow(score(keep), schema)
+        return df.mapInArrow(lean(score(keep)), schema)
 
     once = packed.drop("text") if text in carry else packed
     out = scored(once.drop("host", "suffix"), ["row", "declared", "place"])
