@@ -30,18 +30,21 @@ TOOLS = {
 def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Chats as calls and results: a user's turn asks, the next turn of the assistant answers it.
 
-    Each turn's call depends on the chat's previous request.
+    In most chats a call depends on the previous request; in every third chat on
+    the next one, and in every fifth of the others the first two wait for each other.
     """
     turns = table(spark, folder, "conversations")
     name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"))
     lines = F.size(F.split("text", "\n"))
+    turn, chat = F.col("turn"), F.col("conv_id")
+    waits = F.when(chat % 3 == 1, turn + 2).when((chat % 5 == 0) & (turn == 0), 2).when(turn >= 2, turn - 2)
     asked = turns.filter("role = 'user'").select(
         F.col("conv_id").alias("conversation"),
         F.concat(name, F.col("turn").cast("string")).alias("call_id"),
         F.col("turn").alias("position"),
         F.when(F.col("turn") < 2, "open").otherwise("follow").alias("name"),
         F.to_json(F.struct("turn", "text", lines.alias("lines"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(F.concat(name, (F.col("turn") - 2).cast("string")))).alias("depends_on"),
+        F.when(waits.isNotNull(), F.array(F.concat(name, waits.cast("string")))).alias("depends_on"),
     )
     answered = turns.filter("role = 'assistant'").select(
         F.col("conv_id").alias("conversation"),
@@ -171,9 +174,9 @@ LLM_QUERIES = {
 
 LLM_ORACLES: dict[str, str] = {
     "op1_tool_calls": r"""
-WITH a AS (
+WITH RECURSIVE a AS (
   SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn AS position, CASE WHEN turn < 2 THEN 'open' ELSE 'follow' END AS name,
-         text, turn, len(string_split(text, chr(10))) AS lines, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS dep
+         text, turn, len(string_split(text, chr(10))) AS lines, 'c' || conv_id || '-' || CASE WHEN conv_id % 3 = 1 THEN turn + 2 WHEN conv_id % 5 = 0 AND turn = 0 THEN 2 WHEN turn >= 2 THEN turn - 2 END AS dep
   FROM conversations WHERE role = 'user'
 ), b AS (
   SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, turn AS position, text AS content FROM conversations WHERE role = 'assistant'
@@ -185,25 +188,36 @@ WITH a AS (
   SELECT coalesce(ca.conv_id, rb.conv_id) AS conv_id, coalesce(ca.call_id, rb.call_id) AS call_id, c, r, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results
   FROM ca FULL JOIN rb ON ca.conv_id = rb.conv_id AND ca.call_id = rb.call_id
 ), k AS (
-  SELECT j.*, t.call_id IS NULL AND j.c.dep IS NOT NULL AS lost FROM j LEFT JOIN ca t ON t.conv_id = j.conv_id AND t.call_id = j.c.dep
+  SELECT j.*, t.call_id IS NULL AND j.c.dep IS NOT NULL AS lost, t.call_id AS ahead, t.c.position >= j.c.position AS forward
+  FROM j LEFT JOIN ca t ON t.conv_id = j.conv_id AND t.call_id = j.c.dep
+), tangled AS (
+  SELECT DISTINCT conv_id FROM k WHERE forward
+), edges AS (
+  SELECT conv_id, call_id, ahead FROM k SEMI JOIN tangled USING (conv_id) WHERE ahead IS NOT NULL
+), reached AS (
+  SELECT ca.conv_id, ca.call_id, 0 AS level FROM ca SEMI JOIN tangled USING (conv_id) ANTI JOIN edges USING (conv_id, call_id)
+  UNION ALL
+  SELECT edges.conv_id, edges.call_id, level + 1 FROM edges JOIN reached ON reached.conv_id = edges.conv_id AND reached.call_id = edges.ahead
 ), e AS (
   SELECT *, CASE WHEN c IS NULL THEN []
     WHEN c.name = 'open' THEN list_filter([
       CASE WHEN c.text IS NULL THEN 'text: missing' END,
       CASE WHEN length(c.text) > 2000 THEN 'text: longer than 2000' END,
       CASE WHEN length(c.text) < 1 THEN 'text: shorter than 1' END,
-      CASE WHEN c.turn > 1 THEN 'turn: above 1' END], lambda x: x IS NOT NULL)
+      CASE WHEN c.turn > 1 THEN 'turn: above 1' END,
+      CASE WHEN lost THEN 'depends_on: no call ' || c.dep END], lambda x: x IS NOT NULL)
     ELSE list_filter([
       CASE WHEN c.lines > 8 THEN 'lines: above 8' END,
       CASE WHEN length(c.text) > 1000 THEN 'text: longer than 1000' END,
       CASE WHEN c.text IS NULL THEN 'text: missing' END,
-      CASE WHEN lost THEN 'depends_on: no call ' || c.dep END], lambda x: x IS NOT NULL) END AS errors
-  FROM k
+      CASE WHEN lost THEN 'depends_on: no call ' || c.dep END], lambda x: x IS NOT NULL) END AS errors,
+    edges.call_id IS NOT NULL AND level IS NULL AS in_cycle, coalesce(level, 0) AS level
+  FROM k LEFT JOIN edges USING (conv_id, call_id) LEFT JOIN reached USING (conv_id, call_id)
 )
 SELECT conv_id, call_id,
-       CASE WHEN c IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY c IS NULL, coalesce(c.position, r.position), call_id) END AS step,
+       CASE WHEN c IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY c IS NULL, in_cycle, level, coalesce(c.position, r.position), call_id) END AS step,
        CASE WHEN c IS NULL THEN 'orphan_result' WHEN r IS NULL THEN 'no_result' WHEN r.position < c.position THEN 'early_result' ELSE 'linked' END AS status,
-       n_calls, n_results, false AS in_cycle, array_to_string(errors, '; ') AS errors, c IS NOT NULL AND len(errors) = 0 AS valid,
+       n_calls, n_results, in_cycle, array_to_string(errors, '; ') AS errors, c IS NOT NULL AND len(errors) = 0 AS valid,
        '{"arguments":' || CASE WHEN c IS NULL THEN 'null' ELSE '{"lines":' || c.lines || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || '}' END
          || ',"call_id":"' || call_id || '","content":' || CASE WHEN r.content IS NULL THEN 'null' ELSE to_json(r.content) END
          || ',"depends_on":[' || coalesce('"' || c.dep || '"', '') || '],"name":' || coalesce('"' || c.name || '"', 'null')

@@ -7,9 +7,12 @@ hash-joined. Arguments are parsed as variants, checked against the tool's schema
 by compiled column expressions, and written as JSON with sorted keys.
 
 Order: where every dependency of a conversation points to an earlier call, place
-in the chat is a topological order already. In the other conversations levels
-are peeled off, a semi-join on narrow edges for each level; edges that never
-peel off lie on a cycle or behind one. Steps are numbered through one global
+in the chat is a topological order already. In the other conversations a call's
+place follows from its level, the length of the longest chain below it: where each
+call waits for one other at most by pointer doubling, in as many rounds as the
+logarithm of the longest chain; where a call waits for several, levels are peeled
+off, a semi-join on narrow edges for each. Calls that never get a level lie on a
+cycle or behind one. Steps are numbered through one global
 sort, not by a window over a conversation, so a conversation that holds a third
 of all calls is no single task.
 
@@ -21,13 +24,17 @@ reported as errors and do not order; malformed, missing and non-object arguments
 are errors and serialise as null (non-objects as they are); keys repeated in an
 object are malformed; numbers are written as Spark's variants write them (1.0 as
 1); calls on a cycle come last in their conversation, in chat order; unknown
-tools are errors. Other columns are not looked at.
+tools are errors; schema keywords that cannot be checked raise an error when the
+schemas are compiled; very long texts are linked and written whole; an empty table
+gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,59 +55,109 @@ TYPES = {
 }
 
 
-def _property(arguments: Column, name: str) -> str:
+# Schema keywords that are checked, and those that say nothing about validity.
+CHECKED = frozenset(
+    "type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern "
+    "items minItems maxItems uniqueItems properties required additionalProperties minProperties maxProperties".split()
+)
+NOTES = frozenset("title description default examples format deprecated readOnly writeOnly $schema $id $comment".split())
+
+
+def _canonical(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def _child(value: Column, name: str) -> Column:
     quoted = name.replace("'", "\\'")
-    return f"$['{quoted}']"
+    return F.variant_get(value, f"$['{quoted}']", "variant")
 
 
-def _check(name: str, rule: Mapping, arguments: Column) -> list[Column]:
-    """A message where the property breaks a rule, else null; absent properties break none."""
-    path = _property(arguments, name)
-    value = F.variant_get(arguments, path, "variant")
+def _messages(found: list[Column], lists: list[Column]) -> Column:
+    """The messages that are not null, and those of the lists."""
+    none = F.array().cast("array<string>")
+    own = F.filter(F.array(*found), lambda c: c.isNotNull()) if found else none
+    return F.concat(own, *[F.coalesce(x, none) for x in lists]) if lists else own
+
+
+def violations(value: Column, rule: Mapping, label: str, root: bool = False) -> Column:
+    """Messages for every keyword of the schema that ``value`` (a variant) breaks; a null value breaks none.
+
+    Nested objects and the items of arrays are checked at every depth. A keyword
+    that is neither checked nor a note raises an error, and so do schemas in
+    place of ``additionalProperties`` or lists in place of ``items``.
+    """
+    if unknown := set(rule) - CHECKED - NOTES:
+        raise ValueError(f"schema keywords that cannot be checked at {label or 'the root'}: {', '.join(sorted(unknown))}")
+    if not isinstance(rule.get("additionalProperties", True), bool) or not isinstance(rule.get("items", {}), Mapping):
+        raise ValueError(f"only true, false or a schema can be checked for the parts of {label or 'the root'}")
     kind = F.schema_of_variant(value)
-    found = []
+    found: list[Column] = []
+    lists: list[Column] = []
+    of = "arguments" if root else label
 
     def wrong(when: Column, what: str) -> None:
-        found.append(F.when(value.isNotNull() & F.coalesce(when, F.lit(False)), F.lit(f"{name}: {what}")))
+        found.append(F.when(value.isNotNull() & F.coalesce(when, F.lit(False)), F.lit(f"{of}: {what}")))
 
-    kinds = rule.get("type")
-    if kinds is not None:
+    if (kinds := rule.get("type")) is not None and not root:
         kinds = [kinds] if isinstance(kinds, str) else list(kinds)
         wrong(~kind.rlike("|".join(TYPES[k] for k in kinds)), f"not of type {' or '.join(kinds)}")
     if "enum" in rule:
-        allowed = [json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in rule["enum"]]
-        wrong(~F.to_json(value).isin(allowed), "not an allowed value")
-    number = F.when(kind.rlike(TYPES["number"]), F.try_variant_get(arguments, path, "double"))
-    text = F.when(kind == "STRING", F.try_variant_get(arguments, path, "string"))
+        wrong(~F.to_json(value).isin([_canonical(v) for v in rule["enum"]]), "not an allowed value")
+    if "const" in rule:
+        wrong(F.to_json(value) != _canonical(rule["const"]), "not the one allowed value")
+    number = F.when(kind.rlike(TYPES["number"]), F.try_variant_get(value, "$", "double"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     if "minimum" in rule:
         wrong(number < F.lit(float(rule["minimum"])), f"below {rule['minimum']}")
     if "maximum" in rule:
         wrong(number > F.lit(float(rule["maximum"])), f"above {rule['maximum']}")
+    if "exclusiveMinimum" in rule:
+        wrong(number <= F.lit(float(rule["exclusiveMinimum"])), f"not above {rule['exclusiveMinimum']}")
+    if "exclusiveMaximum" in rule:
+        wrong(number >= F.lit(float(rule["exclusiveMaximum"])), f"not below {rule['exclusiveMaximum']}")
+    if "multipleOf" in rule:
+        times = number / F.lit(float(rule["multipleOf"]))
+        wrong(F.abs(times - F.round(times)) > 1e-9, f"not a multiple of {rule['multipleOf']}")
     if "minLength" in rule:
         wrong(F.length(text) < rule["minLength"], f"shorter than {rule['minLength']}")
     if "maxLength" in rule:
         wrong(F.length(text) > rule["maxLength"], f"longer than {rule['maxLength']}")
     if "pattern" in rule:
         wrong(~text.rlike(rule["pattern"]), "does not match the pattern")
-    return found
+    if not rule.keys().isdisjoint(("items", "minItems", "maxItems", "uniqueItems")):
+        parts = F.when(kind.startswith("ARRAY<"), F.try_variant_get(value, "$", "array<variant>"))
+        if "minItems" in rule:
+            wrong(F.size(parts) < rule["minItems"], f"fewer items than {rule['minItems']}")
+        if "maxItems" in rule:
+            wrong(F.size(parts) > rule["maxItems"], f"more items than {rule['maxItems']}")
+        if rule.get("uniqueItems"):
+            wrong(F.size(F.array_distinct(F.transform(parts, lambda x: F.to_json(x)))) < F.size(parts), "items are not unique")
+        if rule.get("items"):
+            lists.append(F.array_distinct(F.flatten(F.transform(parts, lambda x: violations(x, rule["items"], f"{of}[]")))))
+    rules: Mapping = rule.get("properties", {})
+    inner = "" if root else f"{label}."
+    is_object = F.coalesce(kind.startswith("OBJECT<"), F.lit(False))
+    for prop, nested in sorted(rules.items()):
+        lists.append(F.when(is_object, violations(_child(value, prop), nested, f"{inner}{prop}")))
+    for prop in rule.get("required", []):
+        found.append(F.when(is_object & _child(value, prop).isNull(), F.lit(f"{inner}{prop}: missing")))
+    held = F.when(is_object, F.json_object_keys(F.to_json(value)))
+    if rule.get("additionalProperties") is False:
+        known = F.array(*[F.lit(p) for p in sorted(rules)]).cast("array<string>")
+        wrong(F.size(F.array_except(held, known)) > 0, "unknown property")
+    if "minProperties" in rule:
+        wrong(F.size(held) < rule["minProperties"], f"fewer properties than {rule['minProperties']}")
+    if "maxProperties" in rule:
+        wrong(F.size(held) > rule["maxProperties"], f"more properties than {rule['maxProperties']}")
+    return _messages(found, lists)
 
 
 def argument_errors(name: Column, arguments: Column, parsed: Column, schemas: Mapping[str, Mapping]) -> Column:
     """Sorted messages; ``schemas`` has a JSON schema of an object for each tool."""
     is_object = F.coalesce(F.schema_of_variant(parsed).rlike("^OBJECT<"), F.lit(False))
-    none = F.array().cast("array<string>")
     by_tool = F.when(name.isNull() | ~name.isin(list(schemas)), F.array(F.lit("name: unknown tool")))
     for tool, schema in sorted(schemas.items()):
-        rules: Mapping = schema.get("properties", {})
-        checks = [c for prop, rule in sorted(rules.items()) for c in _check(prop, rule, parsed)]
-        for prop in schema.get("required", []):
-            absent = F.variant_get(parsed, _property(parsed, prop), "variant").isNull()
-            checks.append(F.when(absent, F.lit(f"{prop}: missing")))
-        if schema.get("additionalProperties") is False:
-            held = F.json_object_keys(F.to_json(parsed))
-            known = F.array(*[F.lit(p) for p in sorted(rules)]).cast("array<string>")
-            checks.append(F.when(F.size(F.array_except(held, known)) > 0, F.lit("arguments: unknown property")))
-        by_tool = by_tool.when(name == tool, F.array_sort(F.filter(F.array(*checks), lambda c: c.isNotNull())) if checks else none)
+        by_tool = by_tool.when(name == tool, F.array_sort(violations(parsed, schema, "", root=True)))
     shape = F.when(arguments.isNull(), F.array(F.lit("arguments: missing")))
     shape = shape.when(parsed.isNull(), F.array(F.lit("arguments: not JSON"))).when(~is_object, F.array(F.lit("arguments: not an object")))
     return shape.otherwise(by_tool)
@@ -116,31 +173,65 @@ def _identity(mark: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("call_id")), F.concat(F.lit(mark), F.coalesce(F.col("position").cast("string"), F.lit(""))))
 
 
+def _chain_levels(edges: DataFrame) -> DataFrame:
+    """(chat, id, level, in_cycle) where every call waits for one other at most, by pointer doubling.
+
+    A call knows another one some steps ahead, and how many. Joined with itself
+    it knows one twice as far; the number of rounds is the logarithm of the
+    longest chain. Calls that still point to others when a round settles none
+    lie on a cycle or behind one.
+    """
+    waits = write_down(edges.select("chat", F.col("id").alias("dep"), F.lit(True).alias("_open")))
+    ahead = lookup_join(edges, waits, ["chat", "dep"], "left")
+    ahead = ahead.select("chat", "id", F.when(F.col("_open"), F.col("dep")).alias("to"), F.lit(1).cast("bigint").alias("level"))
+    known, open_ = write_down(ahead), -1
+    while True:
+        pending = known.df.filter("to IS NOT NULL").count()
+        if pending in (0, open_):
+            break
+        open_ = pending
+        there = known.df.select("chat", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("level").alias("_level"))
+        joined = lookup_join(known.df, replace(known, df=there), ["chat", "to"], "left")
+        known = write_down(joined.select("chat", "id", F.col("_to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")))
+    looped = F.col("to").isNotNull()
+    return known.df.select("chat", "id", F.when(~looped, F.col("level")).alias("level"), looped.alias("in_cycle"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """(chat, id, level, in_cycle) of every call with dependencies, by peeling.
+    """(chat, id, level, in_cycle) of every call with dependencies.
 
     ``edges`` is (chat, id, dep). A call's level is the length of the longest
-    chain below it; calls on or behind a cycle have no level.
+    chain below it; calls on or behind a cycle have no level. Chats in which
+    every call waits for one other at most take rounds by the logarithm of their
+    longest chain; in the others levels are peeled off one by one.
     """
-    left = write_down(edges.select("chat", "id", "dep").distinct())
+    edges = materialise(edges.select("chat", "id", "dep").distinct())
+    several = edges.groupBy("chat", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chat").distinct()
+    several = write_down(several.withColumn("_several", F.lit(True)))
+    marked = lookup_join(edges, several, ["chat"], "left")
+    single = materialise(marked.filter("_several IS NULL").select("chat", "id", "dep"))
+    out = _chain_levels(single)
+    return out if several.rows == 0 else out.unionByName(_peeled(marked.filter("_several").drop("_several")))
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    left = write_down(edges)
     layers, level = [], 0
+    none = F.lit(None).cast("bigint")
     while left.rows:
         level += 1
         waiting = materialise(left.df.select("chat", "id").distinct())
         above = left.df.join(waiting.withColumnRenamed("id", "dep"), ["chat", "dep"], "left_semi")
         following = write_down(above.select("chat", "id", "dep"))
         if following.rows == left.rows:
-            layers.append(waiting.withColumn("level", F.lit(None).cast("int")).withColumn("in_cycle", F.lit(True)))
+            layers.append(waiting.withColumn("level", none).withColumn("in_cycle", F.lit(True)))
             break
         if following.rows:
             still = following.df.select("chat", "id").distinct()
             waiting = waiting.join(still, ["chat", "id"], "left_anti")
-        layers.append(waiting.withColumn("level", F.lit(level)).withColumn("in_cycle", F.lit(False)))
+        layers.append(materialise(waiting.withColumn("level", F.lit(level).cast("bigint")).withColumn("in_cycle", F.lit(False))))
         left = following
-    out = layers[0] if layers else edges.select("chat", "id", F.lit(0).alias("level"), F.lit(False).alias("in_cycle")).limit(0)
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
+    return functools.reduce(DataFrame.unionByName, layers)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,72 @@ def test_arguments(spark, args, errors):
     assert row.errors == errors and row.valid == (not errors)
 
 
+NESTED = {
+    "deep": {
+        "type": "object",
+        "description": "a note",
+        "properties": {
+            "list": {"type": "array", "items": {"type": "integer", "minimum": 0}, "minItems": 1, "maxItems": 3, "uniqueItems": True},
+            "at": {"type": "object", "properties": {"x": {"type": "number", "exclusiveMaximum": 5}, "tags": {"items": {"type": "object", "properties": {"k": {"const": "v"}}, "required": ["k"]}}}, "required": ["x"], "additionalProperties": False},
+            "n": {"multipleOf": 0.5, "exclusiveMinimum": 0},
+            "c": {"const": {"b": 1, "a": [2]}},
+        },
+        "minProperties": 1,
+        "maxProperties": 4,
+    }
+}
+
+
+@pytest.mark.parametrize(
+    "args, errors",
+    [
+        ('{"list": [1, 2], "at": {"x": 4.5, "tags": [{"k": "v"}]}, "n": 1.5, "c": {"a": [2], "b": 1}}', []),
+        ('{"list": [], "n": 0}', ["list: fewer items than 1", "n: not above 0"]),
+        ('{"list": [1, 1, -1, "x"]}', ["list: items are not unique", "list: more items than 3", "list[]: below 0", "list[]: not of type integer"]),
+        ('{"at": {"y": 1}}', ["at.x: missing", "at: unknown property"]),
+        ('{"at": {"x": 5, "tags": [{"k": "w"}, {}, 3]}}', ["at.tags[].k: missing", "at.tags[].k: not the one allowed value", "at.tags[]: not of type object", "at.x: not below 5"]),
+        ('{"n": 1.3, "c": {"b": 1}}', ["c: not the one allowed value", "n: not a multiple of 0.5"]),
+        ('{"at": 3, "list": "x"}', ["at: not of type object", "list: not of type array"]),
+        ("{}", ["arguments: fewer properties than 1"]),
+        ('{"a": 1, "b": 2, "d": 3, "e": 4, "f": 5}', ["arguments: more properties than 4"]),
+    ],
+)
+def test_nested_schemas(spark, args, errors):
+    rows = tool_calls.link(spark.createDataFrame([call("c", "1", 0, name="deep", args=args)], CALLS), spark.createDataFrame([], RESULTS), NESTED)
+    assert rows.first().errors == errors
+
+
+@pytest.mark.parametrize("schema", [{"oneOf": []}, {"properties": {"a": {"$ref": "#/x"}}}, {"additionalProperties": {"type": "string"}}, {"properties": {"a": {"items": [{}]}}}])
+def test_schemas_that_cannot_be_checked_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        tool_calls.link(spark.createDataFrame([call("c", "1", 0, name="t")], CALLS), spark.createDataFrame([], RESULTS), {"t": schema})
+
+
+def test_backward_chain_in_few_jobs(spark):
+    """Each call waits for the next one of the chat."""
+
+    def jobs(n):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "count")
+        rows = run(spark, [call("a", str(i), i, [str(i + 1)] if i < n - 1 else None) for i in range(n)])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [int(r.call_id) for r in rows] == list(range(n))[::-1] and not any(r.in_cycle for r in rows)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(20), jobs(3_000)
+    assert many < few + 80
+
+
+def test_levels_by_doubling_and_by_peeling_agree(spark):
+    rng = random.Random(4)
+    rows = [("c", str(i), str(rng.randint(max(0, i - 3), i - 1))) for i in range(1, 40) if rng.random() < 0.9]
+    rows += [("c", "50", "51"), ("c", "51", "52"), ("c", "52", "50"), ("c", "53", "51"), ("c", "54", "54"), ("d", "1", "0")]
+    edges = spark.createDataFrame(rows, "chat string, id string, dep string")
+    one = sorted(map(tuple, tool_calls._chain_levels(edges).collect()))
+    assert one == sorted(map(tuple, tool_calls._peeled(edges).collect()))
+    assert any(r[3] for r in one) and any(r[2] and r[2] > 2 for r in one)
+
+
 def test_order_and_cycles(spark):
     rows = run(
         spark,
