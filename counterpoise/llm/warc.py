@@ -18,8 +18,10 @@ successful task reported are used, so retries and lost executors do no harm.
 Defined results: a null payload is empty; of equal payloads of at least
 ``revisit_bytes`` bytes the record with the largest key is the response (null
 keys count below all others, and of equal keys the last place wins); a null key
-or address has no header line and is read back as null; control characters in
-addresses are percent-encoded; an empty table gives no archives and no rows.
+or address has no header line and is read back as null; keys of any kind come
+back as they were (their header is percent-encoded), control characters in
+addresses stay percent-encoded; very long payloads are written and read whole, one
+record in memory at a time; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +51,7 @@ ARCHIVE_BYTES = 64 << 20
 ARCHIVE_RECORDS = 20_000
 LEVEL = 6
 REVISIT_BYTES = 0
+NORMALISERS = 20_000
 BUFFER = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 
@@ -103,7 +106,7 @@ class _ArchiveWriter:
                 ("WARC-Date", DATE),
                 ("WARC-Target-URI", None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")),
                 ("WARC-Payload-Digest", f"sha1:{digest}"),
-                (KEY_HEADER, key),
+                (KEY_HEADER, None if key is None else quote(key, safe="")),
                 ("Content-Type", "application/http;msgtype=response"),
                 ("Content-Length", str(len(http) + len(payload))),
             ]
@@ -233,6 +236,11 @@ def parse_head(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in lines[1:] if line)
 
 
+def _key(fields: dict[str, str], name: str) -> str | None:
+    """A row's key out of its header, where it is percent-encoded."""
+    return unquote(fields[name]) if name in fields else None
+
+
 def _length_of(http: bytes) -> int:
     found = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
     if found is None:
@@ -269,7 +277,7 @@ def normalise_file(source: str, target: str, revisit: dict[int, tuple[str, str]]
                 for _ in stream.pieces(size - len(http)):
                     pass
                 changed = {"WARC-Type": "revisit", "Content-Length": str(len(http)), "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": first}
-                fields |= changed | ({REFERS_HEADER: first_key} if first_key is not None else {})
+                fields |= changed | ({REFERS_HEADER: quote(first_key, safe="")} if first_key is not None else {})
                 put(_head(list(fields.items())) + http)
             else:
                 put(head)
@@ -282,7 +290,7 @@ def normalise_file(source: str, target: str, revisit: dict[int, tuple[str, str]]
             sink.write(packed)
             written += len(packed)
             line = {"offset": offset, "length": written, "type": fields["WARC-Type"], "id": fields["WARC-Record-ID"]}
-            line |= {"digest": fields.get("WARC-Payload-Digest"), "key": fields.get(KEY_HEADER)}
+            line |= {"digest": fields.get("WARC-Payload-Digest"), "key": _key(fields, KEY_HEADER)}
             index.write(json.dumps(line).encode() + b"\n")
             offset += written
             ordinal += 1
@@ -310,7 +318,10 @@ def normalise(records: DataFrame, source: str, target: str) -> DataFrame:
             raise ValueError(f"{name} holds {count} records, not {table.num_rows}")
         return pa.table({"archive": [new], "records": [count], "bytes": [size]})
 
-    return rows.groupBy("archive").applyInArrow(run, "archive string, records bigint, bytes bigint")
+    # the rows are narrow, the archives behind them are not: partitions by their number, not by the bytes of the rows
+    archives = max(1, records.select("archive").distinct().count())
+    spread = rows.repartition(min(2 * archives, NORMALISERS), "archive")
+    return spread.groupBy("archive").applyInArrow(run, "archive string, records bigint, bytes bigint")
 
 
 def read_record(file, offset: int, length: int) -> tuple[dict[str, str], bytes, bytes]:
@@ -348,7 +359,7 @@ def read_archives(archives: DataFrame, folder: str, key_type: str = "bigint", wi
                         kind = fields["WARC-Type"]
                         if kind == "response" and (payload_digest(payload) != digest or len(payload) != _length_of(http)):
                             raise ValueError(f"{fields['WARC-Record-ID']} is damaged")
-                        row = [fields.get(KEY_HEADER), fields.get("WARC-Target-URI"), kind, fields.get(REFERS_HEADER), _length_of(http), digest]
+                        row = [_key(fields, KEY_HEADER), fields.get("WARC-Target-URI"), kind, _key(fields, REFERS_HEADER), _length_of(http), digest]
                         rows.append([*row, payload if kind == "response" else None] if with_payload else row)
                         held += len(payload) if with_payload else 100
                         if held > BUFFER:
