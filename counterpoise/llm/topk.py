@@ -5,21 +5,22 @@ hold it scatter weight x posting into a dense array of scores (queries x
 candidates of one block); a partition selection then keeps the k best of each
 query in that block, and the blocks' lists are merged.
 
-Every query has to meet every candidate. Both sides are cut into blocks of a
-fixed number of rows and laid on a grid: a candidate row is sent once to each
-block of queries, a query row once to each block of candidates, and each cell of
-the grid is one task-sized group. No row meets another outside such a cell, and
-only k rows for each query and block are shuffled for the merge.
+Every query has to meet every candidate. Candidates stay where they are and are
+never shuffled: queries are sent to all tasks in blocks of a bounded number of
+rows, and each task runs its candidates, tile by tile, against the block. Only
+the k best of each query and task are shuffled, for the merge.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; vectors of different lengths are compared as sparse rows (absent
-components are 0); rows with the query's id are its own and are no candidates;
+components are 0); components beyond the range of a long are cut to it, and sums
+wrap as longs do; rows with the query's id are its own and are no candidates;
 a query row that is repeated is answered once for each of its rows; ties go to
 the smaller id; fewer than k candidates give all of them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import materialise, write_down
+from counterpoise.operators.lineage import fan_out, materialise, write_down
 
 K = 5
 SCALE = 256
-QUERY_BLOCK = 1_024
-CANDIDATE_BLOCK = 8_192
-_TILE = 1_024
+QUERY_BLOCK = 32_768
+CANDIDATE_BLOCK = 4_096
+QUERY_TILE = 256
 
 
 def integer_weights(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -96,34 +97,40 @@ def best(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def _cell(k: int):
-    """Function for one cell of the grid: its queries against its candidates."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
-        if left.num_rows == 0 or right.num_rows == 0:  # a side without rows may come without its columns
-            return pa.table({n: pa.array([], pa.int64()) for n in out})
-        right = right.combine_chunks().sort_by("id")
-        for start in range(0, right.num_rows, _TILE * 4):
-            part = right.slice(start, _TILE * 4).combine_chunks()
-            ids = part.column("id").to_numpy()
-            postings = Postings(pa.concat_arrays(part.column("w").chunks))
-            for first in range(0, left.num_rows, _TILE // 4):
-                block = left.slice(first, _TILE // 4).combine_chunks()
-                own = block.column("id").to_numpy()
-                queries = Postings(pa.concat_arrays(block.column("w").chunks))
-                scores = accumulate(queries, len(own), postings, len(ids))
-                rows, columns = best(scores, own, ids, k)
-                out["query_row"].append(block.column("row").to_numpy()[rows])
-                out["query_id"].append(own[rows])
-                out["vec_id"].append(ids[columns])
-                out["score"].append(scores[rows, columns])
-        joined = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in out.items()}
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in joined.items()})
+def _against(block, k: int, tile: int):
+    """Function over a task's candidates: the k best of each query of the block, one list for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = block.value
+        held = {n: np.zeros(0, np.int64) for n in ("query_row", "query_id", "vec_id", "score")}
+        for batch in batches:
+            for start in range(0, batch.num_rows, tile):
+                part = pa.Table.from_batches([batch.slice(start, tile)]).sort_by("id").combine_chunks()
+                ids = part.column("id").to_numpy()
+                postings = Postings(pa.concat_arrays(part.column("w").chunks))
+                found = {n: [x] for n, x in held.items()}
+                for first in range(0, table.num_rows, QUERY_TILE):
+                    some = table.slice(first, QUERY_TILE).combine_chunks()
+                    own = some.column("id").to_numpy()
+                    scores = accumulate(Postings(pa.concat_arrays(some.column("w").chunks)), len(own), postings, len(ids))
+                    rows, columns = best(scores, own, ids, k)
+                    for n, x in (("query_row", some.column("row").to_numpy()[rows]), ("query_id", own[rows]), ("vec_id", ids[columns]), ("score", scores[rows, columns])):
+                        found[n].append(x)
+                held = _merged({n: np.concatenate(x) for n, x in found.items()}, k)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in held.values()], list(held))
 
     return run
 
 
+def _merged(lists: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """The k best of each query row of several lists."""
+    order = np.lexsort((lists["vec_id"], -lists["score"], lists["query_row"]))
+    row = lists["query_row"][order]
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    return {n: x[order[rank < k]] for n, x in lists.items()}
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -138,21 +145,21 @@ def search(
 
     ``is_query`` is a condition on the column ``id`` (the key).
     """
-    rows = write_down(integer_weights(vectors, key, vector, scale).withColumn("row", F.monotonically_increasing_id()))
+    rows = integer_weights(vectors, key, vector, scale).withColumn("row", F.monotonically_increasing_id())
+    rows = write_down(fan_out(rows))
     queries = write_down(rows.df.filter(is_query))
     if queries.rows == 0:
         nothing = vectors.sparkSession.range(0)
         return nothing.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    across = max(1, -(-queries.rows // query_block))
-    down = max(1, -(-rows.rows // candidate_block))
-    spread = F.pmod(F.xxhash64("row"), F.lit(across)).cast("int")
-    left = queries.df.withColumn("q", spread).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    place = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(down)).cast("int")
-    right = rows.df.withColumn("c", place).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    cells = left.select("q", "c", "row", "id", "w").groupBy("q", "c").cogroup(right.select("q", "c", "id", "w").groupBy("q", "c"))
-    found = cells.applyInArrow(_cell(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
-    # written down, as pruning columns through a cogroup (for a count) would take its inputs away
-    found = materialise(found)
+    blocks = -(-queries.rows // query_block)
+    dealt = queries.df.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    lists = []
+    for b in range(blocks):
+        sent = vectors.sparkSession.sparkContext.broadcast(dealt.filter(F.col("block") == b).select("row", "id", "w").toArrow())
+        found = rows.df.select("id", "w").mapInArrow(_against(sent, k, candidate_block), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+        lists.append(materialise(found))  # the block is in use up to here
+        sent.unpersist()
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    every = functools.reduce(DataFrame.unionByName, lists)
+    merged = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score")
