@@ -9,12 +9,13 @@ a shard let a reader skip it for a filter on any of the columns (Skilling,
 
 Law ``rows``: runs are cut at equal numbers of rows, so shard sizes differ by at
 most one row. Equal points are ordered by the text's checksum, then by key, so
-copies stand together, and a group of copies larger than a shard is cut like
-any other run: nothing is gathered by value.
+copies stand together, and a group of copies larger than a shard is cut like any
+other run. Rows equal in all three fall into one range of the sort, since nothing
+tells them apart; any others are spread.
 
 Defined results: a null or NaN cell counts below every value; a null text has
-size 1 and checksum 0; repeated rows get a slot each; an empty table gives no
-rows; other columns may have any names, as rows are carried as one struct.
+size 1 and checksum 0; very long texts only give their size and checksum;
+repeated rows get a slot each; an empty table gives no rows; other columns may have any names, as rows are carried as one struct.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.llm.common import ranked
+from counterpoise.operators.lineage import materialise
+from counterpoise.operators.ranking import running_sum
 
 BITS = 5
 SHARDS = 16
 ACCURACY = 10_000
-_LEADING = 6
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,45 +62,72 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A double with the order of the column: text by its first bytes, other kinds by a hash."""
+def _ordered(df: DataFrame, name: str) -> tuple[Column, bool]:
+    """The column in a type whose order counts, and whether it is text."""
     col, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+        return F.nanvl(col.cast("double"), F.lit(None).cast("double")), False
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return col.cast("timestamp").cast("double")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        lead = F.hex(F.substring(col.cast("binary"), 1, _LEADING))
-        return F.conv(F.rpad(lead, 2 * _LEADING, "0"), 16, 10).cast("double")
-    return F.xxhash64(col).cast("double")
+        return col.cast("timestamp").cast("double"), False
+    if isinstance(kind, T.BinaryType):
+        return F.hex(col), True  # hexadecimal digits are in the order of the bytes
+    if isinstance(kind, T.StringType):
+        return col.cast("string"), True
+    return F.xxhash64(col).cast("double"), False
 
 
-def quantile_edges(df: DataFrame, dims: Sequence[str], bits: int) -> list[np.ndarray]:
-    """Upper cell borders of every column, from all rows in one aggregate of fixed size."""
+def text_edges(values: DataFrame, cells: int) -> list[str]:
+    """Lower borders of all cells but the first, from the whole column ``value``.
+
+    Values are counted once each and summed in their order, range by range, so
+    the borders are quantiles whatever the values have in common.
+    """
+    counts = values.filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    upto = materialise(running_sum(counts, ["_all"], ["value"], {"upto": "n"}))
+    total = upto.agg(F.max("upto")).first()[0] or 0
+    if not total:
+        return []
+    before = F.col("upto") - F.col("n")
+    at = F.floor(before * cells / F.lit(total))
+    # at most a row for each cell; a border is repeated where a value before it fills several cells
+    found = sorted((r["at"], r["edge"]) for r in upto.groupBy(at.alias("at")).agg(F.min("value").alias("edge")).filter("at > 0").collect())
+    return [edge for k, (place, edge) in enumerate(found) for _ in range(place - (found[k - 1][0] if k else 0))]
+
+
+def quantile_edges(df: DataFrame, dims: Sequence[str], bits: int) -> list[list]:
+    """Lower cell borders of every column, from all rows: numbers in one aggregate of fixed size, texts by their counts."""
     cells = 1 << bits
     at = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    numbers = df.select(*[as_number(df, d).alias(f"d{i}") for i, d in enumerate(dims)])
-    row = numbers.agg(*[F.percentile_approx(c, at, F.lit(ACCURACY)).alias(c) for c in numbers.columns]).first()
-    return [np.array(row[i] if row[i] is not None else [], float) for i in range(len(dims))]
+    columns = [_ordered(df, d) for d in dims]
+    numbers = {i: col for i, (col, is_text) in enumerate(columns) if not is_text}
+    found: list[list] = [[] for _ in dims]
+    if numbers:
+        row = df.select(*[c.alias(f"d{i}") for i, c in numbers.items()]).agg(*[F.percentile_approx(f"d{i}", at, F.lit(ACCURACY)).alias(f"d{i}") for i in numbers]).first()
+        for i in numbers:
+            found[i] = list(row[f"d{i}"] or [])
+    for i, (col, is_text) in enumerate(columns):
+        if is_text:
+            found[i] = text_edges(df.select(col.alias("value")), cells)
+    return found
+
+
+def _borders_passed(col: Column, edges: Sequence) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= col)) if len(edges) else F.lit(0)
 
 
 def curve_column(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> Column:
     if not 1 <= bits * len(dims) <= 62:
         raise ValueError("bits times dimensions must fit a long")
-    edges = quantile_edges(df, dims, bits)
+    cells = []
+    for (col, _), edges in zip([_ordered(df, d) for d in dims], quantile_edges(df, dims, bits)):
+        cells.append(F.when(col.isNotNull(), _borders_passed(col, edges)).otherwise(0))
 
     def place(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
-            cells = []
-            for values, border in zip(columns, edges):
-                x = values.to_numpy(float)
-                missing = np.isnan(x)
-                cells.append(np.where(missing, 0, np.searchsorted(border, np.where(missing, 0, x), "right")))
-            yield pd.Series(curve_index(np.stack(cells, axis=1), bits))
-
-    return F.pandas_udf(place, "bigint")(*[as_number(df, d) for d in dims])
-
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one dimension comes by itself
+            yield pd.Series(curve_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
+    return F.pandas_udf(place, "bigint")(*cells)
 
 
 def shard(

@@ -57,3 +57,24 @@ def test_written_shards_prune(spark, tmp_path):
 def test_empty_table(spark):
     docs, _ = _docs(spark)
     assert hilbert.shard(docs.limit(0), ["lang", "n_chars"]).count() == 0
+
+
+def test_cells_are_quantiles_of_the_values_themselves(spark):
+    prefix = "https://www.example.org/a/b/c/"
+    rows = [(prefix + f"{i:05d}", float(i % 100), bytes([7, i % 256])) for i in range(4_000)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "url string, x double, b binary")
+    urls, numbers, raw = hilbert.quantile_edges(df, ["url", "x", "b"], 3)
+    assert urls == [prefix + f"{500 * k:05d}" for k in range(1, 8)] and len(raw) == 7 and len(numbers) == 7
+    out = df.select("url", hilbert.curve_column(df, ["url"], 3).alias("c")).collect()
+    for r in out:
+        assert r.c == (0 if r.url is None else sum(e <= r.url for e in urls))
+    common = spark.createDataFrame([("same",)] * 900 + [("a",)] * 50 + [("z",)] * 50, "t string")
+    assert hilbert.quantile_edges(common, ["t"], 4) == [["z"] * 15] and hilbert.quantile_edges(common.limit(0), ["t"], 4) == [[]]
+
+
+def test_addresses_with_a_common_beginning_prune(spark, tmp_path):
+    rows = [(i, "t", f"https://www.example.org/path/to/{(i * 7919) % 3000:06d}", i % 50) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, url string, n int")
+    manifest = hilbert.write_shards(df, ["url", "n"], str(tmp_path / "u"))
+    low, high = "https://www.example.org/path/to/000100", "https://www.example.org/path/to/000200"
+    assert hilbert.shards_meeting(manifest, "url", low, high).count() <= 6
