@@ -13,7 +13,8 @@ sources are salted).
 
 Defined results: a null source is a source of its own; a source without bytes
 gets rate 0; a null key draws like the text "null"; repeated rows draw the same
-count; an empty table gives no rows. Other columns are carried in a struct.
+count, and rows of one key that differ stand in the order of a hash of what they
+carry; an empty table gives no rows. Other columns are carried in a struct.
 """
 
 from __future__ import annotations
@@ -32,26 +33,23 @@ SEED = 29
 TEMPERATURE = 0.5
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... until the tail is below double precision.
+def poisson_count(u: Column, rate: Column) -> Column:
+    """The smallest k with P(count <= k) > u, where counts are Poisson with mean ``rate``.
 
-    Terms are summed from their logarithms, so a large rate does not underflow.
+    Probabilities are summed from k = 0 by their recurrence, as far as the tail is
+    below double precision; no table is kept. Terms are carried as logarithms, so
+    a large rate does not underflow. The steps are about as many as the copies.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"), F.lit(0).alias("count"))
 
     def step(state: Column, k: Column) -> Column:
         term = F.when(k == 0, -rate).otherwise(state["term"] + F.log(rate) - F.log(k))
         total = state["total"] + F.exp(term)
-        return F.struct(term.alias("term"), total.alias("total"), F.concat(state["cdf"], F.array(total)).alias("cdf"))
+        return F.struct(term.alias("term"), total.alias("total"), (state["count"] + (total <= u).cast("int")).alias("count"))
 
-    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf"))
-    sums = F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["cdf"])
-    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
-
-
-def poisson_count(u: Column, cdf: Column) -> Column:
-    """The smallest k with P(count <= k) > u."""
-    return F.size(F.filter(cdf, lambda c: c <= u))
+    counted = F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["count"])
+    return F.when(rate > 0, counted).otherwise(F.lit(0))
 
 
 def source_rates(
@@ -62,7 +60,7 @@ def source_rates(
     temperature: float = TEMPERATURE,
     budget: float | None = None,
 ) -> DataFrame:
-    """(source, bytes, weight, rate, cdf) of every source.
+    """(source, bytes, weight, rate) of every source.
 
     Weights not given are size^temperature, over all sources scaled to sum to 1.
     ``budget`` is the wanted number of bytes, the corpus's own by default.
@@ -82,7 +80,7 @@ def source_rates(
     weight = F.col("_mass") / F.lit(float(whole["mass"] or 1.0) or 1.0)
     rate = F.when(F.col("bytes") > 0, F.lit(wanted) * F.col("weight") / F.col("bytes")).otherwise(F.lit(0.0))
     out = shares.withColumn("weight", weight).withColumn("rate", rate)
-    return out.select("source", "bytes", "weight", "rate", poisson_cdf(F.col("rate")).alias("cdf"), "_rows")
+    return out.select("source", "bytes", "weight", "rate", "_rows")
 
 
 def mix(
@@ -107,12 +105,12 @@ def mix(
         F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(None).alias("none")]).alias("row"),
     ).withColumn("_label", label)
     labelled = table.df.withColumn("_label", label)
-    cdfs = write_down(labelled.select("_label", "cdf"))
-    joined = lookup_join(rows, cdfs, ["_label"], rows_per_key=labelled.select("_label", "_rows"))
+    joined = lookup_join(rows, write_down(labelled.select("_label", "rate")), ["_label"], rows_per_key=labelled.select("_label", "_rows"))
     name = F.coalesce(F.col("key").cast("string"), F.lit("null"))
-    copies = poisson_count(uniform(seed, "copies", name), F.col("cdf"))
+    copies = poisson_count(uniform(seed, "copies", name), F.col("rate"))
     drawn = joined.withColumn("copies", copies).filter("copies > 0")
     out = drawn.select("key", "source", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "row")
-    shuffled = out.withColumn("_at", hash_bits(seed, "order", name, F.col("copy")))
-    placed, _ = ranked(shuffled, ["_at", "key", "copy"], "position")
+    hashed = [F.col(f"row.`{f.name}`") for f in out.schema["row"].dataType.fields if f.dataType.typeName() not in ("map", "variant")]
+    shuffled = out.withColumn("_at", hash_bits(seed, "order", name, F.col("copy"))).withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
+    placed, _ = ranked(shuffled, ["_at", "key", "copy", "_tie"], "position")
     return placed.select(F.col("key").alias(key), "source", "copies", "copy", "position", "row")

@@ -16,13 +16,20 @@ def _docs(spark):
 
 
 @pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 7.5, 900.0])
-def test_cdf(spark, rate):
-    cdf = spark.range(1).select(mixture.poisson_cdf(F.lit(rate)).alias("c")).first().c
-    total, wanted = 0.0, []
-    for k in range(len(cdf)):
-        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0
-        wanted.append(total)
-    assert cdf == pytest.approx(wanted, abs=1e-9) and cdf[-1] > 1 - 1e-9
+def test_counts_invert_the_distribution(spark, rate):
+    us = [0.0, 1e-9, 0.01, 0.25, 0.5, 0.75, 0.99, 1 - 1e-9]
+    found = {r.u: r.n for r in spark.createDataFrame([(u,) for u in us], "u double").select("u", mixture.poisson_count(F.col("u"), F.lit(rate)).alias("n")).collect()}
+    for u in us:
+        total, k = 0.0, -1
+        while rate and total <= u:
+            k += 1
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        assert found[u] == max(k, 0)
+
+
+def test_a_rate_of_a_million(spark):
+    n = spark.range(3).select(mixture.poisson_count((F.col("id") + 1) / 4, F.lit(1e6)).alias("n")).collect()
+    assert [round((r.n - 1e6) / 1e3, 1) for r in n] == [-0.7, 0.0, 0.7]
 
 
 def test_counts_follow_the_rates(spark):
