@@ -6,7 +6,10 @@ import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from statistics import fmean, pstdev
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,16 +22,12 @@ from counterpoise.operators.encode import LabelEncoder, StandardScaler, numeric_
 from counterpoise.operators.lineage import ensure_checkpoint_dir, side_by_side, write_down
 from counterpoise.operators.ranking import hashed_rank, running_sum, with_row_key
 from counterpoise.operators.sampling import complete_cases, require_column
+from counterpoise.operators.training_sets import TABLE, fold_count, model_scores, training_sets
 
 # Names of the models in result tables.
 MODELS = ("logistic", "random_forest", "hist_gradient")
 
 
-def fold_count(smallest_class: int, max_splits: int = 5) -> int | None:
-    """Folds that give each class a row in each; ``None`` if a class has fewer than 2."""
-    return None if smallest_class < 2 else min(max_splits, smallest_class)
-
-
 def stratified_folds(df: DataFrame, target: str, key: str, max_splits: int = 5, seed: int = 42) -> DataFrame | None:
     """Adds ``fold``: rows of each class dealt out evenly in a seeded random order."""
     smallest = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
@@ -258,7 +257,7 @@ def train_models(
     def attempt(task):
         try:
             return (fit_all(task) if isinstance(task, str) else fit_fold(task)), None
-        except Exception as e:  # noqa: BLE001 - recorded in the result
+        except (ValueError, IllegalArgumentException, AnalysisException) as e:
             return None, f"{type(e).__name__}: {e}"
 
     jobs = [(name, f) for name in models for f in range(k)]
@@ -289,6 +288,38 @@ SCORES = (
 )
 
 
+def score_tables(
+    tables: DataFrame,
+    test: DataFrame,
+    target: str,
+    models: Sequence[str] = MODELS,
+    key: str | None = None,
+    seed: int = 42,
+    max_splits: int = 5,
+    **sizes,
+) -> dict[int, dict[str, tuple[float, float, float, str | None]]]:
+    """Per table and model (cv_mean, cv_std, test_roc, error), all tables in the same jobs.
+
+    ``tables`` carries the number of the table in the column ``TABLE``; ``sizes``
+    (trees, rounds, local_rows) goes to :func:`model_scores`. Of a table that
+    cannot be used the error says why, and its scores are NaN.
+    """
+    sets = training_sets(tables, test, target, key, seed, max_splits)
+    parts = [model_scores(sets, m, seed, **sizes).withColumn("model", F.lit(m)) for m in models]
+    found: dict[tuple[int, str], dict[int, float]] = {}
+    # a row for each model, table and fold
+    for r in roc_auc(reduce(DataFrame.unionByName, parts), "score", "label", ["model", "v", "f"]).collect():
+        found.setdefault((r["v"], r["model"]), {})[r["f"]] = r["auc"]
+    out: dict[int, dict[str, tuple[float, float, float, str | None]]] = {}
+    for v in {*sets.folds, *sets.errors}:
+        for m in models:
+            by_fold = found.get((v, m), {})
+            cv = [auc for f, auc in by_fold.items() if f >= 0 and not math.isnan(auc)]
+            mean, deviation = (fmean(cv), pstdev(cv)) if cv else (math.nan, math.nan)
+            out.setdefault(v, {})[m] = (mean, deviation, by_fold.get(-1, math.nan), sets.errors.get(v))
+    return out
+
+
 def train_and_score(
     train: DataFrame,
     test: DataFrame,
@@ -300,15 +331,14 @@ def train_and_score(
     models: Sequence[str] = MODELS,
     **options,
 ) -> list[tuple]:
-    """One :data:`SCORES` row per model; a failure is put in ``error`` and scores NaN."""
-    nan = math.nan
+    """One :data:`SCORES` row per model; a table that cannot be used is said in ``error`` and scores NaN.
+
+    Only faults of the input are reported that way; a failing cluster is not.
+    """
+    failed = (math.nan, math.nan, math.nan)
     try:
-        trained = train_models(train, target, models=models, **options)
-        cv = trained.cv()
-        tested = {r["model"]: r["auc"] for r in trained.test(test).collect()} if trained.models else {}
-        errors = trained.errors
-    except Exception as e:  # noqa: BLE001 - recorded in the result
-        cv, tested, errors = {}, {}, dict.fromkeys(models, f"{type(e).__name__}: {e}")
-    return [
-        (dataset, method, pct, run, m, *cv.get(m, (nan, nan)), tested.get(m, nan), errors.get(m)) for m in models
-    ]
+        found = score_tables(train.withColumn(TABLE, F.lit(0)), test, target, models, **options)
+        scores = found.get(0, {m: (*failed, "no complete rows") for m in models})
+    except (ValueError, AnalysisException) as e:
+        scores = {m: (*failed, f"{type(e).__name__}: {e}") for m in models}
+    return [(dataset, method, pct, run, m, *scores[m]) for m in models]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.operators.evaluate import SCORES, score_summary, train_and_score
-from counterpoise.operators.lineage import side_by_side
+from counterpoise.operators.evaluate import MODELS, SCORES, score_summary, score_tables, train_and_score
+from counterpoise.operators.training_sets import TABLE, training_sets
 from counterpoise.sources.tables import ORIGINAL
 
 # The datasets evaluated when none are named, with their target columns.
@@ -49,24 +50,35 @@ def repeat_runs(
 
 
 def evaluate_variants(
-    variants: DataFrame, test: DataFrame, target: str, dataset: str, runs: int = 1, seed: int = 42, at_once: int = 2, **options
+    variants: DataFrame, test: DataFrame, target: str, dataset: str, runs: int = 1, seed: int = 42, models: Sequence[str] = MODELS, **options
 ) -> DataFrame:
     """Each (method, pct) variant trained, and scored on the untouched test rows.
 
-    ``variants`` is the stored or computed output of a rebalance sweep; stored
-    ones are partitioned by method and pct, so each pass reads one folder.
+    All variants go through the same jobs; only their names pass the driver.
+    ``variants`` is the stored or computed output of a rebalance sweep.
     """
     extra = [c for c in ("dataset", "method", "pct", "p", "is_synthetic") if c in variants.columns]
-    todo = sorted((r["method"], r["pct"]) for r in variants.select("method", "pct").distinct().collect())
+    names = sorted((r["method"], r["pct"]) for r in variants.select("method", "pct").distinct().collect())
+    spark = variants.sparkSession
+    listed = spark.createDataFrame([(m, p, i) for i, (m, p) in enumerate(names)], f"method string, pct int, {TABLE} bigint")
+    tables = variants.join(F.broadcast(listed), ["method", "pct"]).drop(*extra)  # a row for each variant
+    rows = []
+    for run in range(runs):
+        found = score_tables(tables, test, target, models, seed=seed + run, **options)
+        nothing = {m: (math.nan, math.nan, math.nan, "no complete rows") for m in models}
+        rows += [(dataset, m, p, run, name, *found.get(i, nothing)[name]) for i, (m, p) in enumerate(names) for name in models]
+    return _frame(spark, rows)
 
-    def score(task: tuple[str, int, int]) -> list[tuple]:
-        method, pct, run = task
-        train = variants.filter((F.col("method") == method) & (F.col("pct") == pct)).drop(*extra)
-        return train_and_score(train, test, target, dataset, method, pct, run=run, seed=seed + run, **options)
 
-    tasks = [(method, pct, run) for method, pct in todo for run in range(runs)]
-    scored = side_by_side(variants.sparkSession, score, tasks, at_once)
-    return _frame(variants.sparkSession, [row for rows in scored for row in rows])
+def variant_folds(variants: DataFrame, test: DataFrame, target: str, max_splits: int = 5, seed: int = 42) -> DataFrame:
+    """(method, pct, part, n_rows, n_pos): what each fold of each variant scores; part -1 is the test rows."""
+    names = variants.select("method", "pct").distinct().orderBy("method", "pct").collect()
+    spark = variants.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(r["method"], r["pct"], i) for i, r in enumerate(names)], f"method string, pct int, {TABLE} bigint"))
+    extra = [c for c in ("dataset", "method", "pct", "p", "is_synthetic") if c in variants.columns]
+    sets = training_sets(variants.join(listed, ["method", "pct"]).drop(*extra), test, target, seed=seed, max_splits=max_splits)
+    counted = sets.rows.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("bigint").alias("n_pos"))
+    return counted.join(listed, counted["v"] == listed[TABLE]).select("method", "pct", "part", "n_rows", "n_pos")
 
 
 def tabulate(scores: DataFrame, by: Sequence[str] = ("model", "method", "pct")) -> DataFrame:
