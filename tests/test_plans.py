@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from counterpoise.operators import evaluate as V
 from counterpoise.operators.lineage import ensure_checkpoint_dir
 from counterpoise.plans import evaluation, rebalance, split, sweep
-from counterpoise.sources import tables
+from counterpoise.sources import files, tables
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def field(spark):
     )
 
 
-SMALL = {"trees": 5, "rounds": 2, "max_depth": 5, "parallelism": 8, "max_splits": 2}
+SMALL = {"trees": 5, "rounds": 2, "max_splits": 2}
 
 
 @pytest.mark.parametrize("method", rebalance.METHODS)
@@ -147,3 +148,53 @@ def test_split_folder(spark, tmp_path):
     assert got == {"one": (26, 7, None), "two": (8, 2, None)}
     two = spark.read.parquet(f"{tmp_path}/out/original/dataset=two")
     assert sorted(r["c"] for r in two.collect()) == list(range(10)) and two.filter("split = 'test'").count() == 2
+
+
+def test_many_csv_files_in_the_same_jobs(spark, tmp_path):
+    def folder(name, files):
+        (tmp_path / name / "sub").mkdir(parents=True)
+        for k in range(files):
+            (tmp_path / name / f"{'sub/' if k % 2 else ''}t {k}.csv").write_text(f"a{k},b\n" + "".join(f"{i % 3},x{k}\n" for i in range(10 + k)))
+        return str(tmp_path / name)
+
+    def jobs(name, files):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "count")
+        found = split.split_csv_files(spark, folder(name, files), str(tmp_path / f"{name}-out")).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, jobs_few = jobs("few", 2)
+    many, jobs_many = jobs("many", 30)
+    assert jobs_many == jobs_few and len(many) == 30
+    for r in many:
+        k = int(r.dataset.split()[-1])
+        train, test = ((tmp_path / "many-out" / r.dataset / "original" / f"{s}.csv").read_text().splitlines() for s in ("train", "test"))
+        assert train[0] == test[0] == f"a{k},b" and len(test) - 1 == r.n_test == math.ceil((10 + k) * 0.2)
+        assert sorted(train[1:] + test[1:]) == sorted(f"{i % 3},x{k}" for i in range(10 + k)) and r.error is None
+    assert not list((tmp_path / "many-out").glob("_staging*"))
+
+
+def test_csv_files_that_cannot_be_split_are_named(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "good.csv").write_text("h\n" + "v\n" * 9 + "\n")
+    (tmp_path / "in" / "head.csv").write_text("h\n")
+    (tmp_path / "in" / "quoted.csv").write_text('h\n"a\nb"\nc\n')
+    found = {r.dataset: (r.n_train, r.n_test, r.error) for r in split.split_csv_files(spark, str(tmp_path / "in"), str(tmp_path / "o")).collect()}
+    assert found["good"] == (7, 2, None) and found["head"] == (None, None, "no rows") and "quoted" in found["quoted"][2]
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["good"]
+    assert split.split_csv_files(spark, str(tmp_path / "nothing"), str(tmp_path / "o")).count() == 0
+
+
+def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = [(f"f {n}/x=%2F{n}.txt", i, f"line {i}") for n in range(3) for i in range(50)]
+    lines = spark.createDataFrame(rows, "file string, line_no bigint, line string").repartition(7)
+    out = tmp_path / "out"
+    assert files.write_files(lines, str(out)) == 3
+    names = {str(p.relative_to(out)) for p in out.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert names == {f for f, _, _ in rows}
+    assert (out / rows[0][0]).read_text().splitlines() == [f"line {i}" for i in range(50)]
+    broken = lines.withColumn("line", F.when(F.col("line_no") == 49, F.raise_error(F.lit("no"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="no"):
+        files.write_files(broken, str(out))
+    assert (out / rows[0][0]).read_text().startswith("line 0") and files.write_files(lines.limit(0), str(out)) == 0
