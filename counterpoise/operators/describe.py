@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
@@ -18,6 +18,7 @@ from counterpoise.operators.ranking import running_sum
 
 NOISE_UNIT = float(1 << 36)
 SUBSETS_PER_JOB = 200
+SETS_AT_ONCE = 50
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,7 @@ class BinnedTable:
     attributes: list[Attribute]
     cards: dict[str, int]
     encoder: LabelEncoder | None
+    weight: str | None = None  # a column that says how many rows a row stands for
 
     def key(self, cols: Sequence[str]) -> Column:
         """Mixed-radix number of the bins of several columns."""
@@ -206,6 +208,12 @@ def bin_table(df: DataFrame, attributes: Sequence[Attribute]) -> BinnedTable:
     return BinnedTable(rows, attributes, {c: bins[c] + 1 for c in names}, encoder)
 
 
+def weighted(table: BinnedTable) -> BinnedTable:
+    """The distinct rows, each with its number: what every entropy is counted from."""
+    counted = table.rows.groupBy(*table.cards).agg(F.count(F.lit(1)).alias("_weight"))
+    return replace(table, rows=materialise(counted), weight="_weight")
+
+
 def subset_entropies(table: BinnedTable, subsets: Sequence[tuple[str, ...]]) -> DataFrame:
     """(subset, entropy) in nats.
 
@@ -215,7 +223,8 @@ def subset_entropies(table: BinnedTable, subsets: Sequence[tuple[str, ...]]) ->
     cells = F.array(
         *[F.struct(F.lit(",".join(s)).alias("subset"), table.key(s).alias("key")) for s in subsets]
     )
-    counts = table.rows.select(F.explode(cells).alias("c")).groupBy("c.subset", "c.key").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.col(table.weight) if table.weight else F.lit(1).cast("bigint")
+    counts = table.rows.select(F.explode(cells).alias("c"), weight.alias("w")).groupBy("c.subset", "c.key").agg(F.sum("w").alias("n"))
     total = F.sum("n")
     return counts.groupBy("subset").agg(
         (F.log(total) - F.sum(F.col("n") * F.log("n")) / total).alias("entropy")
@@ -251,34 +260,62 @@ class Network:
         return spark.createDataFrame(rows, "step int, child string, parents array<string>")
 
 
-def learn_network(table: BinnedTable, max_parents: int = 2) -> Network:
+def learn_network(table: BinnedTable, max_parents: int = 2, seen: list[int] | None = None) -> Network:
     """Greedy network: repeatedly add the (child, parents) of highest mutual information.
 
-    I(c; P) = H(c) + H(P) - H(c, P), so the entropies of all column sets of up to
-    ``max_parents + 1`` columns feed every step, and only one number per set
-    reaches the driver. The root and ties go by name.
+    I(c; P) = H(c) + H(P) - H(c, P). The entropies of single columns and pairs
+    are counted first, over distinct weighted rows. They bound what larger sets
+    can reach: I(c; P) is at most H(c), and at most I(c; p) plus what the other
+    parents add to p. A larger set is counted only while its bound could still
+    win its step, best bounds first; only one number per set reaches the driver.
+    The root and ties go by name. ``seen`` receives the numbers of sets counted.
     """
     names = sorted(table.cards)
     if not names:
         return Network()
-    width = min(max_parents + 1, len(names))
-    subsets = [s for k in range(1, width + 1) for s in combinations(names, k)]
-    ent = entropies(table, subsets)
+    table = weighted(table)
+    ent: dict[tuple[str, ...], float] = {(): 0.0}
+
+    def count(subsets: Iterable[tuple[str, ...]]) -> None:
+        fresh = sorted({tuple(sorted(s)) for s in subsets} - ent.keys())
+        if fresh:
+            found = entropies(table, fresh)
+            # the entropy of an empty table is no number
+            ent.update({s: found.get(",".join(s)) or 0.0 for s in fresh})
+            if seen is not None:
+                seen.append(len(fresh))
+
+    def h(*cols: str) -> float:
+        return ent[tuple(sorted(cols))]
 
-    def h(cols) -> float:
-        return ent.get(",".join(sorted(cols)), 0.0)
+    pairs = list(combinations(names, 2)) if max_parents >= 1 else []
+    count([(c,) for c in names] + pairs)
+    about = {(c, p): h(c) + h(p) - h(c, p) for pair in pairs for c, p in (pair, pair[::-1])}
+    more = {(q, p): h(p, q) - h(p) for pair in pairs for q, p in (pair, pair[::-1])}
+
+    def bound(c: str, parents: tuple[str, ...]) -> float:
+        return min(h(c), *(about[c, p] + sum(more[q, p] for q in parents if q != p) for p in parents))
 
     net = Network([(names[0], ())])
     placed = [names[0]]
     while len(placed) < len(names):
         size = min(max_parents, len(placed))
-        options = [
-            (-round(h([c]) + h(p) - h([c, *p]), 9), c, p)
-            for c in names
-            if c not in placed
-            for p in combinations(sorted(placed), size)
-        ]
-        _, child, parents = min(options)
+        rest = [c for c in names if c not in placed]
+        options = [(c, p) for c in rest for p in combinations(sorted(placed), size)]
+        if size <= 1:
+            best = min((-round(about[c, p[0]] if p else 0.0, 9), c, p) for c, p in options)
+        else:
+            known: dict[tuple[str, tuple[str, ...]], float] = {}
+            waiting = sorted(options, key=lambda o: (-bound(*o), o))
+            top = -math.inf
+            while waiting and bound(*waiting[0]) >= top - 1e-9:
+                some, waiting = waiting[:SETS_AT_ONCE], waiting[SETS_AT_ONCE:]
+                some = [o for o in some if bound(*o) >= top - 1e-9]
+                count([(c, *p) for c, p in some] + [p for _, p in some])
+                known |= {(c, p): round(h(c) + h(*p) - h(c, *p), 9) for c, p in some}
+                top = max(known.values())
+            best = min((-value, c, p) for (c, p), value in known.items())
+        _, child, parents = best
         net.edges.append((child, parents))
         placed.append(child)
     return net

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import write_down
-from counterpoise.operators.lookup import fits_broadcast, lookup_join
+from counterpoise.operators.lineage import materialise, write_down
+from counterpoise.operators.lookup import HOT_ROWS, fits_broadcast, lookup_join
 from counterpoise.operators.ranking import running_sum
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -50,6 +50,12 @@ def label_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ranked.select("attr", "value", (F.col("_rank") - 1).alias("idx"))
 
 
+def _value_counts(cells: DataFrame) -> DataFrame:
+    """(attr, value, _rows) of values that many rows hold, for all columns from one scan."""
+    counts = cells.filter(F.col("value").isNotNull()).groupBy("attr", "value").agg(F.count(F.lit(1)).alias("_rows"))
+    return materialise(counts.filter(F.col("_rows") > HOT_ROWS))
+
+
 @dataclass
 class LabelEncoder:
     """Codes of string (or forced) columns. ``sizes`` holds the number of classes."""
@@ -71,26 +77,36 @@ class LabelEncoder:
 
     def transform(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         """Replace values by codes; an unseen value gets code 0, the first class."""
-        for col in cols if cols is not None else self.cols:
+        cols = list(cols if cols is not None else self.cols)
+        names = df.columns
+        counts = None if self.small else _value_counts(melt(df, cols))
+        for col in cols:
             table = self._codes(col).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
-            names = df.columns
+            seen = None if counts is None else counts.filter(F.col("attr") == col).select(F.col("value").alias("_v"), "_rows")
             df = lookup_join(
-                df.withColumn("_v", F.col(col).cast("string")), table, ["_v"], "left", small=self.small or None
+                df.withColumn("_v", F.col(col).cast("string")), table, ["_v"], "left", small=self.small or None, rows_per_key=seen
             ).withColumn(col, F.coalesce("_i", F.lit(0)).cast("bigint"))
             df = df.select(*names)
         return df
 
     def decode(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         """Codes (possibly fractional or out of range) back to labels."""
-        for col in cols if cols is not None else self.cols:
+        cols = list(cols if cols is not None else self.cols)
+        names = df.columns
+        counts = None
+        if not self.small:
+            coded = df.select(*[nearest_code(F.col(c), self.sizes[c]).alias(c) for c in cols])
+            counts = _value_counts(melt(coded, cols))
+        for col in cols:
             table = self._codes(col).select(F.col("idx").alias("_i"), F.col("value").alias("_v"))
-            names = df.columns
+            seen = None if counts is None else counts.filter(F.col("attr") == col).select(F.col("value").cast("bigint").alias("_i"), "_rows")
             df = lookup_join(
                 df.withColumn("_i", nearest_code(F.col(col), self.sizes[col])),
                 table,
                 ["_i"],
                 "left",
                 small=self.small or None,
+                rows_per_key=seen,
             ).withColumn(col, F.col("_v"))
             df = df.select(*names)
         return df

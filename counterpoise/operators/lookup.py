@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.lineage import Written, row_bytes
+from counterpoise.operators.lineage import Written, materialise, row_bytes
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -61,8 +61,9 @@ def lookup_join(
     hot = rows_per_key.filter(F.col("_rows") > hot_rows).select(
         *on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts")
     )
-    # at most (rows of df) / hot_rows keys, so this side is small by construction
-    hot = F.broadcast(hot)
+    # at most (rows of df) / hot_rows keys, so this side is small by construction; both joins
+    # below use it, and a plan that counts df stays out of theirs
+    hot = F.broadcast(materialise(hot))
     row = F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")])
     spread = F.pmod(row, F.col("_salts")).cast("int")
     # a null key finds nothing, so its rows may go anywhere: they are spread over negative salts

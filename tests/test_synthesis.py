@@ -1,11 +1,16 @@
+import itertools
+import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from counterpoise.operators import describe as D
+from counterpoise.operators import descent
 from counterpoise.operators import generate as G
 from counterpoise.operators import smote as K
+from counterpoise.operators.encode import LabelEncoder, string_columns
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +223,82 @@ def test_nan_null_decimal_and_short_columns(spark):
     assert [counts["d", b] for b in range(10)] == [10] * 10 == [counts["s", b] for b in range(10)]
     made = G.synthesize(df, 200, "independent")
     assert made.filter("isnan(x)").count() == 0
+
+
+def _network_table(spark, columns, n=400, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        row = [rng.randrange(4)]
+        for j in range(1, columns):
+            row.append((row[rng.randrange(j) if j > 3 else 0] + rng.choice([0, 0, 0, 1])) % (2 + j % 3))
+        rows.append([str(x) for x in row])
+    return spark.createDataFrame(rows, ", ".join(f"c{j:02d} string" for j in range(columns)))
+
+
+def plain_network(table, max_parents=2):
+    """The greedy search over entropies of all column sets."""
+    names = sorted(table.cards)
+    ent = D.entropies(table, [s for k in range(1, min(max_parents + 1, len(names)) + 1) for s in itertools.combinations(names, k)])
+
+    def h(cols):
+        return ent.get(",".join(sorted(cols)), 0.0)
+
+    edges, placed = [(names[0], ())], [names[0]]
+    while len(placed) < len(names):
+        size = min(max_parents, len(placed))
+        options = [(-round(h([c]) + h(p) - h([c, *p]), 9), c, p) for c in names if c not in placed for p in itertools.combinations(sorted(placed), size)]
+        _, child, parents = min(options)
+        edges.append((child, parents))
+        placed.append(child)
+    return edges
+
+
+@pytest.mark.parametrize("columns, parents", [(1, 2), (2, 2), (8, 1), (8, 2), (6, 3)])
+def test_bounded_network_search_finds_the_same_network(spark, columns, parents):
+    df = _network_table(spark, columns)
+    table = D.bin_table(df, D.column_kinds(df))
+    assert D.learn_network(table, parents).edges == plain_network(table, parents)
+
+
+def test_few_column_sets_are_counted(spark):
+    df = _network_table(spark, 14, 300)
+    table = D.bin_table(df, D.column_kinds(df))
+    seen = []
+    net = D.learn_network(table, 2, seen)
+    assert len(net.edges) == 14 and seen[0] == 14 + 14 * 13 // 2
+    assert sum(seen[1:]) < math.comb(14, 3)
+
+
+def test_descent_finds_most_neighbours(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(3 * (i % 9), 1) for _ in range(16)]) for i in range(1_500)]
+    rows += [(2_000 + i, [1.0] * 16) for i in range(40)]  # more equal vectors than neighbours asked for
+    df = spark.createDataFrame(rows, "key bigint, vec array<double>")
+    found = descent.descend(df, 5).collect()
+    exact = {}
+    for r in K.nearest_neighbours(df, 5).collect():
+        exact.setdefault(r.key, set()).add(r.neighbour)
+    mine = {}
+    for r in found:
+        mine.setdefault(r.key, set()).add(r.neighbour)
+        assert r.key != r.neighbour
+    assert set(mine) == set(exact) and all(len(m) == 5 for m in mine.values())
+    own = [k for k in exact if k < 2_000]
+    assert sum(len(mine[k] & exact[k]) for k in own) >= 0.9 * 5 * len(own)
+    # of equal vectors any five are as near
+    assert all(r.dist < 1e-6 for r in found if r.key >= 2_000)
+    two = descent.descend(df.filter("key < 2"), 5).collect()
+    assert [(r.key, r.pos, r.neighbour) for r in sorted(two)] == [(0, 1, 1), (1, 1, 0)]
+    with pytest.raises(ValueError):
+        descent.descend(df.limit(1), 5)
+
+
+def test_smote_by_descent(spark):
+    rows = [(i, float(i % 20), float(i % 7), "a" if i < 60 else "b") for i in range(260)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, t string")
+    out = K.smote(df, "t", 100, key="id", search="descent")
+    made = out.filter("is_synthetic").collect()
+    assert len(made) == 100 and all(0 <= r.x <= 19 and 0 <= r.y <= 6 and r.t == "a" for r in made)
+    with pytest.raises(ValueError):
+        K.smote(df, "t", 1, key="id", search="other")
