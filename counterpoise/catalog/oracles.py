@@ -318,6 +318,14 @@ GROUP BY 1"""
 EVENT_SCORES = "SELECT event_type, user_id, CASE WHEN value < 0.05 THEN 'nan'::DOUBLE ELSE value END AS x FROM events"
 _FOLDS = bits("'fold'", "doc_id")
 
+SHIPMENTS = """items AS (
+  SELECT l_suppkey % 4 AS v, l_linenumber % 3 AS part, (l_linestatus = 'O')::INT::DOUBLE AS y,
+         l_quantity::DOUBLE / 50 AS x1, l_discount::DOUBLE / 0.1::DOUBLE AS x2, l_tax::DOUBLE / 0.1::DOUBLE AS x3
+  FROM lineitem
+), sets AS (
+  SELECT v::BIGINT AS v, f::INT AS f, y, x1, x2, x3 FROM items, range(-1, 3) r(f) WHERE part <> f
+)"""
+
 ORACLES = {
     "class_profile": f"""
 SELECT 'documents' AS name, CASE WHEN label THEN 'true' ELSE 'false' END AS label, n FROM ({DOC_COUNTS})
@@ -453,4 +461,56 @@ SELECT event_type, user_id,
        CASE WHEN bool_or(isnan(x)) THEN 'nan'::DOUBLE ELSE round(stddev_pop(x) FILTER (NOT isnan(x)), 6) END AS roc_std
 FROM ({EVENT_SCORES}) GROUP BY 1, 2""",
     "variant_paths": "SELECT p_partkey, p_type AS method, p_size AS pct FROM part",
+    "variant_folds": f"""
+WITH s AS (
+  SELECT lang = 'en' AS y, row_number() OVER (ORDER BY {bits("'split'", 'doc_id')}, doc_id) <= ceil((SELECT count(*) FROM documents) * 0.2::DOUBLE) AS is_test
+  FROM documents
+), m AS (
+  SELECT max(n) AS n FROM (SELECT count(*) AS n FROM s WHERE NOT is_test GROUP BY y)
+), v AS (
+  SELECT method, pct FROM (VALUES ('independent'), ('correlated'), ('smote')) t(method), {PROPORTIONS}
+)
+SELECT method, pct::INT AS pct, f::INT AS part, 2 * ((n - f + 4) // 5) AS n_rows, (n - f + 4) // 5 AS n_pos FROM v, m, range(5) r(f)
+UNION ALL SELECT method, pct::INT, -1, (SELECT count(*) FROM s WHERE is_test), (SELECT count(*) FROM s WHERE is_test AND y) FROM v""",
+    "logistic_sums": f"""
+WITH {SHIPMENTS}, w AS (
+  SELECT v, f, y, [x1, x2, x3, 1.0] AS z, 1 / (1 + exp(-s)) AS p, s, CASE WHEN y > 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS c
+  FROM (SELECT *, 0.5 * x1 - 0.25 * x2 + 0.1 * x3 + 0.2 AS s FROM sets)
+), t AS (
+  SELECT v, f, [c * ln(1 + exp(CASE WHEN y > 0 THEN -s ELSE s END))] || list_transform(z, lambda a: c * (p - y) * a)
+    || flatten(list_transform([1, 2, 3, 4], lambda i: list_transform(range(i, 5), lambda j: c * p * (1 - p) * z[i] * z[j]))) AS sums
+  FROM w
+), u AS (
+  SELECT v, f, unnest(sums) AS value, generate_subscripts(sums, 1) - 1 AS i FROM t
+)
+SELECT v, f, i::INT AS i, round(sum(value), 4) AS value FROM u GROUP BY ALL""",
+    "boosting_roots": f"""
+WITH {SHIPMENTS}, m AS (
+  SELECT v, f, avg(y) AS p FROM sets GROUP BY ALL
+), cells AS (
+  SELECT v, f, y, unnest([x1, x2, x3]) AS x, unnest([0, 1, 2]) AS feature FROM sets
+), g AS (
+  SELECT v, f, feature, x, count(*) AS n, sum(p - y) AS g, sum(p * (1 - p)) AS h FROM cells JOIN m USING (v, f) GROUP BY ALL
+), c AS (
+  SELECT *, lead(x) OVER w AS above, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(h) OVER w AS lh,
+         sum(n) OVER a - sum(n) OVER w AS rn, sum(g) OVER a - sum(g) OVER w AS rg, sum(h) OVER a - sum(h) OVER w AS rh
+  FROM g WINDOW w AS (PARTITION BY v, f, feature ORDER BY x ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY v, f, feature)
+), e AS (
+  SELECT v, f, feature, (x + above) / 2 AS edge, lg * lg / lh + rg * rg / rh - (lg + rg) * (lg + rg) / (lh + rh) AS gain
+  FROM c WHERE above IS NOT NULL AND ln >= 20 AND rn >= 20
+)
+SELECT v, f, feature::INT AS feature, round(edge, 4) AS edge, round(gain, 4) AS gain FROM e
+QUALIFY row_number() OVER (PARTITION BY v, f ORDER BY gain DESC, feature, edge) = 1""",
+    "kmeans_invariants": f"""
+WITH {DOC_LINES}
+SELECT file, count(*) AS num_rows, greatest(1, floor(sqrt(count(*))))::INT AS num_clusters, true AS within, 0::BIGINT AS strays FROM lines GROUP BY file""",
+    "survivor_files": neardup(
+        DOC_LINES,
+        [0.99],
+        """SELECT 'd' || l.file[1] || '/' || l.file || '_deduplicated.txt' AS file, count(*) FILTER (g.group_id = l.line_no) AS n_lines,
+  md5(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (g.group_id = l.line_no)) AS digest
+FROM lines l LEFT JOIN groups g ON g.file = l.file AND g.group_id = l.line_no
+GROUP BY l.file HAVING count(*) > count(*) FILTER (g.group_id = l.line_no)""",
+    ),
+    "descent_recall": "SELECT count(*) AS n_rows, true AS nine_in_ten FROM embeddings WHERE embedding IS NOT NULL",
 }

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterpoise.operators import boosting, descent, logistic
 from counterpoise.operators import describe as D
 from counterpoise.operators import encode as E
 from counterpoise.operators import evaluate as V
@@ -17,11 +19,12 @@ from counterpoise.operators import ranking as R
 from counterpoise.operators import sampling as S
 from counterpoise.operators import smote as K
 from counterpoise.operators.lineage import ensure_checkpoint_dir, fan_out, materialise
+from counterpoise.plans import evaluation
 from counterpoise.plans.evaluation import evaluate_variants, tabulate
 from counterpoise.plans.rebalance import METHODS, PROPORTIONS, rebalance_sweep
 from counterpoise.plans.sweep import threshold_sweep
 from counterpoise.sources.tables import read_split, read_variants, variant_parts, write_split, write_variants
-from counterpoise.sources.text import corpus_lines, text_column_lines, write_survivors
+from counterpoise.sources.text import corpus_lines, read_lines, text_column_lines, write_survivor_files, write_survivors
 
 
 
@@ -117,6 +120,18 @@ def survivors_stored(spark, folder):
     return spark.read.text(out).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def survivor_files(spark, folder):
+    """Deduplicated files under their own names in a mirrored tree, read back as text."""
+    out = scratch(spark, "files")
+    lines = N.NearDuplicates(_by_document(spark, folder), [0.99]).lines(0.99)
+    name = F.concat(F.lit("d"), F.substring("file", 1, 1), F.lit("/"), "file", F.lit(".txt"))
+    write_survivor_files(lines.withColumn("file", name), out)
+    # Spark reads a folder of files; the place of a file is its name
+    back = read_lines(spark, out)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.md5(text).alias("digest"))
+
+
 def null_safe_split(spark, folder):
     joined = documents(spark, folder).select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left")
     rare, rest = S.split_by_class(joined.select("doc_id", "toxic"), "toxic", 1)
@@ -272,6 +287,15 @@ def smote_neighbors(spark, folder):
     return near.withColumn("dist", F.round("dist", 6))
 
 
+def descent_recall(spark, folder):
+    """Neighbours of all embeddings by descent against the exact search: rows, and whether nine in ten are found."""
+    rows = table(spark, folder, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    exact = K.nearest_neighbours(rows, 5).select("key", "neighbour", F.lit(1).alias("hit"))
+    found = descent.descend(rows, 5).join(exact, ["key", "neighbour"], "left")
+    counted = found.agg(F.count_distinct("key").alias("n_rows"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return counted.select("n_rows", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
 def smote_rows(spark, folder):
     """Interpolated vectors of the rarest label, as many as the table has rows."""
     rows = _vectors(spark, folder)
@@ -377,7 +401,20 @@ def neardup_corpus_report(spark, folder):
 
 
 def neardup_kmeans(spark, folder):
-    return N.NearDuplicates(_benchmark(spark, folder), 0.95, blocking="kmeans").report().drop("compute_time")
+    return N.NearDuplicates(_by_document(spark, folder), 0.95, blocking="kmeans").report().drop("compute_time")
+
+
+def kmeans_invariants(spark, folder):
+    """Per document: lines in its clusters, clusters asked for, whether used ones are as few, pairs that exact search does not find."""
+    lines = _by_document(spark, folder)
+    near = N.NearDuplicates(lines, 0.95, blocking="kmeans")
+    found = near.pairs().select("file", "src", "dst")
+    strays = found.join(N.NearDuplicates(lines, 0.95).pairs(), ["file", "src", "dst"], "left_anti")
+    strays = strays.groupBy("file").agg(F.count(F.lit(1)).alias("strays"))
+    used = near.cells().groupBy("file").agg(F.sum("weight").alias("num_rows"), F.count_distinct("cell").alias("used"))
+    used = used.withColumn("num_clusters", N.cluster_count(F.col("num_rows")))
+    out = used.join(strays, "file", "left")
+    return out.select("file", "num_rows", "num_clusters", (F.col("used") <= F.col("num_clusters")).alias("within"), F.coalesce("strays", F.lit(0).cast("bigint")).alias("strays"))
 
 
 def dedup_lines(spark, folder):
@@ -433,18 +470,60 @@ def variant_paths(spark, folder):
 def train_and_score(spark, folder):
     rows = S.train_test_split(labelled(spark, folder), "doc_id")
     train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    scores = V.train_and_score(train, test, "toxic", "documents", key="doc_id", parallelism=8)
+    scores = V.train_and_score(train, test, "toxic", "documents", key="doc_id")
     return spark.createDataFrame(scores, V.SCORES)
 
 
-def score_variants(spark, folder):
-    """Every method and proportion of is_en, scored by all three models."""
+def _shipments(spark, folder) -> tuple[DataFrame, dict]:
+    """lineitem as training sets: four tables by supplier, three folds by line, open lines the positive class."""
+    items = table(spark, folder, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(4)).cast("bigint").alias("v"),
+        F.xxhash64("l_orderkey", "l_linenumber").alias("row"),
+        F.pmod("l_linenumber", F.lit(3)).cast("int").alias("part"),
+        (F.col("l_linestatus") == "O").cast("double").alias("label"),
+        F.array(*[F.col(c).cast("double") / s for c, s in (("l_quantity", 50), ("l_discount", 0.1), ("l_tax", 0.1))]).alias("x"),
+    )
+    items = materialise(items)
+    counted = items.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("int").alias("positive")).collect()
+    sizes = {}
+    for r in counted:
+        for f in {-1, 0, 1, 2} - {r["part"]}:
+            n, positive = sizes.get((r["v"], f), (0, 0))
+            sizes[r["v"], f] = (n + r["n"], positive + r["positive"])
+    return items, sizes
+
+
+def logistic_sums(spark, folder):
+    """Loss, gradient and Hessian of every training set of lineitem at given coefficients."""
+    items, sizes = _shipments(spark, folder)
+    found = logistic.newton_sums(items, dict.fromkeys(sizes, np.array([0.5, -0.25, 0.1, 0.2])), dict.fromkeys(sizes, (1.0, 2.0)))
+    return found.select("v", "f", F.col("i").cast("int").alias("i"), F.round("value", 4).alias("value"))
+
+
+def boosting_roots(spark, folder):
+    """The first split of the first tree of every training set of lineitem."""
+    items, sizes = _shipments(spark, folder)
+    found = boosting.root_splits(items, sizes, 3)
+    out = spark.createDataFrame(found, "v bigint, f int, feature int, edge double, gain double")
+    return out.withColumns({c: F.round(c, 4) for c in ("edge", "gain")})
+
+
+def _variants(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Every method and proportion of is_en, without the key, and the untouched test rows."""
     rows = S.train_test_split(documents(spark, folder).drop("lang"), "doc_id")
     train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     variants = [rebalance_sweep(train, "is_en", PROPORTIONS, m, "doc_id", categorical_cols=["source"]) for m in METHODS]
-    variants = materialise(reduce(lambda a, b: a.unionByName(b), variants))  # read once for each variant
-    scores = evaluate_variants(variants.drop("doc_id"), test.drop("doc_id"), "is_en", "documents", parallelism=8)
-    return tabulate(scores)
+    return materialise(reduce(lambda a, b: a.unionByName(b), variants)).drop("doc_id"), test.drop("doc_id")
+
+
+def score_variants(spark, folder):
+    """Every method and proportion of is_en, scored by all three models."""
+    return tabulate(evaluate_variants(*_variants(spark, folder), "is_en", "documents"))
+
+
+def variant_folds(spark, folder):
+    """Rows and positive rows that each fold of each variant scores, and the test rows."""
+    return evaluation.variant_folds(*_variants(spark, folder), "is_en")
 
 
 QUERIES = {
@@ -459,6 +538,7 @@ QUERIES = {
         split_stored,
         variants_stored,
         survivors_stored,
+        survivor_files,
         null_safe_split,
         complete_cases,
         missing_marker,
@@ -478,6 +558,7 @@ QUERIES = {
         correlated_sample,
         correlated_learned,
         smote_neighbors,
+        descent_recall,
         smote_rows,
         smote_table,
         rebalance_independent,
@@ -493,6 +574,7 @@ QUERIES = {
         neardup_totals,
         neardup_corpus_report,
         neardup_kmeans,
+        kmeans_invariants,
         dedup_lines,
         neardup_sweep,
         stratified_folds,
@@ -503,5 +585,8 @@ QUERIES = {
         variant_paths,
         train_and_score,
         score_variants,
+        variant_folds,
+        logistic_sums,
+        boosting_roots,
     )
 }
