@@ -307,14 +307,14 @@ def learn_network(table: BinnedTable, max_parents: int = 2, seen: list[int] | No
         else:
             known: dict[tuple[str, tuple[str, ...]], float] = {}
             waiting = sorted(options, key=lambda o: (-bound(*o), o))
-            top = -math.inf
-            while waiting and bound(*waiting[0]) >= top - 1e-9:
+            best = (math.inf, "", ())
+            while waiting:
                 some, waiting = waiting[:SETS_AT_ONCE], waiting[SETS_AT_ONCE:]
-                some = [o for o in some if bound(*o) >= top - 1e-9]
                 count([(c, *p) for c, p in some] + [p for _, p in some])
                 known |= {(c, p): round(h(c) + h(*p) - h(c, *p), 9) for c, p in some}
-                top = max(known.values())
-            best = min((-value, c, p) for (c, p), value in known.items())
+                best = min((-value, c, p) for (c, p), value in known.items())
+                # the others may win by their bound, or tie by their name
+                waiting = [o for o in waiting if bound(*o) > 1e-9 - best[0] or (bound(*o) >= -best[0] - 1e-9 and o < best[1:])]
         _, child, parents = best
         net.edges.append((child, parents))
         placed.append(child)
