@@ -306,3 +306,24 @@ def test_smote_by_descent(spark):
     assert len(made) == 100 and all(0 <= r.x <= 19 and 0 <= r.y <= 6 and r.t == "a" for r in made)
     with pytest.raises(ValueError):
         K.smote(df, "t", 1, key="id", search="other")
+
+
+def test_descent_notices_that_it_finds_too_few(spark):
+    """Vectors without structure, of which lists of the first width find less than nine neighbours in ten."""
+    rnd = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(3_000, 48)))]
+    rows += [(5_000 + i, rows[i][1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "key bigint, vec array<double>")
+    exact = {(r.key, r.neighbour) for r in K.nearest_neighbours(df, 5).collect()}
+    found = [(r.key, r.neighbour) for r in descent.descend(df, 5, reverse=4, rounds=3).collect()]
+    assert len(found) == len(set(found)) == len(exact) == 5 * 3_200
+    assert len(exact & set(found)) >= 0.9 * len(exact)
+
+
+def test_neighbours_by_blocks_of_queries(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(0, 4, size=(700, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, vec array<double>")
+    whole = sorted(K.nearest_neighbours(df, 4).collect())
+    monkeypatch.setattr(K, "QUERY_ROWS", 9)
+    assert sorted(K.nearest_neighbours(df, 4, tile_rows=50).collect()) == whole
