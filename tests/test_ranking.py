@@ -65,6 +65,13 @@ def test_row_keys_number_copies(spark):
     assert again == {r["row_key"] for r in keyed.collect()}
 
 
+def test_row_keys_spread_rows_that_repeat(spark):
+    """Few different rows, each repeated very often, are not numbered in one task."""
+    keyed = ranking.with_row_key(spark.range(400_000).select((F.col("id") % 3).alias("x")))
+    sizes = [r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 200_000
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_lookup_equals_plain_join(spark, how):
     df = spark.range(3_000).select("id", F.when(F.col("id") < 2_000, 1).otherwise(F.col("id") % 40).alias("k"))
