@@ -77,6 +77,17 @@ def test_forest_finds_the_odd_ones(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
+def test_threshold_comes_from_all_labels(spark):
+    """The share of good rows that goes is kept over all labelled rows, not over those the trees were drawn from."""
+    docs = _docs(spark)
+    labels = docs.selectExpr("doc_id", "int(doc_id < 1000) AS quality")
+    for max_false in (0.005, 0.05, 0.3):
+        model = isolation.fit(docs, labels, sample_rows=60, max_false=max_false)
+        rows = isolation.judge(docs, model).filter("doc_id < 1000").collect()
+        scores = sorted((r.score for r in rows), reverse=True)
+        assert model.threshold == scores[int(max_false * 400)]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "a b c d e f g h i j")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
