@@ -1,6 +1,7 @@
 """Histogram gradient boosting of many training sets at a time, trees grown best leaf first.
 
-One table holds the rows of all sets: (v, row, draw, part, label, x). Set (v, f) is
+One table holds the rows of all sets: (v, row, draw, part, label, x, n), a line
+standing for n equal rows (without that column, for one). Set (v, f) is
 fitted to the rows of v whose part is neither f nor -1, and scores those whose
 part is f; f = -1 is the fit on all folds, which scores the test rows (part -1).
 
@@ -9,8 +10,11 @@ best split gains most is split next, up to 31 leaves. Gradients and hessians
 enter sums as whole numbers of 2^-30, so that a sum, and with it every split, is
 the same whatever the order and place of adding.
 
-Sets of a bounded number of rows are fitted inside one task each. For larger
-ones every step is a job for all of them together: rows are routed through the
+Sets of a bounded number of rows are fitted inside one task each. Of larger ones
+the bins are shared by the sets of a table, and rows of equal bins, label and part
+become one line that counts them. If the lines of a set are of that bounded number,
+they are fitted in a task as well. For the others
+every step is a job for all of them together: rows are routed through the
 trees as far as they are known, gradient sums are combined by (set, node,
 feature, bin), and the best split of each node is chosen where its sums meet.
 Since best-first order is known only afterwards, both children of every leaf that
@@ -23,6 +27,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators.lineage import materialise
+from counterpoise.operators.lookup import lookup_join
+from counterpoise.operators.ranking import running_sum
 
 BINS = 255
 LEAVES = 31
@@ -41,7 +48,8 @@ MIN_HESSIAN = 1e-3
 MIN_GAIN = 1e-9
 UNIT = float(1 << 30)
 LOCAL_ROWS = 100_000
-SCORED = "v bigint, f int, row bigint, label double, score double"
+LOCAL_LINES = 1_000_000  # lines of a table that are held in a task, some 100 bytes each
+SCORED = "v bigint, f int, row bigint, label double, score double, n bigint"
 
 
 class Split(NamedTuple):
@@ -80,19 +88,26 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows with ``n``, how many equal rows each stands for."""
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("bigint"))
+
+
 def slopes(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and hessian of the logistic loss, in whole units."""
     p = 1 / (1 + np.exp(-raw))
     return np.rint((p - label) * UNIT), np.rint(p * (1 - p) * UNIT)
 
 
-def histograms(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
-    """(3, features, bins): sums of gradient and hessian, and rows."""
-    n, width = bins.shape
-    cells = (bins + (np.arange(width) * (BINS + 1))[None, :]).ravel()
-    size = width * (BINS + 1)
-    sums = [np.bincount(cells, np.repeat(w, width), size) for w in (gradient, hessian)]
-    return np.stack([*sums, np.bincount(cells, minlength=size).astype(float)]).reshape(3, width, BINS + 1)
+def histograms(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """(3, features, bins): sums of gradient and hessian, and rows; ``count`` is how many rows each line stands for."""
+    sums = np.zeros((3, bins.shape[1], BINS + 1))
+    weights = (gradient, hessian, None) if count is None else (gradient * count, hessian * count, count)
+    for j in range(bins.shape[1]):
+        cells = bins[:, j].astype(np.intp)
+        for k, w in enumerate(weights):
+            sums[k, j] = np.bincount(cells, w, BINS + 1)
+    return sums
 
 
 def best_split(sums: np.ndarray, min_rows: int = MIN_ROWS) -> Split:
@@ -194,23 +209,41 @@ def baseline(n: int, positive: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit_rows(bins: np.ndarray, label: np.ndarray, others: np.ndarray, rounds: int = ROUNDS, leaves: int = LEAVES) -> np.ndarray:
-    """Raw scores of ``others`` after fitting to the rows, all in memory."""
-    start = baseline(len(label), label.sum())
+def fit_rows(
+    bins: np.ndarray, label: np.ndarray, others: np.ndarray, rounds: int = ROUNDS, leaves: int = LEAVES, count: np.ndarray | None = None
+) -> np.ndarray:
+    """Raw scores of ``others`` after fitting to the rows, all in memory; ``count`` is how many rows each line stands for."""
+    count = np.ones(len(label)) if count is None else count.astype(float)
+    start = baseline(int(count.sum()), float((label * count).sum()))
     raw, out = np.full(len(label), start), np.full(len(others), start)
     for _ in range(rounds):
         gradient, hessian = slopes(raw, label)
-        tree, rows = Tree(leaves), {0: np.arange(len(label))}
+        gradient, hessian = gradient * count, hessian * count
+
+        def summed(at: np.ndarray) -> np.ndarray:
+            sums = histograms(bins[at], gradient[at], hessian[at])
+            for j in range(bins.shape[1]):
+                sums[2, j] = np.bincount(bins[at, j].astype(np.intp), count[at], BINS + 1)
+            return sums
+
+        tree, rows, held = Tree(leaves), {0: np.arange(len(label))}, {}
         while nodes := tree.wanted(ahead=False):
+            if nodes == [0]:
+                held[0] = summed(rows[0])
+            else:
+                parent = next(p for p, pair in tree.children.items() if nodes[0] in pair)
+                down = bins[rows[parent], tree.splits[parent].feature] > tree.splits[parent].bin
+                whole, pair = rows.pop(parent), tree.children[parent]
+                rows |= {c: whole[down == bool(side)] for side, c in enumerate(pair)}
+                # sums are whole numbers, so those of the larger side are what the smaller leaves
+                few, many = sorted(pair, key=lambda c: len(rows[c]))
+                held[few] = summed(rows[few])
+                held[many] = held.pop(parent) - held[few]
             for node in nodes:
-                if node not in rows:
-                    parent = next(p for p, pair in tree.children.items() if node in pair)
-                    down = bins[rows[parent], tree.splits[parent].feature] > tree.splits[parent].bin
-                    rows |= {c: rows[parent][down == bool(side)] for side, c in enumerate(tree.children[parent])}
-                at = rows[node]
-                tree.splits[node] = best_split(histograms(bins[at], gradient[at], hessian[at]))
+                tree.splits[node] = best_split(held[node])
         table = tree.table()
-        raw += table[route(table, bins), 4]
+        for node, at in rows.items():
+            raw[at] += table[node, 4]
         out += table[route(table, others), 4]
     return out
 
@@ -230,71 +263,110 @@ def local_scores(rows: DataFrame, folds: DataFrame, rounds: int = ROUNDS, leaves
         part, label, x = table.column("part").to_numpy(), table.column("label").to_numpy(), matrix(table.column("x"))
         inside = (part >= 0) & (part != f)
         out = part == f
-        edges = [bin_edges(x[inside, j]) for j in range(x.shape[1])]
+        many = table.column("n").to_numpy()
+        edges = [bin_edges(np.repeat(x[inside, j], many[inside])) for j in range(x.shape[1])]
         bins = binned(x, edges)
-        score = fit_rows(bins[inside], label[inside], bins[out], rounds, leaves) if inside.any() else np.zeros(out.sum())
-        n = int(out.sum())
-        columns = [pa.array(np.full(n, v, np.int64)), pa.array(np.full(n, f, np.int32))]
-        columns += [pa.array(table.column("row").to_numpy()[out]), pa.array(label[out]), pa.array(score)]
-        return pa.Table.from_arrays(columns, ["v", "f", "row", "label", "score"])
+        return _scored(table, bins, inside, out, rounds, leaves)
+
+    return expand(counted(rows), folds).groupBy("v", "f").applyInArrow(run, SCORED)
 
-    return expand(rows, folds).groupBy("v", "f").applyInArrow(run, SCORED)
+
+def _scored(table: pa.Table, bins: np.ndarray, inside: np.ndarray, out: np.ndarray, rounds: int, leaves: int) -> pa.Table:
+    """The rows ``out`` of a set's table, scored by the fit to its rows ``inside``."""
+    label, many = table.column("label").to_numpy(), table.column("n").to_numpy()
+    score = np.zeros(out.sum())
+    if inside.any():
+        # rows of equal bins and label are one line of the fit, those of equal bins one score
+        keys, of = np.unique(np.column_stack([bins[inside], label[inside] > 0]), axis=0, return_inverse=True)
+        asked, at = np.unique(bins[out], axis=0, return_inverse=True)
+        sums = np.bincount(of.ravel(), many[inside], len(keys))
+        score = fit_rows(np.ascontiguousarray(keys[:, :-1]), keys[:, -1].astype(float), asked, rounds, leaves, sums)[at.ravel()]
+    columns = [table.column(c).combine_chunks().filter(pa.array(out)) for c in ("v", "f", "row", "label", "n")]
+    return pa.Table.from_arrays([*columns[:4], pa.array(score), columns[4]], ["v", "f", "row", "label", "score", "n"])
 
 
 # --- sets larger than a task ------------------------------------------------------
 
 
 def shared_edges(rows: DataFrame, width: int, bins: int = BINS) -> dict[int, list[np.ndarray]]:
-    """Bin edges of every v, from its training rows; quantiles are approximate where values are many."""
-    cells = rows.filter("part >= 0").select("v", F.posexplode("x").alias("j", "value"))
-    seen = cells.groupBy("v", "j").agg(
-        F.approx_count_distinct("value").alias("about"),
-        F.percentile_approx("value", [k / bins for k in range(1, bins)], 10_000).alias("cuts"),
-        F.min("value").alias("low"),
-    )
-    seen = materialise(seen)
-    few = cells.join(F.broadcast(seen.filter(F.col("about") <= 2 * bins).select("v", "j")), ["v", "j"]).distinct()
-    few = few.groupBy("v", "j").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("value")).alias("values"))
-    exact = {(r["v"], r["j"]): np.array(r["values"]) for r in few.filter(F.col("n") <= bins).collect()}
-    out: dict[int, list[np.ndarray]] = {}
-    for r in seen.collect():
-        cut = out.setdefault(r["v"], [np.zeros(0)] * width)
-        values = exact.get((r["v"], r["j"]))
-        cut[r["j"]] = (values[:-1] + values[1:]) / 2 if values is not None else np.unique(r["cuts"])
+    """Bin edges of every v, from its training rows: between neighbouring values, or the quantiles if they are many."""
+    cells = counted(rows).filter("part >= 0").select("v", F.posexplode("x").alias("j", "value"), "n")
+    values = materialise(cells.groupBy("v", "j", "value").agg(F.sum("n").alias("n")))
+    sizes = materialise(values.groupBy("v", "j").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total")))
+    upto = lookup_join(running_sum(values, ["v", "j"], ["value"], {"upto": "n"}), sizes, ["v", "j"])
+    # the value at a quantile is the first whose rows, with those before it, reach it
+    step = lambda x: F.expr(f"({x}) * {bins} div total")
+    wanted = (F.col("distinct") <= bins) | ((step("upto") > step("upto - n")) & (F.col("upto") < F.col("total")))
+    found = upto.filter(wanted).select("v", "j", "value", "distinct").orderBy("v", "j", "value").collect()
+    seen: dict[tuple[int, int], list[float]] = {}
+    few = {}
+    for r in found:
+        seen.setdefault((r["v"], r["j"]), []).append(r["value"])
+        few[r["v"], r["j"]] = r["distinct"] <= bins
+    out: dict[int, list[np.ndarray]] = {r["v"]: [np.zeros(0)] * width for r in sizes.select("v").distinct().collect()}
+    for (v, j), cuts in seen.items():
+        at = np.array(cuts)
+        out[v][j] = (at[:-1] + at[1:]) / 2 if few[v, j] else at
     return out
 
 
-def _state(rows: DataFrame, edges: dict[int, list[np.ndarray]], starts: dict[int, list[float]]) -> DataFrame:
-    """(v, row, part, label, bins, raw): raw scores of a row in all sets of its v, f = -1 first."""
-    sent = rows.sparkSession.sparkContext.broadcast((edges, starts))
+def binned_rows(rows: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
+    """(v, row, part, label, n, bins)."""
+    sent = rows.sparkSession.sparkContext.broadcast(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, starts = sent.value
         for batch in batches:
             v, x = batch.column("v").to_numpy(), matrix(batch.column("x"))
             bins = np.zeros(x.shape, np.uint8)
             for one in np.unique(v):
-                bins[v == one] = binned(x[v == one], edges[one])
-            raw = pa.array([starts[one] for one in v.tolist()], pa.list_(pa.float64()))
-            arrays = [*(batch.column(c) for c in ("v", "row", "part", "label")), pa.array([b.tobytes() for b in bins], pa.binary()), raw]
-            yield pa.RecordBatch.from_arrays(arrays, ["v", "row", "part", "label", "bins", "raw"])
+                bins[v == one] = binned(x[v == one], sent.value[one])
+            arrays = [*(batch.column(c) for c in ("v", "row", "part", "label", "n")), pa.array([b.tobytes() for b in bins], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["v", "row", "part", "label", "n", "bins"])
+
+    coded = counted(rows).select("v", "row", "part", "label", "n", "x")
+    return coded.mapInArrow(run, "v bigint, row bigint, part int, label double, n bigint, bins binary")
+
 
-    return materialise(rows.select("v", "row", "part", "label", "x").mapInArrow(run, _STATE))
+def binned_lines(coded: DataFrame) -> DataFrame:
+    """(v, row, part, label, bins, n): rows of equal bins, label and part are one line; ``row`` is one of theirs."""
+    lines = coded.groupBy("v", "part", "label", "bins").agg(F.min("row").alias("row"), F.sum("n").alias("n"))
+    return materialise(lines.select("v", "row", "part", "label", "bins", "n"))
 
 
-_STATE = "v bigint, row bigint, part int, label double, bins binary, raw array<double>"
+def line_scores(lines: DataFrame, folds: DataFrame, rounds: int = ROUNDS, leaves: int = LEAVES) -> DataFrame:
+    """Scores of sets whose binned lines are few enough for a task each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        f, part = table.column("f")[0].as_py(), table.column("part").to_numpy()
+        packed = b"".join(table.column("bins").to_pylist())
+        bins = np.frombuffer(packed, np.uint8).reshape(len(part), -1)
+        return _scored(table, bins, (part >= 0) & (part != f), part == f, rounds, leaves)
+
+    # a fixed number of partitions: the work per byte is far above what size-based merging expects
+    parts = 2 * (folds.agg(F.sum(F.col("folds") + 1)).first()[0] or 1)
+    return expand(lines, folds).repartition(parts, "v", "f").groupBy("v", "f").applyInArrow(run, SCORED)
+
+
+def _state(lines: DataFrame, starts: dict[int, list[float]]) -> DataFrame:
+    """(v, row, part, label, bins, n, raw): raw scores of a line in all sets of its v, f = -1 first."""
+    listed = [(v, values) for v, values in starts.items()]
+    listed = lines.sparkSession.createDataFrame(listed, "v bigint, raw array<double>")  # a row for each table
+    return materialise(lines.join(F.broadcast(listed), "v").select("v", "row", "part", "label", "bins", "n", "raw"))
+
+
+_STATE = "v bigint, row bigint, part int, label double, bins binary, n bigint, raw array<double>"
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, dict]]:
     """Rows of a batch by v: (v, their places, columns)."""
     v = batch.column("v").to_numpy()
-    part, label = batch.column("part").to_numpy(), batch.column("label").to_numpy()
+    part, label, n = (batch.column(c).to_numpy() for c in ("part", "label", "n"))
     packed = batch.column("bins").to_pylist()
     raw = batch.column("raw").to_pylist()
     for one in np.unique(v):
         at = np.flatnonzero(v == one)
         bins = np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), -1)
-        yield int(one), at, {"part": part[at], "label": label[at], "bins": bins, "raw": np.array([raw[i] for i in at])}
+        yield int(one), at, {"part": part[at], "label": label[at], "n": n[at], "bins": bins, "raw": np.array([raw[i] for i in at])}
 
 
 def _node_splits(state: DataFrame, trees: dict[tuple[int, int], Tree], wanted: dict[tuple[int, int], list[int]]) -> None:
@@ -310,13 +382,13 @@ def _node_splits(state: DataFrame, trees: dict[tuple[int, int], Tree], wanted: d
                     inside = (rows["part"] >= 0) & (rows["part"] != f)
                     if of != v or not inside.any():
                         continue
-                    bins = rows["bins"][inside]
+                    bins, many = rows["bins"][inside], rows["n"][inside]
                     gradient, hessian = slopes(rows["raw"][inside, f + 1], rows["label"][inside])
                     leaf = route(table, bins)
                     for node in nodes:
                         at = leaf == node
                         if at.any():
-                            found = histograms(bins[at], gradient[at], hessian[at])
+                            found = histograms(bins[at], gradient[at], hessian[at], many[at])
                             held[v, f, node] = held[v, f, node] + found if (v, f, node) in held else found
         for (v, f, node), found in held.items():
             feature, cut = np.nonzero(found[2])
@@ -356,8 +428,8 @@ def _grown(state: DataFrame, trees: dict[tuple[int, int], Tree]) -> DataFrame:
                     rows["raw"][:, f + 1] += table[route(table, rows["bins"]), 4]
                 for i, line in zip(at, rows["raw"]):
                     raw[i] = line
-            columns = [*(batch.column(c) for c in ("v", "row", "part", "label", "bins")), pa.array(raw, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["v", "row", "part", "label", "bins", "raw"])
+            columns = [*(batch.column(c) for c in ("v", "row", "part", "label", "bins", "n")), pa.array(raw, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "row", "part", "label", "bins", "n", "raw"])
 
     return materialise(state.mapInArrow(run, _STATE))
 
@@ -367,7 +439,7 @@ def root_splits(rows: DataFrame, sizes: dict[tuple[int, int], tuple[int, int]],
     edges = shared_edges(rows, width)
     starts = _starts(sizes)
     trees = {s: Tree() for s in sizes}
-    _node_splits(_state(rows, edges, starts), trees, {s: [0] for s in sizes})
+    _node_splits(_state(binned_lines(binned_rows(rows, edges)), starts), trees, {s: [0] for s in sizes})
     best = {s: tree.splits[0] for s, tree in trees.items()}
     return [(v, f, s.feature, float(edges[v][s.feature][s.bin]), s.gain) for (v, f), s in sorted(best.items()) if s.feature >= 0]
 
@@ -380,14 +452,47 @@ def _starts(sizes: dict[tuple[int, int], tuple[int, int]]) -> dict[int, list[flo
     return {v: [baseline(*sizes[v, f]) for f in range(-1, k)] for v, k in folds.items()}
 
 
-def wide_scores(rows: DataFrame, sizes: dict[tuple[int, int], tuple[int, int]], width: int, rounds: int = ROUNDS, leaves: int = LEAVES) -> DataFrame:
-    """Scores of sets of any size; ``sizes`` is (rows, positive rows) fitted to of each set (v, f)."""
-    state = _state(rows, shared_edges(rows, width), _starts(sizes))
-    for _ in range(rounds):
-        trees = {s: Tree(leaves) for s in sizes}
-        while wanted := {s: nodes for s, tree in trees.items() if (nodes := tree.wanted(ahead=True))}:
-            _node_splits(state, trees, wanted)
-        state = _grown(state, trees)
-    # a row is scored by the set that leaves its part out; without folds only test rows are
-    own = F.get("raw", F.col("part") + 1)
-    return state.select("v", F.col("part").alias("f"), "row", "label", own.alias("score")).filter("score IS NOT NULL")
+def wide_scores(
+    rows: DataFrame,
+    sizes: dict[tuple[int, int], tuple[int, int]],
+    width: int,
+    rounds: int = ROUNDS,
+    leaves: int = LEAVES,
+    task_lines: int = 0,
+    each: bool = True,
+) -> DataFrame:
+    """Scores of sets of any size; ``sizes`` is (rows, positive rows) fitted to of each set (v, f).
+
+    Tables of at most ``task_lines`` lines of binned rows are fitted a set to a
+    task, larger ones by jobs over all their sets. Without ``each`` a line is one
+    row of the result, with ``n`` telling how many rows it stands for.
+    """
+    coded = binned_rows(rows, shared_edges(rows, width))
+    lines = binned_lines(coded)
+    starts = _starts(sizes)
+    # a row for each table
+    counts = {r["v"]: r["lines"] for r in lines.groupBy("v").agg(F.count(F.lit(1)).alias("lines")).collect()} if task_lines else {}
+    near = {v: len(starts[v]) - 1 for v, found in counts.items() if found <= task_lines}
+    parts = []
+    if near:
+        folds = rows.sparkSession.createDataFrame(list(near.items()), "v bigint, folds int")
+        parts.append(line_scores(lines.filter(F.col("v").isin(sorted(near))), folds, rounds, leaves))
+    far = {s: size for s, size in sizes.items() if s[0] not in near}
+    if far:
+        state = _state(lines.filter(F.col("v").isin(sorted({v for v, _ in far}))), _starts(far))
+        for _ in range(rounds):
+            trees = {s: Tree(leaves) for s in far}
+            while wanted := {s: nodes for s, tree in trees.items() if (nodes := tree.wanted(ahead=True))}:
+                _node_splits(state, trees, wanted)
+            state = _grown(state, trees)
+        # a row is scored by the set that leaves its part out; without folds only test rows are
+        own = F.get("raw", F.col("part") + 1)
+        parts.append(state.select("v", F.col("part").alias("f"), "row", "label", own.alias("score"), "n").filter("score IS NOT NULL"))
+    scores = reduce(DataFrame.unionByName, parts)
+    if not each:
+        return scores
+    line = ["v", "part", "label", "bins"]
+    of = lines.select(*line, F.col("row").alias("_line"))
+    found = scores.select("v", F.col("row").alias("_line"), "score")
+    members = coded.join(of, line).join(found, ["v", "_line"])
+    return members.select("v", F.col("part").alias("f"), "row", "label", "score", "n")

@@ -38,18 +38,20 @@ def stratified_folds(df: DataFrame, target: str, key: str, max_splits: int = 5,
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auc): exact area under the ROC curve, a tie counting one half.
 
+    A row stands for ``weight`` equal rows, if that column is named.
+
     Rows are first counted per distinct score, so a score shared by much of the
     table is one row from there on. NaN when a class is missing.
     """
     by = list(by)
     scope = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
-    positive = F.col(label).cast("bigint")
+    positive, many = F.col(label).cast("bigint"), F.col(weight) if weight else F.lit(1)
     counts = rows.groupBy(*scope, F.col(score).alias("_s")).agg(
-        F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg")
+        F.sum(positive * many).alias("_pos"), F.sum((1 - positive) * many).alias("_neg")
     )
     summed = running_sum(counts, scope, ["_s"], {"_upto": "_neg"})
     below = F.col("_upto").cast("double") - F.col("_neg") / 2
@@ -308,7 +310,7 @@ def score_tables(
     parts = [model_scores(sets, m, seed, **sizes).withColumn("model", F.lit(m)) for m in models]
     found: dict[tuple[int, str], dict[int, float]] = {}
     # a row for each model, table and fold
-    for r in roc_auc(reduce(DataFrame.unionByName, parts), "score", "label", ["model", "v", "f"]).collect():
+    for r in roc_auc(reduce(DataFrame.unionByName, parts), "score", "label", ["model", "v", "f"], "n").collect():
         found.setdefault((r["v"], r["model"]), {})[r["f"]] = r["auc"]
     out: dict[int, dict[str, tuple[float, float, float, str | None]]] = {}
     for v in {*sets.folds, *sets.errors}:

@@ -1,8 +1,9 @@
 """Random forests of many training sets at a time, every tree grown until its leaves are pure.
 
 Sets are laid out as in :mod:`counterpoise.operators.boosting`. A tree is fitted
-to a bootstrap of its set: each row counts a Poisson(1) number of times, a
-function of the seed, the tree and the row's ``draw`` (a hash of its key), so a
+to a bootstrap of its set: each row counts a Poisson(1) number of times, and a
+line that stands for n equal rows a Poisson(n) number, their sum's distribution, as a
+function of the seed, the tree and the line's ``draw`` (a hash of its name), so a
 retried task draws the same rows and sampling needs no order. At a node the root of the number of
 features are drawn, by a hash of the node's place in the tree; if all of them are
 constant there, more are drawn. The split of least Gini impurity is taken, halfway
@@ -10,8 +11,9 @@ between two neighbouring values, as long as a node holds both classes and any
 feature that varies. Depth is not limited. A row's score is the mean share of
 positives in its leaves.
 
-Sets of a bounded number of rows are fitted in tasks of some trees each, all
-trees of a task level by level at once. Trees of larger sets begin with
+Tables of a bounded number of lines are fitted in tasks of some trees of all
+their sets, all trees of a set level by level at once, over distinct values with the
+class counts drawn for them. Trees of larger sets begin with
 histograms: class counts by (set, tree, node, feature, bin) are summed over the
 table, and nodes are split at bin edges until the rows of a node, fitted and
 scored, fit a task; there the rows of each such node meet and finish its subtree
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.boosting import BINS, LOCAL_ROWS, SCORED, binned, expand, matrix, shared_edges
+from counterpoise.operators.boosting import BINS, LOCAL_ROWS, binned, counted, matrix, shared_edges
 from counterpoise.operators.lineage import materialise
 
 TREES = 100
 TASK_TREES = 25
+TASKS = 48  # tasks asked for at least, if trees are enough
 TASK_ENTRIES = 1_500_000
 _RATIO = 0x9E3779B97F4A7C15
 
@@ -58,12 +62,30 @@ def tree_seed(seed: int, v: int, f: int, tree: np.ndarray) -> np.ndarray:
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
-def bootstrap(seeds: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """(trees, rows): how often each row counts in each tree."""
+@lru_cache(maxsize=4_096)
+def _poisson(n: int) -> tuple[int, np.ndarray]:
+    """(low, distribution from low on) of a Poisson variable of mean n; what lies beyond ten deviations is left out."""
+    if n == 1:
+        return 0, _POISSON
+    spread = 10 * math.sqrt(n) + 20
+    k = np.arange(max(0, int(n - spread)), int(n + spread))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) + math.lgamma(k[0] + 1)
+    return int(k[0]), np.cumsum(np.exp(k * math.log(n) - n - logs))
+
+
+def bootstrap(seeds: np.ndarray, row: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """(trees, rows): how often each row counts in each tree; row i stands for n[i] equal ones."""
     with np.errstate(over="ignore"):
         bits = _mix(seeds[:, None] ^ _mix(row.astype(np.uint64))[None, :])
     uniform = (bits >> np.uint64(11)).astype(float) / float(1 << 53)
-    return np.searchsorted(_POISSON, uniform, "right")
+    if n is None or (n == 1).all():
+        return np.searchsorted(_POISSON, uniform, "right")
+    out = np.zeros(uniform.shape, np.int64)
+    order = np.argsort(n, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
+        low, upto = _poisson(int(n[at[0]]))
+        out[:, at] = low + np.searchsorted(upto, uniform[:, at], "right")
+    return out
 
 
 def drawn_features(place: np.ndarray, width: int) -> np.ndarray:
@@ -90,88 +112,107 @@ class Cuts(NamedTuple):
 def best_cuts(node: np.ndarray, rank: np.ndarray, weight: np.ndarray, positive: np.ndarray, nodes: int) -> Cuts:
     """Cuts between ranks of each node, by the weighted squares of the class counts on both sides."""
     width = int(rank.max(initial=0)) + 1
-    order = np.argsort(node * width + rank, kind="stable")
-    n, r = node[order], rank[order]
-    w, p = np.cumsum(weight[order]), np.cumsum(positive[order])
-    first = np.searchsorted(n, np.arange(nodes))
-    last = np.searchsorted(n, np.arange(nodes), "right")
-    base_w, base_p = np.append(0, w)[first], np.append(0, p)[first]
-    total_w, total_p = np.append(0, w)[last] - base_w, np.append(0, p)[last] - base_p
-    cut = np.flatnonzero((n[1:] == n[:-1]) & (r[1:] != r[:-1])) if len(n) else np.zeros(0, np.int64)
+    key = node * width + rank
+    order = np.argsort(key)  # lines of equal rank are never cut apart, so their order is free
+    n, key = node.take(order), key.take(order)
+    w, p = np.cumsum(weight.take(order)), np.cumsum(positive.take(order))
+    last = np.cumsum(np.bincount(node, minlength=nodes))
+    first = np.concatenate([[0], last[:-1]])
+    before_w, before_p = np.concatenate([[0], w]), np.concatenate([[0], p])
+    base_w, base_p = before_w[first], before_p[first]
+    total_w, total_p = before_w[last] - base_w, before_p[last] - base_p
+    cut = np.flatnonzero((n[1:] == n[:-1]) & (key[1:] != key[:-1])) if len(n) else np.zeros(0, np.int64)
     gain, below, above = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
     if len(cut) == 0:
         return Cuts(gain, below, above)
     of = n[cut]
-    lw, lp = (w[cut] - base_w[of]).astype(float), (p[cut] - base_p[of]).astype(float)
-    rw, rp = total_w[of] - lw, total_p[of] - lp
-    score = (lp**2 + (lw - lp) ** 2) / lw + (rp**2 + (rw - rp) ** 2) / rw
+    lw, lp = (w.take(cut) - base_w.take(of)).astype(float), (p.take(cut) - base_p.take(of)).astype(float)
+    rw, rp = total_w.take(of) - lw, total_p.take(of) - lp
+    ln, rn = lw - lp, rw - rp
+    score = (lp * lp + ln * ln) / lw + (rp * rp + rn * rn) / rw
     opens = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     top = np.maximum.reduceat(score, opens)
     hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(opens, len(of)))))
     hit = hit[np.append(True, of[hit][1:] != of[hit][:-1])]  # the first of equals
-    gain[of[hit]], below[of[hit]], above[of[hit]] = score[hit], r[cut[hit]], r[cut[hit] + 1]
+    best = of[hit]
+    gain[best], below[best], above[best] = score[hit], key[cut[hit]] - best * width, key[cut[hit] + 1] - best * width
     return Cuts(gain, below, above)
 
 
 def grow(
-    x: np.ndarray, label: np.ndarray, weight: np.ndarray, others: np.ndarray, place: np.ndarray, deepest: list[int] | None = None
+    x: np.ndarray,
+    label: np.ndarray | None,
+    weight: np.ndarray,
+    others: np.ndarray,
+    place: np.ndarray,
+    deepest: list[int] | None = None,
+    ones: np.ndarray | None = None,
 ) -> np.ndarray:
     """(trees, others): the share of positives in the leaf of each of ``others``.
 
     ``weight`` is (trees, rows), ``place`` the name of each tree's root. All trees
     advance together, a level at a time; ``deepest`` receives the number of levels.
+    Where rows of both labels share a line, ``ones`` (trees, rows) is the positive part of ``weight``.
     """
     trees, width = len(place), x.shape[1]
     draws = max(1, int(math.sqrt(width)))
     values = [np.unique(x[:, j]) for j in range(width)]
     ranks = np.stack([np.searchsorted(values[j], x[:, j]) for j in range(width)], axis=1) if width else np.zeros(x.shape, np.int64)
+    # gathered from flat arrays: a level is a few passes over what still stands in nodes of both classes
+    flat, ahead_flat = ranks.astype(np.int32).ravel(), np.ascontiguousarray(others).ravel()
     tree, row = np.nonzero(weight)
     node, count = tree.copy(), weight[tree, row]
+    positive = count * label[row].astype(np.int64) if ones is None else ones[tree, row]
     ahead_tree, ahead = np.divmod(np.arange(trees * len(others)), max(1, len(others)))
     ahead_node = ahead_tree.copy()
     out = np.zeros((trees, len(others)))
     nodes, levels = trees, 0
     while nodes:
         levels += 1
-        positive = count * label[row].astype(np.int64)
-        total, ones = np.bincount(node, count, nodes), np.bincount(node, positive, nodes)
-        share = np.divide(ones, total, out=np.zeros(nodes), where=total > 0)
-        mixed = np.flatnonzero((ones > 0) & (ones < total))
+        total, held = np.bincount(node, count, nodes), np.bincount(node, positive, nodes)
+        share = np.divide(held, total, out=np.zeros(nodes), where=total > 0)
+        # a node of one line cannot be split
+        mixed = np.flatnonzero((held > 0) & (held < total) & (np.bincount(node, minlength=nodes) > 1)) if width else np.zeros(0, np.int64)
         number = np.full(nodes, -1)
         number[mixed] = np.arange(len(mixed))
-        feature, edge = np.full(nodes, -1), np.zeros(nodes)
-        if len(mixed) and width:
+        node = number.take(node)
+        stay = np.flatnonzero(node >= 0)
+        row, node, count, positive = row.take(stay), node.take(stay), count.take(stay), positive.take(stay)
+        feature, edge, below = np.full(nodes, -1), np.zeros(nodes), np.zeros(len(mixed), np.int64)
+        if len(mixed):
             order = drawn_features(place[mixed], width)
             gain = np.full(len(mixed), -np.inf)
-            live = number[node] >= 0
-            node_of, row_of, count_of, positive_of = number[node[live]], row[live], count[live], positive[live]
+            node_of, row_of, count_of, positive_of = node, row, count, positive
             for draw in range(width):
                 if draw >= draws:  # only where all features so far are constant
                     want = np.isneginf(gain)
                     if not want.any():
                         break
-                    stay = want[node_of]
-                    node_of, row_of, count_of, positive_of = node_of[stay], row_of[stay], count_of[stay], positive_of[stay]
+                    some = np.flatnonzero(want.take(node_of))
+                    node_of, row_of, count_of, positive_of = node_of.take(some), row_of.take(some), count_of.take(some), positive_of.take(some)
                 drawn = order[:, draw]
-                cuts = best_cuts(node_of, ranks[row_of, drawn[node_of]], count_of, positive_of, len(mixed))
+                cuts = best_cuts(node_of, flat.take(row_of * width + drawn.take(node_of)), count_of, positive_of, len(mixed))
                 better = np.flatnonzero(cuts.gain > gain)
                 gain[better] = cuts.gain[better]
-                for k in better:
-                    j = drawn[k]
-                    feature[mixed[k]] = j
+                feature[mixed[better]], below[better] = drawn[better], cuts.below[better]
+                for j in range(width):
+                    k = better[drawn[better] == j]
                     edge[mixed[k]] = (values[j][cuts.below[k]] + values[j][cuts.above[k]]) / 2
-        done = feature[ahead_node] < 0
+        done = feature.take(ahead_node) < 0
         out[ahead_tree[done], ahead[done]] = share[ahead_node[done]]
-        ahead_tree, ahead, ahead_node = ahead_tree[~done], ahead[~done], ahead_node[~done]
-        stay = feature[node] >= 0
-        row, node, count = row[stay], node[stay], count[stay]
+        left = np.flatnonzero(~done)
+        ahead_tree, ahead, ahead_node = ahead_tree.take(left), ahead.take(left), ahead_node.take(left)
         split = np.flatnonzero(feature >= 0)
-        index = np.full(nodes, 0)
+        index = np.zeros(nodes, np.int64)
         index[split] = np.arange(len(split))
-        right = x[row, feature[node]] > edge[node]
-        ahead_right = others[ahead, feature[ahead_node]] > edge[ahead_node]
-        node = 2 * index[node] + right
-        ahead_node = 2 * index[ahead_node] + ahead_right
+        chosen = feature[mixed].take(node)
+        if len(split) < len(mixed):
+            stay = np.flatnonzero(chosen >= 0)
+            row, node, count, positive, chosen = row.take(stay), node.take(stay), count.take(stay), positive.take(stay), chosen.take(stay)
+        right = flat.take(row * width + chosen) > below.take(node)
+        ahead_right = ahead_flat.take(ahead * width + feature.take(ahead_node)) > edge.take(ahead_node)
+        node = 2 * index[mixed].take(node) + right
+        ahead_node = 2 * index.take(ahead_node) + ahead_right
         place = child_place(np.repeat(place[split], 2), np.tile([0, 1], len(split)))
         nodes = 2 * len(split)
     if deepest is not None:
@@ -179,36 +220,49 @@ def grow(
     return out
 
 
-_SHARES = "v bigint, f int, row bigint, label double, share double"
+_SHARES = "v bigint, f int, row bigint, label double, n bigint, share double"
 
 
 def _mean(shares: DataFrame, trees: int) -> DataFrame:
-    found = shares.groupBy("v", "f", "row").agg(F.first("label").alias("label"), (F.sum("share") / trees).alias("score"))
-    return found.select("v", "f", "row", "label", "score")
+    found = shares.groupBy("v", "f", "row").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.round(F.sum("share") / trees, 14).alias("score"))
+    return found.select("v", "f", "row", "label", "score", "n")
 
 
 def local_scores(rows: DataFrame, folds: DataFrame, seed: int, trees: int = TREES, task_trees: int = TASK_TREES) -> DataFrame:
-    """Scores of sets small enough for a task; a task fits some trees of one set."""
-    tasks = -(-trees // task_trees)
+    """Scores of tables small enough for a task; a task fits some trees of all sets of one table."""
+    tables = max(1, folds.count())
+    tasks = min(trees, max(-(-trees // task_trees), -(-TASKS // tables)))
 
     def run(table: pa.Table) -> pa.Table:
-        v, f, task = (table.column(c)[0].as_py() for c in ("v", "f", "task"))
-        part, row, draw, label = (table.column(c).to_numpy() for c in ("part", "row", "draw", "label"))
-        x = matrix(table.column("x"))
-        inside, out = (part >= 0) & (part != f), part == f
-        mine = np.arange(task * task_trees, min(trees, (task + 1) * task_trees))
-        total = np.zeros(int(out.sum()))
-        step = max(1, TASK_ENTRIES // max(1, len(row)))
-        for some in (mine[k : k + step] for k in range(0, len(mine), step)):
-            place = tree_seed(seed, v, f, some)
-            if inside.any():
-                total += grow(x[inside], label[inside], bootstrap(place, draw[inside]), x[out], place).sum(axis=0)
-        n = len(total)
-        columns = [pa.array(np.full(n, v, np.int64)), pa.array(np.full(n, f, np.int32)), pa.array(row[out]), pa.array(label[out]), pa.array(total)]
-        return pa.Table.from_arrays(columns, ["v", "f", "row", "label", "share"])
-
-    dealt = expand(rows, folds).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    return _mean(dealt.groupBy("v", "f", "task").applyInArrow(run, _SHARES), trees)
+        v, task, parts = (table.column(c)[0].as_py() for c in ("v", "task", "folds"))
+        part, draw, label, many = (table.column(c).to_numpy() for c in ("part", "draw", "label", "n"))
+        x, line = np.unique(matrix(table.column("x")), axis=0, return_inverse=True)
+        line = line.ravel()
+        mine = np.array([t for t in range(trees) if t % tasks == task])
+        total = np.zeros(len(part))
+        for f in range(-1, parts):
+            inside, out = np.flatnonzero((part >= 0) & (part != f)), part == f
+            if len(inside) == 0 or not out.any():
+                continue
+            inside = inside[np.argsort(line[inside], kind="stable")]
+            opens = np.flatnonzero(np.append(True, np.diff(line[inside]) != 0))  # the lines of one value stand together
+            asked, at = np.unique(line[out], return_inverse=True)
+            step = max(1, TASK_ENTRIES // max(1, len(inside) + len(asked)))
+            for some in (mine[k : k + step] for k in range(0, len(mine), step)):
+                place = tree_seed(seed, v, f, some)
+                weight = bootstrap(place, draw[inside], many[inside])
+                ones = np.add.reduceat(weight * (label[inside] > 0), opens, axis=1)
+                weight = np.add.reduceat(weight, opens, axis=1)
+                total[out] += grow(x[line[inside][opens]], None, weight, x[asked], place, ones=ones).sum(axis=0)[at]
+        columns = [table.column(c) for c in ("v", "part", "row", "label", "n")]
+        return pa.Table.from_arrays([*columns, pa.array(total)], ["v", "f", "row", "label", "n", "share"])
+
+    listed = counted(rows).join(F.broadcast(folds), "v")  # as many rows as tables are evaluated
+    dealt = listed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    # a fixed number of partitions: the work per byte is far above what size-based merging expects
+    dealt = dealt.repartition(2 * tables * tasks, "v", "task")
+    scored = dealt.groupBy("v", "task").applyInArrow(run, _SHARES)
+    return _mean(scored.join(F.broadcast(folds), "v").filter(F.col("f") < F.col("folds")).drop("folds"), trees)
 
 
 # --- sets larger than a task ------------------------------------------------------
@@ -246,7 +300,7 @@ def _level(coded: DataFrame, tops: dict[tuple[int, int, int], Top], seed: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            v, part, draw, label = (batch.column(c).to_numpy() for c in ("v", "part", "draw", "label"))
+            v, part, draw, label, many = (batch.column(c).to_numpy() for c in ("v", "part", "draw", "label", "n"))
             packed = batch.column("bins").to_pylist()
             for one in np.unique(v):
                 at = np.flatnonzero(v == one)
@@ -255,7 +309,7 @@ def _level(coded: DataFrame, tops: dict[tuple[int, int, int], Top], seed: int) -
                 for (of, f, tree), (nodes, open_) in sent.value.items():
                     if of != one:
                         continue
-                    weight = bootstrap(tree_seed(seed, of, f, np.array([tree])), draw[at])[0]
+                    weight = bootstrap(tree_seed(seed, of, f, np.array([tree])), draw[at], many[at])[0]
                     weight *= (part[at] >= 0) & (part[at] != f)
                     scored = part[at] == f
                     here = _at(nodes, bins)
@@ -314,12 +368,12 @@ def wide_scores(
             bins = np.zeros(x.shape, np.uint8)
             for one in np.unique(v):
                 bins[v == one] = binned(x[v == one], sent.value[one])
-            names = ("v", "row", "draw", "part", "label", "x")
+            names = ("v", "row", "draw", "part", "label", "n", "x")
             arrays = [*(batch.column(c) for c in names), pa.array([b.tobytes() for b in bins], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "bins"])
 
-    schema = "v bigint, row bigint, draw bigint, part int, label double, x array<double>, bins binary"
-    coded = materialise(rows.select("v", "row", "draw", "part", "label", "x").mapInArrow(code, schema))
+    schema = "v bigint, row bigint, draw bigint, part int, label double, n bigint, x array<double>, bins binary"
+    coded = materialise(counted(rows).select("v", "row", "draw", "part", "label", "n", "x").mapInArrow(code, schema))
     tops = {(v, f, t): Top([[-1, 0, 0, 0]], [int(tree_seed(seed, v, f, np.array([t]))[0])], [0], {}) for v, f in sets for t in range(trees)}
     draws = max(1, int(math.sqrt(width)))
     while any(top.open for top in tops.values()):
@@ -353,18 +407,18 @@ def wide_scores(
 def _finished(coded: DataFrame, tops: dict[tuple[int, int, int], Top], seed: int, trees: int) -> DataFrame:
     """Rows brought to the node of each tree that they stand in, and its subtree grown there."""
     sent = coded.sparkSession.sparkContext.broadcast({t: (top.nodes, top.place, top.share) for t, top in tops.items()})
-    names = ["v", "f", "tree", "node", "row", "label", "weight", "share"]
+    names = ["v", "f", "tree", "node", "row", "label", "n", "weight", "share"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, part, row, draw, label = (batch.column(c).to_numpy() for c in ("v", "part", "row", "draw", "label"))
+            v, part, row, draw, label, many = (batch.column(c).to_numpy() for c in ("v", "part", "row", "draw", "label", "n"))
             packed = batch.column("bins").to_pylist()
             for (of, f, tree), (nodes, _, share) in sent.value.items():
                 at = np.flatnonzero(v == of)
                 if len(at) == 0:
                     continue
                 bins = np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), -1)
-                weight = bootstrap(tree_seed(seed, of, f, np.array([tree])), draw[at])[0]
+                weight = bootstrap(tree_seed(seed, of, f, np.array([tree])), draw[at], many[at])[0]
                 weight *= (part[at] >= 0) & (part[at] != f)
                 scored = part[at] == f
                 here = _at(nodes, bins)
@@ -373,23 +427,23 @@ def _finished(coded: DataFrame, tops: dict[tuple[int, int, int], Top], seed: int
                 weight = np.where(scored, 0, weight)[keep]
                 columns = [np.full(len(keep), k) for k in (of, f, tree)] + [here[keep], row[at][keep]]
                 arrays = [pa.array(c.astype(np.int64)) for c in columns]
-                arrays += [pa.array(label[at][keep]), pa.array(weight.astype(np.int64)), pa.array(leaf[keep], from_pandas=True)]
+                arrays += [pa.array(label[at][keep]), pa.array(many[at][keep]), pa.array(weight.astype(np.int64)), pa.array(leaf[keep], from_pandas=True)]
                 x = batch.column("x").take(pa.array(at[keep]))
                 yield pa.RecordBatch.from_arrays([*arrays, x], [*names, "x"])
 
-    schema = "v bigint, f bigint, tree bigint, node bigint, row bigint, label double, weight bigint, share double, x array<double>"
+    schema = "v bigint, f bigint, tree bigint, node bigint, row bigint, label double, n bigint, weight bigint, share double, x array<double>"
     dealt = coded.mapInArrow(deal, schema)
 
     def finish(table: pa.Table) -> pa.Table:
         v, f, tree, node = (table.column(c)[0].as_py() for c in names[:4])
-        row, label, weight = (table.column(c).to_numpy() for c in ("row", "label", "weight"))
+        row, label, many, weight = (table.column(c).to_numpy() for c in ("row", "label", "n", "weight"))
         x, inside = matrix(table.column("x")), weight > 0
         place = np.array([sent.value[v, f, tree][1][node]], np.uint64)
         share = grow(x[inside], label[inside], weight[None, inside], x[~inside], place)[0] if inside.any() else np.zeros((~inside).sum())
         n = len(share)
-        columns = [pa.array(np.full(n, v, np.int64)), pa.array(np.full(n, f, np.int32)), pa.array(row[~inside]), pa.array(label[~inside]), pa.array(share)]
-        return pa.Table.from_arrays(columns, ["v", "f", "row", "label", "share"])
+        columns = [pa.array(np.full(n, v, np.int64)), pa.array(np.full(n, f, np.int32)), pa.array(row[~inside]), pa.array(label[~inside]), pa.array(many[~inside]), pa.array(share)]
+        return pa.Table.from_arrays(columns, ["v", "f", "row", "label", "n", "share"])
 
-    leaves = dealt.filter("share IS NOT NULL").selectExpr("v", "cast(f AS int) AS f", "row", "label", "share")
+    leaves = dealt.filter("share IS NOT NULL").selectExpr("v", "cast(f AS int) AS f", "row", "label", "n", "share")
     grown = dealt.filter("share IS NULL").groupBy("v", "f", "tree", "node").applyInArrow(finish, _SHARES)
     return _mean(leaves.unionByName(grown), trees)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.operators.boosting import SCORED, matrix
+from counterpoise.operators.boosting import SCORED, counted, matrix
 
 STEPS = 200
 TOLERANCE = 1e-9
@@ -46,7 +46,7 @@ def newton_sums(rows: DataFrame, coefficients: dict[Set, np.ndarray], weights: d
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                v, part, label = (batch.column(c).to_numpy() for c in ("v", "part", "label"))
+                v, part, label, many = (batch.column(c).to_numpy() for c in ("v", "part", "label", "n"))
                 x = matrix(batch.column("x"))
                 x = np.hstack([x, np.ones((len(x), 1))])
                 for (of, f), beta in coefficients.items():
@@ -54,7 +54,7 @@ def newton_sums(rows: DataFrame, coefficients: dict[Set, np.ndarray], weights: d
                     if len(at) == 0:
                         continue
                     z, y = x[at], label[at]
-                    c = np.where(y > 0, weights[of, f][1], weights[of, f][0])
+                    c = np.where(y > 0, weights[of, f][1], weights[of, f][0]) * many[at]
                     s = z @ beta
                     p = 1 / (1 + np.exp(-s))
                     loss = np.dot(c, np.logaddexp(0, np.where(y > 0, -s, s)))
@@ -65,7 +65,7 @@ def newton_sums(rows: DataFrame, coefficients: dict[Set, np.ndarray], weights: d
         arrays = [pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int32())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array([held[s] for s in sets], pa.list_(pa.float64()))], names)
 
-    cells = rows.mapInArrow(run, "v bigint, f int, values array<double>").select("v", "f", F.posexplode("values").alias("i", "value"))
+    cells = counted(rows).mapInArrow(run, "v bigint, f int, values array<double>").select("v", "f", F.posexplode("values").alias("i", "value"))
     return cells.groupBy("v", "f", "i").agg(F.sum("value").alias("value"))
 
 
@@ -138,7 +138,7 @@ def scores(rows: DataFrame, coefficients: dict[Set, np.ndarray]) -> DataFrame:
                 score[at] = x[at] @ beta[:-1] + beta[-1]
             keep = np.flatnonzero(~np.isnan(score))
             take = pa.array(keep)
-            arrays = [batch.column(c).take(take) for c in ("v", "part", "row", "label")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(score[keep])], ["v", "f", "row", "label", "score"])
+            arrays = [batch.column(c).take(take) for c in ("v", "part", "row", "label", "n")]
+            yield pa.RecordBatch.from_arrays([*arrays[:4], pa.array(score[keep]), arrays[4]], ["v", "f", "row", "label", "score", "n"])
 
-    return rows.select("v", "part", "row", "label", "x").mapInArrow(run, SCORED)
+    return counted(rows).select("v", "part", "row", "label", "n", "x").mapInArrow(run, SCORED)

@@ -3,7 +3,8 @@
 A table is named by a number (``TABLE``, later v). Its rows are cleaned, encoded and scaled by its own
 training rows, and dealt to folds; each fold, and the whole table, is a training
 set. All sets of all tables go through the same jobs, so the number of jobs does
-not grow with the number of tables.
+not grow with the number of tables. Equal rows of a table, label and fold become one
+line that counts them, so what the learners hold follows the distinct rows.
 """
 
 from __future__ import annotations
@@ -25,21 +26,23 @@ from counterpoise.operators.sampling import complete_cases, require_column
 
 Set = tuple[int, int]
 TABLE = "_table"
-ROWS = "v bigint, row bigint, draw bigint, part int, label double, x array<double>"
+ROWS = "v bigint, row bigint, draw bigint, part int, label double, x array<double>, n bigint"
 
 
 @dataclass
 class TrainingSets:
-    """``rows`` (v, row, draw, part, label, x): part is the fold, or -1 for test rows.
+    """``rows`` (v, row, draw, part, label, x, n): n equal rows; part is the fold, or -1 for test rows.
 
     ``sizes`` holds (rows, positive rows) that each set (v, f) is fitted to;
-    f = -1 is the whole table. ``errors`` names tables that cannot be used.
+    f = -1 is the whole table. ``total`` and ``lines`` count the rows and lines of
+    each table, ``errors`` names tables that cannot be used.
     """
 
     rows: DataFrame
     folds: dict[int, int]
     sizes: dict[Set, tuple[int, int]]
     total: dict[int, int]
+    lines: dict[int, int]
     width: int
     errors: dict[int, str]
 
@@ -87,16 +90,18 @@ def training_sets(
     errors = {v: f"target must have 2 classes, found {c['classes']}" for v, c in classes.items() if c["classes"] != 2}
     folds = {v: fold_count(c["smallest"], max_splits) or 0 for v, c in classes.items() if v not in errors}
     if not folds:
-        return TrainingSets(spark.createDataFrame([], ROWS), {}, {}, {}, len(features), errors)
+        return TrainingSets(spark.createDataFrame([], ROWS), {}, {}, {}, {}, len(features), errors)
     listed = [(v, k, classes[v]["high"]) for v, k in folds.items()]
     listed = F.broadcast(spark.createDataFrame(listed, f"{TABLE} bigint, _folds int, _high string"))  # a row for each table
     ranked = hashed_rank(train, [TABLE, target], hash_bits(seed, "fold", F.col(f"`{key}`")), F.col(f"`{key}`"), "_rank")
     fold = F.when(F.col("_folds") > 0, F.pmod(F.col("_rank") - 1, F.col("_folds"))).otherwise(0)
-    mine = ranked.withColumn(TABLE, F.col(TABLE).cast("bigint")).join(listed, TABLE).withColumn("_part", fold.cast("int")).drop("_rank")
+    mine = ranked.withColumn(TABLE, F.col(TABLE).cast("bigint")).join(listed, TABLE).withColumn("_part", fold.cast("int"))
     every = F.array(*[F.lit(v).cast("bigint") for v in folds])
-    theirs = test.withColumn(TABLE, F.explode(every)).join(listed, TABLE).withColumn("_part", F.lit(-1))
+    line, many = [F.col(f"`{c}`") for c in [*features, target]], F.count(F.lit(1)).alias("_n")
+    mine = mine.groupBy(TABLE, "_part", "_high", *line).agg(many)
+    theirs = test.groupBy(*line).agg(many).withColumn(TABLE, F.explode(every)).join(listed, TABLE).withColumn("_part", F.lit(-1)).drop("_folds")
     both = mine.unionByName(theirs).withColumn("_label", (F.col(f"`{target}`").cast("string") == F.col("_high")).cast("double"))
-    both = both.withColumn("_draw", F.xxhash64(F.col(f"`{key}`").cast("string"))).drop("_folds", "_high")
+    both = both.withColumn("_draw", F.xxhash64("_part", *line)).drop("_high")
 
     numbers, texts = numeric_columns(train.select(*[f"`{c}`" for c in features])), string_columns(train.select(*[f"`{c}`" for c in features]))
     if numbers:
@@ -114,35 +119,44 @@ def training_sets(
             both = both.drop("_value")
             scaled[c] = F.coalesce(f"_c_{i}", F.lit(0.0))
     x = F.array(*[scaled.get(c, F.col(f"`{c}`").cast("double")) for c in features]).cast("array<double>")
-    named = [F.col(f"_{c}").alias(c) for c in ("draw", "part", "label")]
+    named = [F.col(f"_{c}").alias(c) for c in ("draw", "part", "label", "n")]
     rows = materialise(both.select(F.col(TABLE).alias("v"), F.monotonically_increasing_id().alias("row"), *named, x.alias("x")))
 
     sizes: dict[Set, tuple[int, int]] = {}
-    total: dict[int, int] = dict.fromkeys(folds, 0)
+    total, lines = dict.fromkeys(folds, 0), dict.fromkeys(folds, 0)
     # a row for each table and fold
-    for r in rows.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive")).collect():
+    sums = F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("positive"), F.count(F.lit(1)).alias("lines")
+    for r in rows.groupBy("v", "part").agg(*sums).collect():
         v = r["v"]
         total[v] += r["n"]
+        lines[v] += r["lines"]
         for f in range(-1, folds[v]):
             if r["part"] >= 0 and r["part"] != f:
                 n, positive = sizes.get((v, f), (0, 0))
                 sizes[v, f] = (n + r["n"], positive + int(r["positive"]))
-    return TrainingSets(rows, folds, sizes, total, len(features), errors)
+    return TrainingSets(rows, folds, sizes, total, lines, len(features), errors)
 
 
 def model_scores(
-    sets: TrainingSets, model: str, seed: int = 42, trees: int = forest.TREES, rounds: int = boosting.ROUNDS, local_rows: int = boosting.LOCAL_ROWS
+    sets: TrainingSets,
+    model: str,
+    seed: int = 42,
+    trees: int = forest.TREES,
+    rounds: int = boosting.ROUNDS,
+    local_rows: int = boosting.LOCAL_ROWS,
+    local_lines: int = boosting.LOCAL_LINES,
 ) -> DataFrame:
-    """(v, f, row, label, score) of one model: folds scored by the other folds, test rows by all.
+    """(v, f, row, label, score, n) of one model: folds scored by the other folds, test rows by all.
 
-    Tables of at most ``local_rows`` rows have their trees fitted a set to a task;
-    larger ones by jobs over all their sets.
+    Tables of at most ``local_rows`` rows, or ``local_lines`` lines (for boosting: of
+    binned rows), have their trees fitted in tasks; larger ones by jobs over all their sets.
     """
     if not sets.folds:
         return sets.rows.sparkSession.createDataFrame([], boosting.SCORED)
     if model == "logistic":
         return logistic.scores(sets.rows, logistic.fit(sets.rows, sets.sizes, sets.width))
-    near = {v: k for v, k in sets.folds.items() if sets.total[v] <= local_rows}
+    few = local_lines if model == "random_forest" else 0
+    near = {v: k for v, k in sets.folds.items() if sets.total[v] <= local_rows or sets.lines[v] <= few}
     far = {s: size for s, size in sets.sizes.items() if s[0] not in near}
     parts = []
     if near:
@@ -154,7 +168,7 @@ def model_scores(
     if far:
         rows = sets.rows.filter(F.col("v").isin(sorted({v for v, _ in far})))
         if model == "hist_gradient":
-            parts.append(boosting.wide_scores(rows, far, sets.width, rounds))
+            parts.append(boosting.wide_scores(rows, far, sets.width, rounds, task_lines=local_lines, each=False))
         else:
             parts.append(forest.wide_scores(rows, list(far), sets.width, seed, trees, local_rows))
     return reduce(DataFrame.unionByName, parts)

@@ -77,7 +77,7 @@ def variant_folds(variants: DataFrame, test: DataFrame, target: str, max_splits:
     listed = F.broadcast(spark.createDataFrame([(r["method"], r["pct"], i) for i, r in enumerate(names)], f"method string, pct int, {TABLE} bigint"))
     extra = [c for c in ("dataset", "method", "pct", "p", "is_synthetic") if c in variants.columns]
     sets = training_sets(variants.join(listed, ["method", "pct"]).drop(*extra), test, target, seed=seed, max_splits=max_splits)
-    counted = sets.rows.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("bigint").alias("n_pos"))
+    counted = sets.rows.groupBy("v", "part").agg(F.sum("n").alias("n_rows"), F.sum(F.col("label") * F.col("n")).cast("bigint").alias("n_pos"))
     return counted.join(listed, counted["v"] == listed[TABLE]).select("method", "pct", "part", "n_rows", "n_pos")
 
 
