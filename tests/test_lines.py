@@ -66,3 +66,11 @@ def test_jobs_of_large_tables_of_few_lines_do_not_grow_with_the_rounds(spark):
 
     (few, _), (many, scores) = jobs(2), jobs(12)
     assert many <= few + 2 and scores[2] > 0.7
+
+
+def test_packs_of_clusters_are_not_merged_by_size(spark):
+    from counterpoise.operators import minibatch
+
+    rows = [(f"d{i // 4}", i, 1, [97, 98], [0.6, 0.8], 2) for i in range(8000)]
+    named = spark.createDataFrame(rows, "file string, id bigint, weight bigint, codes array<int>, vec array<double>, k int")
+    assert minibatch._packed(named, 8000, 42, 256, 2).rdd.getNumPartitions() >= 8
