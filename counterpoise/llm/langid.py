@@ -3,7 +3,7 @@
 Evidence is combined as in Bayes' rule, each piece as a log-likelihood by language:
 
 * text: a naive Bayes model over hashed runs of three bytes of letters, fitted
-  on a bounded sample of labelled documents, over the whole text. Runs are not
+  on all labelled documents, over the whole text. Runs are not
   independent, so a text counts as at most ``evidence_runs`` of them;
 * declared language of the markup or metadata: P(declared | language), counted
   over all rows;
@@ -39,22 +39,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.llm.common import lean
 from counterpoise.llm.words import slices, text_bytes
-from counterpoise.operators.lineage import write_down
+from counterpoise.operators.lineage import materialise, write_down
 from counterpoise.operators.lookup import lookup_join
 
 BUCKET_BITS = 16
-SAMPLE_ROWS = 4_000
 MIN_LABEL_ROWS = 2
 #: Of held-out labelled rows this share may lie below the floor before it is moved on; a floor needs so many rows.
 BELOW_FLOOR, BEYOND, FLOOR_ROWS = 0.001, 1.5, 20
 #: Texts of at least so many runs have a floor of their own: the longer, the narrower.
 LENGTHS = (1, 50, 200, 1_000)
+#: Steps a unit by which mean log-likelihoods are counted on the way to their quantiles.
+MEAN_STEPS = 4_096
 EVIDENCE_RUNS = 200
 MIN_POSTERIOR = 0.5
 HOST_STRENGTH = 20.0
@@ -114,16 +115,15 @@ def fit_text(
     text: str = "text",
     label: str = "lang",
     key: str = "doc_id",
-    sample_rows: int = SAMPLE_ROWS,
     languages: Sequence[str] | None = None,
     min_rows: int = MIN_LABEL_ROWS,
 ) -> TextModel:
-    """Counts of letter runs by language in at most ``sample_rows`` whole documents of each.
+    """Counts of letter runs by language in all labelled documents.
 
-    The sample is the rows of smallest hash, so it does not depend on
-    partitioning. Labels are folded to their primary subtag. The languages are
-    all those given that have rows, or all labels of at least ``min_rows`` rows.
-    The others are in ``left_out`` with their rows, and logged.
+    Labels are folded to their primary subtag. The languages are all those given
+    that have rows, or all labels of at least ``min_rows`` rows. The others are
+    in ``left_out`` with their rows, and logged. What reaches the driver are
+    counts by language and bucket, whatever the number of documents.
     """
     tagged = docs.select(F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)).alias("h"), primary_tag(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text"))
     tagged = tagged.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -136,27 +136,28 @@ def fit_text(
         logging.getLogger(__name__).warning("labels with too few rows for a language of their own: %s", left_out)
     if not found:
         return TextModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32), left_out)
-    # a bar on the hash that lets about sample_rows rows of each language through
-    bars = {lang: 2**64 * min(sample_rows, n) // n - 2**63 - 1 for lang, n in found.items()}
     names = tuple(sorted(found))
-    known = F.from_json(F.lit(json.dumps({x: {"at": i, "bar": bars[x]} for i, x in enumerate(names)})), "map<string,struct<at:int,bar:bigint>>")[F.col("lang")]
+    known = F.from_json(F.lit(json.dumps({x: i for i, x in enumerate(names)})), "map<string,int>")[F.col("lang")]
     half = F.pmod(F.xxhash64("h"), F.lit(2)).cast("int")
-    sample = tagged.withColumn("known", known).filter(F.col("h") <= F.col("known.bar")).select(F.col("known.at").alias("lang"), half.alias("half"), "text")
+    labelled = tagged.select(known.alias("lang"), half.alias("half"), "text").filter("lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[tuple[int, int], np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 runs, first = letter_runs(batch.column("text"))
+                parts: dict[tuple[int, int], list[np.ndarray]] = {}
                 for i, part in enumerate(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist())):
+                    parts.setdefault(part, []).append(runs[first[i] : first[i + 1]])
+                for part, held in parts.items():
                     table = tables.setdefault(part, np.zeros(1 << BUCKET_BITS, np.int64))
-                    table += np.bincount(runs[first[i] : first[i + 1]], minlength=1 << BUCKET_BITS)
+                    table += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
         for (lang, half), table in tables.items():
             used = np.flatnonzero(table)
             arrays = [pa.array(np.full(len(used), x, np.int32)) for x in (lang, half)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(used.astype(np.int32)), pa.array(table[used])], ["lang", "half", "bucket", "n"])
 
-    counted = sample.mapInArrow(lean(count), "lang int, half int, bucket int, n bigint")
+    counted = labelled.mapInArrow(lean(count), "lang int, half int, bucket int, n bigint")
     # at most 2 x languages x buckets rows, whatever the corpus
     table = counted.groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).toArrow()
     halves = np.zeros((2, 1 << BUCKET_BITS, len(names)))
@@ -170,7 +171,7 @@ def fit_text(
     sent = docs.sparkSession.sparkContext.broadcast([TextModel(names, logs_of(halves[1 - k])) for k in (0, 1)])
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Mean log-likelihood of a run, of the sampled texts that are likeliest in the language of their label."""
+        """Mean log-likelihood of a run, of the texts that are likeliest in the language of their label."""
         for whole in batches:
             for batch in slices(whole, "text"):
                 for k, model in enumerate(sent.value):
@@ -181,26 +182,47 @@ def fit_text(
                     mean = logs[told, lang[told]] / size[told]
                     yield pa.RecordBatch.from_arrays([pa.array(lang[told]), pa.array(size[told].astype(np.int64)), pa.array(mean)], ["lang", "runs", "mean"])
 
-    # at most a row for each sampled document
-    tried = sample.mapInArrow(lean(held_out), "lang int, runs bigint, mean double").toArrow()
-    floors = floors_of(*(tried.column(c).to_numpy() for c in ("lang", "runs", "mean")), len(names))
-    return TextModel(names, logs_of(halves[0] + halves[1]), left_out, floors)
+    tried = materialise(labelled.mapInArrow(lean(held_out), "lang int, runs bigint, mean double"))
+    return TextModel(names, logs_of(halves[0] + halves[1]), left_out, floors_of(tried, len(names)))
 
 
-def floors_of(lang: np.ndarray, runs: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
+def floors_of(tried: DataFrame, n: int) -> np.ndarray:
     """LENGTHS x languages: how unlikely the runs of a text may be on the mean.
 
-    From held-out rows at least as long: the floor lies BEYOND times as far below
-    their median as the lowest of them, BELOW_FLOOR of the rows left aside. With
-    few such rows the floor of shorter texts holds, at first that of a model that
-    knows nothing.
+    From held-out rows (lang, runs, mean) at least as long: the floor lies BEYOND
+    times as far below their median as the lowest of them, BELOW_FLOOR of the rows
+    left aside. With few such rows the floor of shorter texts holds, at first that
+    of a model that knows nothing. The quantiles are exact: rows are counted by
+    steps of their mean, then those of the steps that hold a quantile by value.
     """
     out = np.full((len(LENGTHS), n), -np.log(1 << BUCKET_BITS))
+    levels = F.array(*[F.when(F.col("runs") >= least, F.lit(k)) for k, least in enumerate(LENGTHS)])
+    leveled = tried.select("lang", F.explode(F.filter(levels, lambda k: k.isNotNull())).alias("level"), "mean")
+    leveled = leveled.withColumn("step", F.floor(F.col("mean") * MEAN_STEPS))
+    # a mean lies between 0 and the logarithm of the rows of a table: steps, levels and languages bound these rows
+    steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in leveled.groupBy("lang", "level", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        steps.setdefault((r["lang"], r["level"]), []).append((r["step"], r["n"]))
+    wanted = []
+    for (lang, level), counts in steps.items():
+        counts.sort()
+        upto = np.cumsum([c for _, c in counts])
+        if upto[-1] >= FLOOR_ROWS:
+            for which, q in enumerate((BELOW_FLOOR, 0.5)):
+                rank = int(np.floor(q * (upto[-1] - 1)))
+                at = int(np.searchsorted(upto, rank, "right"))
+                wanted.append((lang, level, counts[at][0], which, rank - int(upto[at] - counts[at][1])))
+    if not wanted:
+        return out
+    asked = F.broadcast(tried.sparkSession.createDataFrame(wanted, "lang int, level int, step bigint, which int, rank bigint"))
+    inside = leveled.join(asked, ["lang", "level", "step"]).groupBy("lang", "level", "which", "rank", "mean").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("lang", "level", "which").orderBy("mean")
+    reached = inside.withColumn("_upto", F.sum("n").over(before)).filter("_upto > rank")
+    found = {(r["lang"], r["level"], r["which"]): r["mean"] for r in reached.groupBy("lang", "level", "which").agg(F.min("mean").alias("mean")).collect()}
     for i in range(n):
-        for k, least in enumerate(LENGTHS):
-            of = mean[(lang == i) & (runs >= least)]
-            if len(of) >= FLOOR_ROWS:
-                low, middle = np.quantile(of, [BELOW_FLOOR, 0.5], method="lower")
+        for k in range(len(LENGTHS)):
+            if (i, k, 1) in found:
+                low, middle = found[i, k, 0], found[i, k, 1]
                 out[k, i] = middle + BEYOND * (low - middle)
             elif k:
                 out[k, i] = out[k - 1, i]

@@ -150,3 +150,33 @@ def test_gibberish_and_unknown_languages_are_not_kept(spark):
     assert not [r.row.text for r in rows if r.row.doc_id < 0 and r.kept]
     clean = [r for r in rows if r.row.doc_id >= 0 and langid.letter_runs(pa.array([r.row.text], pa.string()))[0].size]
     assert len(clean) > 100 and all(r.kept for r in clean)
+
+
+def test_every_labelled_document_counts(spark):
+    # 4,100 short texts of one language; one run of letters stands in a single one of them
+    def text(i):
+        return "qxz" if i == odd else "kara tumi raka"
+
+    odd = spark.range(4_100).select(F.max_by("id", F.xxhash64(F.col("id"), F.lit(langid.SEED)))).first()[0]
+    docs = spark.createDataFrame([(i, text(i), "aa") for i in range(4_100)], "doc_id bigint, text string, lang string")
+    model = langid.fit_text(docs)
+    bucket = langid.letter_runs(pa.array(["qxz"]))[0]
+    unseen = model.logs.min()
+    assert (model.logs[bucket, 0] > unseen).all()
+
+
+def test_floors_are_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    lang, runs = rng.integers(0, 3, 3_000), rng.integers(1, 1_500, 3_000)
+    mean = -10 + np.round(rng.random(3_000), 5)  # with ties
+    runs[lang == 2] = np.minimum(runs[lang == 2], 60)
+    rows = [(int(a), int(b), float(c)) for a, b, c in zip(lang, runs, mean)]
+    floors = langid.floors_of(spark.createDataFrame(rows, "lang int, runs bigint, mean double"), 4)
+    for i in range(4):
+        above = -np.log(1 << langid.BUCKET_BITS)
+        for k, least in enumerate(langid.LENGTHS):
+            of = mean[(lang == i) & (runs >= least)]
+            if len(of) >= langid.FLOOR_ROWS:
+                low, middle = np.quantile(of, [langid.BELOW_FLOOR, 0.5], method="lower")
+                above = middle + langid.BEYOND * (low - middle)
+            assert floors[k, i] == above
